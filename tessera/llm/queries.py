@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from tessera.llm.fingerprint import op9_fingerprints
 from tessera.llm.mixing import OP6_SQL, op6_mix
+from tessera.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
+    "op5_warc": op5_warc,
     "op6_mix": op6_mix,
+    "op9_fingerprints": op9_fingerprints,
 }
 
 ORACLE_SQL = {
+    "op5_warc": OP5_SQL,
     "op6_mix": OP6_SQL,
 }
