@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.bpe import op2_bpe
 from tessera.llm.fingerprint import op9_fingerprints
 from tessera.llm.mixing import OP6_SQL, op6_mix
 from tessera.llm.quality import op3_quality
@@ -9,6 +10,7 @@ from tessera.llm.url_rules import op7_url_rules
 from tessera.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
+    "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
     "op5_warc": op5_warc,
     "op6_mix": op6_mix,
