@@ -59,37 +59,29 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(both_empty, 1.0).when(least == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / least)
 
 
-def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """docs with next_<column> for each carried column: that of the next document by descending doc_id, the first again
-    after the last.
+def with_next(docs: DataFrame, derived: dict[str, Column]) -> DataFrame:
+    """doc_id and text with the derived columns, and next_<name> for text and each of them: that of the next document by
+    descending doc_id, the first again after the last.
 
     Documents are dealt to blocks of consecutive ids, each sorted by a task of its own; the first document of a block is
-    lent to the block before it, so no task holds the whole order.
+    lent to the block before it, so no task holds the whole order. The first documents are found by an aggregation that
+    each map task does over its own rows, so texts are shuffled once.
     """
-    dense = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"))
-    row = dense.first()
+    row = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).first()
     width = max(1, -(-((row.high - row.low + 1) * BLOCK) // max(row.n, 1))) if row.low is not None else 1
     low = row.low if row.low is not None else 0
     block = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / width), F.lit(-1)).cast("long")
-    blocked = docs.withColumn("_block", block)
-    heads = blocked.groupBy("_block").agg(F.max("doc_id").alias("_top"))
+    blocked = docs.select("doc_id", "text", block.alias("_block"))
+    heads = blocked.groupBy("_block").agg(F.min(F.struct(F.bitwise_not("doc_id").alias("down"), "text")).alias("_head"))
     # Block numbers alone, one for about BLOCK documents: their order is found in one small task.
+    ring = blocked.select("_block").distinct()
     down = Window.orderBy(F.col("_block").desc())
-    ring = heads.withColumn("_before", F.coalesce(F.lag("_block").over(down), F.min("_block").over(Window.partitionBy())))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
-    b, r = blocked.alias("b"), ring.alias("r")
-    firsts = (
-        b.join(r, (F.col("b._block") == F.col("r._block")) & F.col("b.doc_id").eqNullSafe(F.col("r._top")))
-        .select("b.*", F.col("r._before").alias("_lent"))
-        .withColumn("_n", F.row_number().over(Window.partitionBy("_block").orderBy(*order)))
-        .where("_n = 1")
-        .withColumn("_block", F.col("_lent"))
-        .drop("_n", "_lent")
-        .withColumn("_is_lent", F.lit(1))
-    )
-    both = blocked.withColumn("_is_lent", F.lit(0)).unionByName(firsts)
-    inside = Window.partitionBy("_block").orderBy("_is_lent", *order)
-    led = both.select("*", *[F.lead(c).over(inside).alias(f"next_{c}") for c in carried])
+    ring = ring.select("_block", F.coalesce(F.lag("_block").over(down), F.min("_block").over(Window.partitionBy())).alias("_before"))
+    lent = heads.join(ring, "_block").select(F.bitwise_not("_head.down").alias("doc_id"), F.col("_head.text").alias("text"), F.col("_before").alias("_block"))
+    both = blocked.withColumn("_is_lent", F.lit(0)).unionByName(lent.withColumn("_is_lent", F.lit(1)))
+    both = both.select("*", *[c.alias(name) for name, c in derived.items()])
+    inside = Window.partitionBy("_block").orderBy("_is_lent", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
+    led = both.select("*", *[F.lead(c).over(inside).alias(f"next_{c}") for c in ("text", *derived)])
     return led.where("_is_lent = 0").drop("_block", "_is_lent")
 
 
@@ -101,8 +93,8 @@ def edited(text: Column, after: Column) -> Column:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, both fingerprints and their likeness to each other and to the next document's."""
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("print", sketch(F.col("text")))
-    pairs = with_next(own, ["text", "print"])
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    pairs = with_next(own, {"print": sketch(F.col("text"))})
     out = pairs.withColumn("edited", edited(F.col("text"), F.col("next_text"))).select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
