@@ -6,6 +6,7 @@ from tessera.llm.bpe import op2_bpe
 from tessera.llm.fingerprint import op9_fingerprints
 from tessera.llm.mixing import OP6_SQL, op6_mix
 from tessera.llm.quality import op3_quality
+from tessera.llm.substring import op10_substrings
 from tessera.llm.url_rules import op7_url_rules
 from tessera.llm.warc import OP5_SQL, op5_warc
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_mix": op6_mix,
     "op7_url_rules": op7_url_rules,
     "op9_fingerprints": op9_fingerprints,
+    "op10_substrings": op10_substrings,
 }
 
 ORACLE_SQL = {
