@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm.bpe import op2_bpe
 from tessera.llm.fingerprint import op9_fingerprints
 from tessera.llm.mixing import OP6_SQL, op6_mix
+from tessera.llm.near_dup import op4_near_duplicates
 from tessera.llm.quality import op3_quality
 from tessera.llm.substring import op10_substrings
 from tessera.llm.url_rules import op7_url_rules
@@ -13,6 +14,7 @@ from tessera.llm.warc import OP5_SQL, op5_warc
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_warc": op5_warc,
     "op6_mix": op6_mix,
     "op7_url_rules": op7_url_rules,
