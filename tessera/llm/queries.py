@@ -8,10 +8,12 @@ from tessera.llm.mixing import OP6_SQL, op6_mix
 from tessera.llm.near_dup import op4_near_duplicates
 from tessera.llm.quality import op3_quality
 from tessera.llm.substring import op10_substrings
+from tessera.llm.toxicity import op1_toxicity
 from tessera.llm.url_rules import op7_url_rules
 from tessera.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
     "op4_near_duplicates": op4_near_duplicates,
