@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm.bpe import op2_bpe
 from tessera.llm.fingerprint import op9_fingerprints
+from tessera.llm.html_text import op8_html_text
 from tessera.llm.mixing import OP6_SQL, op6_mix
 from tessera.llm.near_dup import op4_near_duplicates
 from tessera.llm.quality import op3_quality
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_mix": op6_mix,
     "op7_url_rules": op7_url_rules,
+    "op8_html_text": op8_html_text,
     "op9_fingerprints": op9_fingerprints,
     "op10_substrings": op10_substrings,
 }
