@@ -1,0 +1,3 @@
+"""Query plans: each module registers its queries and their SQL."""
+
+from tessera.plans import decision_queries  # noqa: F401
