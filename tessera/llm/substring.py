@@ -6,10 +6,12 @@ words joined by a space, compressed) to the bucket of that minimiser. There the
 equal windows stand together and the least doc_id that starts each is known exactly. Windows that start in a document
 with a smaller doc_id are sent back as ranges, and the words that they cover are removed.
 
-Hot buckets: minimisers that stand in more than HOT_SHARE of the documents of a bounded sample don't travel as strings.
-Their windows go one by one as 128-bit digests, are folded by min(doc_id) in each map task before the shuffle, and are
-joined back, so that a passage in a third of all documents fills no single task. The sample decides the way alone; both
-ways give the same windows.
+A census of minimisers goes first, without any text: one that stands in a single document can hold no repeat, so its
+strings stay at home. The census also tells the hot buckets, those of more than HOT documents. Their strings are folded by
+min(doc_id) inside each map task and again after the shuffle; of each distinct string the windows go on as 128-bit
+digests, folded the same way. So a passage in a third of all documents is never gathered by one task.
+
+Texts are shuffled by document once; the steps that need them share that exchange.
 
 Defined cases: a null text has no words; a null doc_id ranks after all others; rows with equal doc_ids aren't earlier
 than each other; windows repeated inside one document stay; an empty table gives an empty result; other columns are
@@ -28,12 +30,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import saved
+
 WINDOW = 50
 MMER = 8
-#: Documents in the sample that looks for hot minimisers, and the share of them that makes one hot.
-SAMPLE, HOT_SHARE = 40_000, 0.002
-#: A minimiser in the sample so rarely is never hot.
-HOT_LEAST = 50
+#: Documents with one minimiser from which on its bucket is hot.
+HOT = 1000
 LAST = 2**63 - 1
 ADDED = ("n_words", "n_removed", "kept_sha256", "kept_text")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -89,23 +91,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("text_key", F.coalesce(F.xxhash64("text"), F.lit(0)))
 
 
-def hot_minimisers(docs: DataFrame) -> set[int]:
-    """Minimisers in many documents of a sample; at most super-k-mers of a document / HOT_SHARE of them."""
-    share = min(1.0, SAMPLE / max(docs.count(), 1))
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHashes()
-        for batch in batches:
-            found = [np.unique(super_kmers(split_words(t), known)[0]) for t in batch["text"]]
-            ids, n = np.unique(np.concatenate(found), return_counts=True) if found else ([], [])
-            yield pd.DataFrame({"minimiser": np.array(ids, np.uint64).view(np.int64), "n": np.array(n, np.int64)})
-
-    sample = docs.select("text").sample(share, seed=7) if share < 1 else docs.select("text")
-    least = max(HOT_LEAST, HOT_SHARE * share * docs.count())
-    rows = sample.mapInPandas(counted, "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return {r.minimiser for r in rows.select("minimiser").collect()}
-
-
 def _dictionary(docs: DataFrame) -> bytes:
     """Some text that primes the compression of packed strings; it has no effect on results."""
     some = docs.select(F.substring("text", 1, 4000).alias("t")).where(F.length("t") > 0).limit(24).collect()
@@ -157,14 +142,26 @@ def repeated_in_bucket(rows: list[tuple[int, int, int, int, bytes]]) -> list[tup
     return out
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_key, text_key, first, end): ranges of windows that start in a document with a smaller doc_id too."""
-    keyed = _keyed(docs.select("doc_id", "text")).where(F.octet_length("text") >= 2 * WINDOW - 1).select("doc_key", "text_key", "text")
-    hot = np.sort(np.array(list(hot_minimisers(docs)), np.int64))
-    primer = _dictionary(docs)
+NAMES = ["doc_key", "text_key", "first", "n", "packed"]
+RANGES = "doc_key long, text_key long, first int, end int"
+
+
+def census(keyed: DataFrame) -> DataFrame:
+    """(minimiser, doc_key, text_key): the distinct minimisers of each document."""
 
-    def is_hot(found: np.ndarray) -> np.ndarray:
-        return np.isin(found.view(np.int64), hot)
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
+        for batch in batches:
+            own = [np.unique(super_kmers(split_words(t), known)[0]) for t in batch["text"]]
+            n = [len(x) for x in own]
+            least = np.concatenate([*own, np.empty(0, np.uint64)]).view(np.int64)
+            yield pd.DataFrame({"minimiser": least, "doc_key": np.repeat(batch["doc_key"].to_numpy(), n), "text_key": np.repeat(batch["text_key"].to_numpy(), n)})
+
+    return keyed.select("doc_key", "text_key", "text").mapInPandas(found, "minimiser long, doc_key long, text_key long")
+
+
+def packed_strings(texts: DataFrame, primer: bytes) -> DataFrame:
+    """The super-k-mers of each row of texts (doc_key, text_key, text, wanted) whose minimiser is wanted."""
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, prime = WordHashes(), _pack_with(primer)
@@ -173,42 +170,28 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         press = zstandard.ZstdCompressor(level=3, dict_data=prime, write_content_size=True, write_checksum=False, write_dict_id=False).compress
         for batch in batches:
             out = []
-            for doc, key, text in zip(batch["doc_key"], batch["text_key"], batch["text"], strict=True):
+            for doc, key, text, wanted in zip(batch["doc_key"], batch["text_key"], batch["text"], batch["wanted"], strict=True):
                 words = split_words(text)
                 least, first, n = super_kmers(words, known)
-                if not len(least):
-                    continue
                 line = b" ".join(words)
                 at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)))
                 a, b = at[first].tolist(), (at[first + n + WINDOW - 1] - 1).tolist()
-                cold = ~is_hot(least) if len(hot) else np.ones(len(least), bool)
-                for i in np.flatnonzero(cold).tolist():
+                for i in np.flatnonzero(np.isin(least.view(np.int64), np.asarray(wanted, np.int64))).tolist():
                     out.append((int(least[i].view(np.int64)), doc, key, int(first[i]), int(n[i]), press(line[a[i] : b[i]])))
-            yield pd.DataFrame(out, columns=["minimiser", "doc_key", "text_key", "first", "n", "packed"])
+            yield pd.DataFrame(out, columns=["minimiser", *NAMES])
 
-    def single(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHashes()
-        for batch in batches:
-            out = []
-            for doc, key, text in zip(batch["doc_key"], batch["text_key"], batch["text"], strict=True):
-                words = split_words(text)
-                least, first, n = super_kmers(words, known)
-                found = np.flatnonzero(is_hot(least)) if len(least) else []
-                if not len(found):
-                    continue
-                line = b" ".join(words)
-                at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1))).tolist()
-                for i in found:
-                    for j in range(int(first[i]), int(first[i] + n[i])):
-                        out.append((xxhash.xxh3_128_digest(line[at[j] : at[j + WINDOW] - 1]), doc, key, j))
-            yield pd.DataFrame(out, columns=["digest", "doc_key", "text_key", "first"])
+    # The whole row goes in, other columns too, so that this step's exchange of texts is the one the last step uses.
+    return texts.mapInPandas(packed, "minimiser long, doc_key long, text_key long, first int, n int, packed binary")
+
+
+def cold_ranges(strings: DataFrame, primer: bytes) -> DataFrame:
+    """Repeated windows among the strings of each bucket, bucket by bucket."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         press = zstandard.ZstdDecompressor(dict_data=_pack_with(primer)).decompress
-        names = ["doc_key", "text_key", "first", "n", "packed"]
 
         def ranges(frame: pd.DataFrame) -> list[tuple]:
-            return repeated_in_bucket([(d, k, f, n, press(p)) for d, k, f, n, p in zip(*(frame[c] for c in names), strict=True)])
+            return repeated_in_bucket([(d, k, f, n, press(p)) for d, k, f, n, p in zip(*(frame[c] for c in NAMES), strict=True)])
 
         held: pd.DataFrame | None = None
         for batch in batches:
@@ -219,24 +202,57 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
             at = batch["minimiser"].to_numpy()
             edge = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
             held = batch.iloc[edge[-1] :]  # the last bucket may go on in the next batch
-            out: list[tuple] = []
-            if len(edge) > 1:
-                doc = batch["doc_key"].to_numpy()[: edge[-1]]
-                several = np.minimum.reduceat(doc, edge[:-1]) < np.maximum.reduceat(doc, edge[:-1])
-                for k in np.flatnonzero(several):
-                    out += ranges(batch.iloc[edge[k] : edge[k + 1]])
+            out = [r for a, b in zip(edge[:-1], edge[1:], strict=True) for r in ranges(batch.iloc[a:b])]
             yield pd.DataFrame(out, columns=["doc_key", "text_key", "first", "end"])
         if held is not None:
             yield pd.DataFrame(ranges(held), columns=["doc_key", "text_key", "first", "end"])
 
-    strings = keyed.mapInPandas(packed, "minimiser long, doc_key long, text_key long, first int, n int, packed binary")
-    out = strings.repartition("minimiser").sortWithinPartitions("minimiser").mapInPandas(counted, "doc_key long, text_key long, first int, end int")
-    if len(hot):
-        windows = keyed.mapInPandas(single, "digest binary, doc_key long, text_key long, first int")
-        firsts = windows.groupBy("digest").agg(F.min("doc_key").alias("least"), F.max("doc_key").alias("most")).where("least < most").drop("most")
-        again = windows.join(firsts, "digest").where("doc_key > least")
-        out = out.unionByName(again.select("doc_key", "text_key", "first", (F.col("first") + 1).alias("end")))
-    return out
+    return strings.repartition("minimiser").sortWithinPartitions("minimiser").mapInPandas(counted, RANGES)
+
+
+def hot_ranges(strings: DataFrame, primer: bytes) -> DataFrame:
+    """The same for strings of hot buckets, by folded digests and joins."""
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        press = zstandard.ZstdDecompressor(dict_data=_pack_with(primer)).decompress
+        for batch in batches:
+            out = []
+            for packed, least in zip(batch["packed"], batch["least"], strict=True):
+                line, name = press(packed), xxhash.xxh3_128_digest(packed)
+                at = [0, *(np.flatnonzero(np.frombuffer(line, np.uint8) == 32) + 1).tolist(), len(line) + 1]
+                out += [(xxhash.xxh3_128_digest(line[at[j] : at[j + WINDOW] - 1]), name, least, j) for j in range(len(at) - WINDOW)]
+            yield pd.DataFrame(out, columns=["digest", "packed_id", "least", "j"])
+
+    @F.pandas_udf("binary")
+    def name_of(packed: pd.Series) -> pd.Series:
+        return packed.map(xxhash.xxh3_128_digest)
+
+    strings = saved(strings, "hot-strings")
+    once = strings.groupBy("packed").agg(F.min("doc_key").alias("least"))
+    # Of a later document that holds an earlier one's string, every window is repeated.
+    whole = strings.join(once, "packed").where("doc_key > least").select("doc_key", "text_key", "first", (F.col("first") + F.col("n")).alias("end"))
+    cut = saved(once.mapInPandas(windows, "digest binary, packed_id binary, least long, j int"), "hot-windows")
+    firsts = cut.groupBy("digest").agg(F.min("least").alias("lowest"), F.max("least").alias("highest")).where("lowest < highest").drop("highest")
+    again = cut.join(firsts, "digest").where("least > lowest").groupBy("packed_id", "least").agg(F.collect_list("j").alias("js"))
+    owners = strings.withColumn("packed_id", name_of("packed")).select("packed_id", F.col("doc_key"), "text_key", "first")
+    single = owners.join(again, "packed_id").where("doc_key = least").select("doc_key", "text_key", "first", F.explode("js").alias("j"))
+    return whole.unionByName(single.select("doc_key", "text_key", (F.col("first") + F.col("j")).alias("first"), (F.col("first") + F.col("j") + 1).alias("end")))
+
+
+def repeated_windows(keyed: DataFrame) -> DataFrame:
+    """(doc_key, text_key, first, end): ranges of windows that start in a document with a smaller doc_id too."""
+    found = saved(census(keyed), "census")
+    shared = found.groupBy("minimiser").agg(F.count(F.lit(1)).alias("n"), F.min("doc_key").alias("low"), F.max("doc_key").alias("high")).where("low < high")
+    wanted = saved(found.join(shared.select("minimiser", "n"), "minimiser"), "wanted")
+    primer = _dictionary(keyed)
+
+    def strings(part: DataFrame) -> DataFrame:
+        lists = part.groupBy("doc_key", "text_key").agg(F.collect_list("minimiser").alias("wanted"))
+        return packed_strings(keyed.join(lists, ["doc_key", "text_key"]), primer)
+
+    out = cold_ranges(strings(wanted.where(F.col("n") <= HOT)), primer)
+    hot = wanted.where(F.col("n") > HOT)
+    return out if hot.isEmpty() else out.unionByName(hot_ranges(strings(hot), primer))
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -249,8 +265,9 @@ def removed(docs: DataFrame) -> DataFrame:
             out = []
             for text, found in zip(texts, ranges, strict=True):
                 words, gone = split_words(text), 0
+                n = len(words)
                 if found is not None and len(found):
-                    edge = np.zeros(len(words) + 1, np.int64)
+                    edge = np.zeros(n + 1, np.int64)
                     spans = np.array([(r["first"], r["end"]) for r in found], np.int64)
                     np.add.at(edge, spans[:, 0], 1)
                     np.add.at(edge, spans[:, 1] + WINDOW - 1, -1)
@@ -258,14 +275,13 @@ def removed(docs: DataFrame) -> DataFrame:
                     gone = int((~keep).sum())
                     words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
                 line = b" ".join(words)
-                out.append((len(words) + gone, gone, sha256(line).hexdigest(), line.decode("utf-8", "surrogatepass") if gone else None))
+                out.append((n, gone, sha256(line).hexdigest(), line.decode("utf-8", "surrogatepass") if gone else None))
             yield pd.DataFrame(out, columns=list(ADDED))
 
     own = [c for c in docs.columns if c not in ADDED]
-    ranges = repeated_windows(docs).groupBy("doc_key", "text_key").agg(F.collect_list(F.struct("first", "end")).alias("_ranges"))
-    ranges = ranges.select(F.col("doc_key").alias("_d"), F.col("text_key").alias("_t"), "_ranges")
-    keyed = _keyed(docs.select(*own)).withColumnsRenamed({"doc_key": "_doc_key", "text_key": "_text_key"})
-    joined = keyed.join(ranges, (F.col("_doc_key") == F.col("_d")) & (F.col("_text_key") == F.col("_t")), "left")
+    keyed = _keyed(docs.select(*own))
+    ranges = repeated_windows(keyed).groupBy("doc_key", "text_key").agg(F.collect_list(F.struct("first", "end")).alias("_ranges"))
+    joined = keyed.join(ranges, ["doc_key", "text_key"], "left")
     return joined.withColumn("_cut", cut(F.col("text"), F.col("_ranges"))).select(*own, *[F.col(f"_cut.{c}").alias(c) for c in ADDED])
 
 
