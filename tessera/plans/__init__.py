@@ -1,3 +1,4 @@
 """Query plans: each module registers its queries and their SQL."""
 
 from tessera.plans import decision_queries  # noqa: F401
+from tessera.plans import text_queries  # noqa: F401
