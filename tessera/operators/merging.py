@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans import config
+from tessera import config
 
 
 def settle(cur: Column, new: Column, match: Column, grp: Column, overrule: Column | None = None) -> Column:

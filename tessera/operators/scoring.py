@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.plans import config
+from tessera import config
 
 
 def segment(employees: Column) -> Column:

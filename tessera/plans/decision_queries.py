@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import merging, scoring
-from tessera.plans import config
+from tessera import config
 from tessera.plans import leads as L
 from tessera.plans.registry import query
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans import config
+from tessera import config
 
 #: The day on which everything is judged.
 AS_OF = "2001-08-01"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
-from tessera.plans.config import sql_values
+from tessera.config import sql_values
 from tessera.plans.registry import query
 
 
