@@ -6,8 +6,11 @@ coordinate k, and the least value is the coordinate. Bands of coordinates deal d
 
 Documents with equal sets are one node from the start. In a bucket every node is held against the bucket's most popular
 node (the one whose buckets hold most nodes together: the text that the others are copies of), not each with each. Links
-are confirmed on the full sets. After LEADER_ROUNDS of that, what is still in different components of one bucket is
-compared pair by pair, so no link between components is left out. Hashes of 64 bits stand for shingles and sets.
+are confirmed on the full sets. What is then still in different components of one bucket is compared pair by pair, but for
+what cannot be similar: a node loses its place in a bucket where too many of its shingles stand in no other open node, and
+a pair is left out where the two differ too much in their distance from the leader (Jaccard distance is a metric). Both
+bounds are exact, so no link between components is left out, and a group of copies with many stragglers stays linear.
+Hashes of 64 bits stand for shingles and sets.
 
 A pair of similarity 0.8 shares no bucket with a chance of (1 - 0.8 ** ROWS) ** BANDS = 3e-6.
 
@@ -33,7 +36,6 @@ SHINGLE = 4
 BANDS, ROWS = 24, 4
 #: Links hold where 100 * intersection >= SHARE * union.
 SHARE = 80
-LEADER_ROUNDS = 2
 #: Shingles whose signatures are made at a time.
 BLOCK = 1 << 16
 LAST = 2**63 - 1
@@ -120,28 +122,56 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("text_key", F.coalesce(F.xxhash64("text"), F.lit(0)))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, share: int = SHARE) -> DataFrame:
-    """The (a, b) of pairs whose sets are similar enough. Only texts of nodes in pairs are turned into sets again."""
+def sets_of(needed: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, members) of the nodes in needed: their texts are turned into sets again, so sets are never kept for all."""
 
     def as_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for batch in batches:
             yield pd.DataFrame({"node": batch["node"], "members": [shingle_set(t, known).tobytes() for t in batch["text"]]})
 
-    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    asked = needed.join(nodes.select("node", "rep"), "node").select("node", F.col("rep.doc_key").alias("doc_key"), F.col("rep.text_key").alias("text_key"))
+    texts = keyed(docs).select("doc_key", "text_key", "text").join(asked, ["doc_key", "text_key"]).select("node", "text")
+    return texts.mapInPandas(as_sets, "node long, members binary")
+
+
+def compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, both, either) of each of pairs (a, b): sizes of the intersection and the union of their sets."""
+
+    def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = []
+            out = []
             for a, b in zip(batch["left"], batch["right"], strict=True):
                 a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 both = len(np.intersect1d(a, b, assume_unique=True))
-                found.append(100 * both >= share * (len(a) + len(b) - both))
-            yield batch.loc[found, ["a", "b"]]
+                out.append((both, len(a) + len(b) - both))
+            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "both": [x[0] for x in out], "either": [x[1] for x in out]})
 
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "rep"), "node")
-    needed = needed.select("node", F.col("rep.doc_key").alias("doc_key"), F.col("rep.text_key").alias("text_key"))
-    sets = keyed(docs).select("doc_key", "text_key", "text").join(needed, ["doc_key", "text_key"]).select("node", "text").mapInPandas(as_sets, "node long, members binary")
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = sets_of(needed, docs, nodes)
     left, right = sets.select(F.col("node").alias("a"), F.col("members").alias("left")), sets.select(F.col("node").alias("b"), F.col("members").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInPandas(linked, "a long, b long").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInPandas(sizes, "a long, b long, both int, either int")
+
+
+def unshared(needed: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, alone): how many shingles of a node stand in no other node of needed; nodes without any are left out."""
+
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [np.frombuffer(x, np.int64) for x in batch["members"]]
+            yield pd.DataFrame({"member": np.concatenate([*sets, np.empty(0, np.int64)]), "node": np.repeat(batch["node"].to_numpy(), [len(x) for x in sets])})
+
+    rows = sets_of(needed, docs, nodes).mapInPandas(members, "member long, node long")
+    once = rows.groupBy("member").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
+    return once.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+
+
+def with_roots(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """entries of buckets whose nodes are in different components, with each node's root."""
+    named = roots.select(F.col("node").alias("r_node"), F.col("root").alias("r_root"))
+    rooted = entries.drop("root").join(named, F.col("node") == F.col("r_node"), "left").withColumn("root", F.coalesce("r_root", "node")).drop("r_node", "r_root")
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least_n")).where("low < high")
+    return rooted.drop("least_n").join(several.select("bucket", "least_n"), "bucket")
 
 
 def node_components(docs: DataFrame, sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -150,40 +180,39 @@ def node_components(docs: DataFrame, sketch: DataFrame) -> tuple[DataFrame, Data
     nodes = saved(filled.groupBy("node").agg(F.min(F.struct("doc_key", "text_key")).alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands")), "nodes")
     entries = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = saved(entries.join(buckets, "bucket"), "buckets")
-    popular = shared.groupBy("node").agg(F.sum("size").alias("popular"))
-    shared = saved(shared.join(popular, "node").withColumn("root", F.col("node")), "buckets")
-    similar_size = F.expr(f"100 * least(n, m) >= {SHARE} * greatest(n, m)")
-    links, led = None, None
-
-    for step in range(LEADER_ROUNDS + 1):
-        if step < LEADER_ROUNDS:
-            open_nodes = shared if led is None else shared.join(led, ["bucket", "node"], "left_anti")
-            best = open_nodes.groupBy("bucket").agg(F.max(F.struct("popular", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("root").alias("other"))).alias("best"))
-            best = best.select("bucket", "best.leader", "best.m", "best.other")
-            pairs = shared.join(best, "bucket").where(similar_size & (F.col("root") != F.col("other"))).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-            now = best.select("bucket", F.col("leader").alias("node"))
-            led = now if led is None else led.unionByName(now)
-        else:
-            a, b = shared.alias("a"), shared.alias("b")
-            rest = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
-            sizes = F.expr(f"100 * least(a.n, b.n) >= {SHARE} * greatest(a.n, b.n)")
-            pairs = a.join(b, rest & sizes).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-        pairs = saved(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        found = saved(confirmed(pairs, docs, nodes), "confirmed")
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        if step < LEADER_ROUNDS:
-            # Buckets that are one component by now are done.
-            shared = shared.drop("root").join(roots.withColumnRenamed("node", "n_node"), F.col("node") == F.col("n_node"), "left")
-            shared = shared.withColumn("root", F.coalesce("root", "node")).drop("n_node")
-            still = shared.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-            shared = saved(shared.join(still, "bucket", "left_semi"), "buckets")
-    if links is None:
-        roots = nodes.select("node", F.col("node").alias("root")).limit(0)
-    return nodes, roots
+    entries = saved(entries.join(buckets, "bucket"), "buckets")
+    popular = entries.groupBy("node").agg(F.sum("size").alias("popular"))
+    best = entries.join(popular, "node").groupBy("bucket").agg(F.max(F.struct("popular", F.col("node").alias("leader"), F.col("n").alias("m"))).alias("best"))
+    entries = saved(entries.select("bucket", "node", "n").join(best.select("bucket", "best.leader", "best.m"), "bucket"), "buckets")
+    linked = F.expr(f"100 * both >= {SHARE} * either")
+
+    led = entries.where((F.col("node") != F.col("leader")) & F.expr(f"100 * least(n, m) >= {SHARE} * greatest(n, m)"))
+    pairs = saved(led.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
+    if pairs.isEmpty():
+        return nodes, nodes.select("node", F.col("node").alias("root")).limit(0)
+    first = saved(compared(pairs, docs, nodes), "compared")
+    roots = components(first.where(linked).select("a", "b"))
+
+    away = first.select(F.col("a").alias("node"), F.col("b").alias("leader"), (1 - F.col("both") / F.col("either")).alias("away"))
+    still = saved(with_roots(entries, roots).join(away, ["node", "leader"], "left"), "open")
+    if still.isEmpty():
+        return nodes, roots
+    alone = unshared(still.select("node").distinct(), docs, nodes)
+    counted = still.join(alone, "node", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0)))
+    counted = counted.withColumn("away", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.col("away")))
+    # To be similar to a set of m shingles a set of n needs SHARE / (100 + SHARE) of n + m in common; m is SHARE % of n and
+    # the bucket's smallest set at least.
+    enough = F.expr(f"{100 + SHARE} * c >= {SHARE} * (n + greatest({SHARE} * n / 100, least_n))")
+    able = saved(with_roots(counted.where(enough), roots), "able")
+    x, y = able.alias("x"), able.alias("y")
+    pair = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+    common = F.expr(f"{100 + SHARE} * least(x.c, y.c) >= {SHARE} * (x.n + y.n) and 100 * least(x.n, y.n) >= {SHARE} * greatest(x.n, y.n)")
+    near = F.coalesce(F.abs(F.col("x.away") - F.col("y.away")) <= 1 - SHARE / 100 + 1e-9, F.lit(True))
+    rest = saved(x.join(y, pair & common & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
+    if rest.isEmpty():
+        return nodes, roots
+    more = compared(rest, docs, nodes).where(linked).select("a", "b")
+    return nodes, components(first.where(linked).select("a", "b").unionByName(more))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
