@@ -5,7 +5,7 @@ A document has two histograms: its characters by class, and its words by a fixed
 passes the base rules. A document is kept where the Jensen-Shannon distances of both histograms to one language's
 reference stay within their limits; the limit widens with 1 / sqrt(n) for short texts, and the word histogram counts only
 from MIN_WORDS words on. The language column serves to gather the references, never to judge: each document is held
-against all of them, so a missing or wrong language costs nothing.
+against all of them and against mixtures of two, so a missing or wrong language costs nothing.
 
 Base rules: words are runs of anything but ASCII white space; a text fails with fewer than 50 words, or where more than
 half of its words stand in 3-word windows that occur twice or more in it.
@@ -40,8 +40,8 @@ SYMBOLS = "#*$%&|<>"
 MIN_BASE_WORDS = 50
 MIN_WORDS = 60
 #: Limits of the two distances, and how they widen with 1 / sqrt(number of words).
-CHAR_LIMIT, CHAR_SLACK = 0.13, 1.1
-WORD_LIMIT, WORD_SLACK = 0.205, 1.55
+CHAR_LIMIT, CHAR_SLACK = 0.16, 0.9
+WORD_LIMIT, WORD_SLACK = 0.18, 1.5
 
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
 STATS = T.StructType(
@@ -163,7 +163,17 @@ def references(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         table[LANGUAGES.index(lang), at] = n
     table = table[table.sum(1) > 0]
     chars, words = table[:, : len(CLASSES)], table[:, len(CLASSES) :]
-    return chars / np.maximum(chars.sum(1, keepdims=True), 1), words / np.maximum(words.sum(1, keepdims=True), 1)
+    return with_mixtures(chars / np.maximum(chars.sum(1, keepdims=True), 1)), with_mixtures(words / np.maximum(words.sum(1, keepdims=True), 1))
+
+
+#: Shares of the first language in texts of two.
+SHARES = (0.25, 0.5, 0.75)
+
+
+def with_mixtures(table: np.ndarray) -> np.ndarray:
+    """Reference rows and mixtures of each two of them, so that a text in two languages is near one of them."""
+    pairs = [(a, b) for a in range(len(table)) for b in range(a)]
+    return np.concatenate([table, *[[s * table[a] + (1 - s) * table[b]] for a, b in pairs for s in SHARES]]) if pairs else table
 
 
 def judge_text(text: str | None, chars: np.ndarray, common: np.ndarray, bins: Bins) -> tuple:
