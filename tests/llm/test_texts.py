@@ -145,8 +145,12 @@ def test_toxicity_edges(spark, docs_of):
 
 
 def test_misspellings_share_grams():
-    a, b = set(toxicity.grams(b"worthless")), set(toxicity.grams(b"worthles"))
-    assert len(a & b) > len(b) / 2
+    word, bucket = toxicity.grams([b"Worthless!", b"worthles", b"--"])
+    a, b = set(bucket[word == 0]), set(bucket[word == 1])
+    assert len(a & b) > len(b) / 2 and not (word == 2).any()
+    # n-grams of 3 to 6 letters of <worthless>, each hashed alike wherever it stands
+    assert (word == 0).sum() == 9 + 8 + 7 + 6
+    assert {*toxicity.grams([b"x", b"worthless"])[1]} >= a
 
 
 def test_blocks():
