@@ -6,10 +6,12 @@ coordinate k, and the least value is the coordinate. Bands of coordinates deal d
 
 Documents with equal sets are one node from the start. In a bucket every node is held against the bucket's most popular
 node (the one whose buckets hold most nodes together: the text that the others are copies of), not each with each. Links
-are confirmed on the full sets. What is then still in different components of one bucket is compared pair by pair, but for
-what cannot be similar: a node loses its place in a bucket where too many of its shingles stand in no other open node, and
-a pair is left out where the two differ too much in their distance from the leader (Jaccard distance is a metric). Both
-bounds are exact, so no link between components is left out, and a group of copies with many stragglers stays linear.
+are confirmed on the full sets. Of what is then still in different components of one bucket, only those pairs are compared
+that exact bounds leave: a node loses its place in a bucket where too many of its shingles stand in no other open node, a
+pair is left out where the two differ too much in their distance from the leader (Jaccard distance is a metric), and what
+two nodes have in common is either shared with the leader, which holds little of a node far from it, or else found by
+joining the shingles that the leader lacks. So no link between components is left out, and a group of copies with many
+stragglers does not pair each with each.
 Hashes of 64 bits stand for shingles and sets.
 
 A pair of similarity 0.8 shares no bucket with a chance of (1 - 0.8 ** ROWS) ** BANDS = 3e-6.
@@ -135,6 +137,14 @@ def sets_of(needed: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts.mapInPandas(as_sets, "node long, members binary")
 
 
+def with_sets(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, left, right) of each of pairs (a, b): with the sets of both."""
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = sets_of(needed, docs, nodes)
+    left, right = sets.select(F.col("node").alias("a"), F.col("members").alias("left")), sets.select(F.col("node").alias("b"), F.col("members").alias("right"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+
+
 def compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b, both, either) of each of pairs (a, b): sizes of the intersection and the union of their sets."""
 
@@ -147,10 +157,18 @@ def compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 out.append((both, len(a) + len(b) - both))
             yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "both": [x[0] for x in out], "either": [x[1] for x in out]})
 
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = sets_of(needed, docs, nodes)
-    left, right = sets.select(F.col("node").alias("a"), F.col("members").alias("left")), sets.select(F.col("node").alias("b"), F.col("members").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInPandas(sizes, "a long, b long, both int, either int")
+    return with_sets(pairs, docs, nodes).mapInPandas(sizes, "a long, b long, both int, either int")
+
+
+def beside(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, leader, added) of each of pairs (a, b): the shingles of node a that its leader b lacks."""
+
+    def lacking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = [np.setdiff1d(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), assume_unique=True) for a, b in zip(batch["left"], batch["right"], strict=True)]
+            yield pd.DataFrame({"node": batch["a"], "leader": batch["b"], "added": own})
+
+    return with_sets(pairs, docs, nodes).mapInPandas(lacking, "node long, leader long, added array<long>")
 
 
 def unshared(needed: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -174,6 +192,39 @@ def with_roots(entries: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.drop("least_n").join(several.select("bucket", "least_n"), "bucket")
 
 
+#: x and y aren't linked yet, and neither their sizes nor their distances from the leader keep them apart.
+OPEN = f"""x.node < y.node and x.root <> y.root and 100 * least(x.n, y.n) >= {SHARE} * greatest(x.n, y.n)
+    and abs(x.away - y.away) <= 1 - {SHARE} / 100 + 1e-9"""
+#: So many shingles in common are needed by sets of x.n and y.n.
+NEED = f"{SHARE} * (x.n + y.n) / {100 + SHARE}.0 - 1e-6"
+
+
+def pairs_by_added(placed: DataFrame) -> DataFrame:
+    """Pairs of nodes in different components that share a shingle which their leader lacks."""
+    rows = placed.drop("bucket", "least_n").distinct().withColumn("member", F.explode("added")).drop("added")
+    several = rows.groupBy("leader", "member").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    rows = rows.join(several.select("leader", "member"), ["leader", "member"])
+    bound = F.expr(f"least(x.both, y.both) + least(x.c - x.both, y.c - y.both) >= {NEED}")
+    same = (F.col("x.leader") == F.col("y.leader")) & (F.col("x.member") == F.col("y.member"))
+    return rows.alias("x").join(rows.alias("y"), same & F.expr(OPEN) & bound).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def pairs_by_kept(placed: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of nodes in different components for which what they have in common with their leader can be enough.
+
+    Nodes that are not in the leader's component (stray) reach only sets smaller than the leader, so most of a group of
+    near copies leaves the buckets here.
+    """
+    free = placed.drop("added").where(f"both >= {SHARE} * (n + greatest({SHARE} * n / 100, least_n)) / {100 + SHARE}.0 - 1e-6")
+    led = roots.select(F.col("node").alias("leader"), F.col("root").alias("lead_root"))
+    free = free.join(led, "leader", "left").withColumn("stray", ~F.col("root").eqNullSafe(F.coalesce("lead_root", "leader"))).drop("lead_root")
+    reach = free.where("stray").groupBy("bucket").agg(F.max(F.expr(f"{100 + SHARE} * both - {SHARE} * n")).alias("reach"))
+    near = with_roots(free.join(reach, "bucket").where(f"stray or {SHARE} * n <= reach").drop("reach"), roots)
+    same = F.col("x.bucket") == F.col("y.bucket")
+    pairs = near.alias("x").join(near.alias("y"), same & F.expr(OPEN) & F.expr(f"least(x.both, y.both) >= {NEED}"))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def node_components(docs: DataFrame, sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes (node, rep, n) and the (node, root) of those with links."""
     filled = sketch.where("node <> 0")
@@ -193,22 +244,21 @@ def node_components(docs: DataFrame, sketch: DataFrame) -> tuple[DataFrame, Data
     first = saved(compared(pairs, docs, nodes), "compared")
     roots = components(first.where(linked).select("a", "b"))
 
-    away = first.select(F.col("a").alias("node"), F.col("b").alias("leader"), (1 - F.col("both") / F.col("either")).alias("away"))
-    still = saved(with_roots(entries, roots).join(away, ["node", "leader"], "left"), "open")
+    still = saved(with_roots(entries, roots), "open")
     if still.isEmpty():
         return nodes, roots
     alone = unshared(still.select("node").distinct(), docs, nodes)
-    counted = still.join(alone, "node", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0)))
-    counted = counted.withColumn("away", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.col("away")))
+    counted = still.join(alone, "node", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
     # To be similar to a set of m shingles a set of n needs SHARE / (100 + SHARE) of n + m in common; m is SHARE % of n and
-    # the bucket's smallest set at least.
-    enough = F.expr(f"{100 + SHARE} * c >= {SHARE} * (n + greatest({SHARE} * n / 100, least_n))")
+    # the bucket's smallest set at least. The leader itself was held against all that its size allows.
+    enough = F.expr(f"node <> leader and {100 + SHARE} * c >= {SHARE} * (n + greatest({SHARE} * n / 100, least_n))")
     able = saved(with_roots(counted.where(enough), roots), "able")
-    x, y = able.alias("x"), able.alias("y")
-    pair = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-    common = F.expr(f"{100 + SHARE} * least(x.c, y.c) >= {SHARE} * (x.n + y.n) and 100 * least(x.n, y.n) >= {SHARE} * greatest(x.n, y.n)")
-    near = F.coalesce(F.abs(F.col("x.away") - F.col("y.away")) <= 1 - SHARE / 100 + 1e-9, F.lit(True))
-    rest = saved(x.join(y, pair & common & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
+    if able.isEmpty():
+        return nodes, roots
+    against = beside(able.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), docs, nodes)
+    placed = able.join(against, ["node", "leader"]).withColumn("both", F.col("n") - F.size("added"))
+    placed = saved(placed.withColumn("away", 1 - F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).drop("m"), "placed")
+    rest = saved(pairs_by_added(placed).unionByName(pairs_by_kept(placed, roots)).distinct(), "pairs")
     if rest.isEmpty():
         return nodes, roots
     more = compared(rest, docs, nodes).where(linked).select("a", "b")
