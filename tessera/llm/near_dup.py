@@ -10,8 +10,8 @@ are confirmed on the full sets. Of what is then still in different components of
 that exact bounds leave: a node loses its place in a bucket where too many of its shingles stand in no other open node, a
 pair is left out where the two differ too much in their distance from the leader (Jaccard distance is a metric), and what
 two nodes have in common is either shared with the leader, which holds little of a node far from it, or else found by
-joining the shingles that the leader lacks. So no link between components is left out, and a group of copies with many
-stragglers does not pair each with each.
+joining the shingles that the leader lacks. So no link between components is left out. Where a leader itself lacks what
+most of its group share, stragglers still meet most of that group: this part grows with stragglers times group size.
 Hashes of 64 bits stand for shingles and sets.
 
 A pair of similarity 0.8 shares no bucket with a chance of (1 - 0.8 ** ROWS) ** BANDS = 3e-6.

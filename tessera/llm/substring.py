@@ -9,7 +9,9 @@ with a smaller doc_id are sent back as ranges, and the words that they cover are
 A census of minimisers goes first, without any text: one that stands in a single document can hold no repeat, so its
 strings stay at home. The census also tells the hot buckets, those of more than HOT documents. Their strings are folded by
 min(doc_id) inside each map task and again after the shuffle; of each distinct string the windows go on as 128-bit
-digests, folded the same way. So a passage in a third of all documents is never gathered by one task.
+digests, folded the same way. So the copies of one string are never gathered by one task. The join that
+gives each window the least document of its digest is dealt by digest, so a window that very many distinct strings share
+still meets in one task.
 
 Texts are shuffled by document once; the steps that need them share that exchange.
 
