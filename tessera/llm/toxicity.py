@@ -1,8 +1,10 @@
 """Toxicity scores from subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams, borders included, hashed to BUCKETS rows of an embedding table; so a
-misspelling that no training text holds still shares most of its vectors with the word it comes from. A document is read
-in chunks of CHUNK words. A chunk is the mean of its words' vectors, put through a softmax over (clean, toxic); the
+misspelling that no training text holds still shares most of its vectors with the word it comes from. A run of more than
+LONG characters without ASCII white space (joined by no-break spaces, underscores or slashes, or of a script without
+spaces) is cut into pieces of PIECE characters that overlap by OVERLAP, so that each of its n-grams stands whole in one;
+pieces count as words, and are about as long as words, so that a chunk holds about as much text. A document is read in chunks of CHUNK words. A chunk is the mean of its words' vectors, put through a softmax over (clean, toxic); the
 document is as toxic as its worst chunk, so a few words in a long text count as they do in a short one. In training the
 worst chunk of each document carries the gradient into both the softmax and the embeddings.
 
@@ -29,14 +31,25 @@ BUCKETS, DIM = 1 << 18, 16
 GRAMS = (3, 4, 5, 6)
 CHUNK = 24
 MOST_TOXIC, MOST_CLEAN = 2500, 5000
+LONG, PIECE, OVERLAP = 64, 16, GRAMS[-1] - 1
+#: Words whose n-grams are held at a time.
+BLOCK = 50_000
 EPOCHS, BATCH, RATE = 6, 32, 0.5
 PREDICTED = 0.7
 _STRIP = ".,;:!?'\"()[]{}|-*#$%&<>"
 
 
-def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(word, bucket) of every n-gram of some words, all hashed at once; words without letters or digits have none."""
-    edged = [f"<{w.decode('utf-8', 'replace').lower().strip(_STRIP)[:64]}>" for w in words]
+def edged_word(word: bytes) -> str:
+    """A word in lower case between its borders."""
+    return f"<{word.decode('utf-8', 'replace').lower().strip(_STRIP)}>"
+
+
+def grams(words: list[bytes | str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket) of every n-gram of some words, all hashed at once; words without letters or digits have none.
+
+    A piece of a long word is a str and taken as it is.
+    """
+    edged = [w if isinstance(w, str) else edged_word(w) for w in words]
     length = np.fromiter(map(len, edged), np.int64, len(edged))
     points = np.frombuffer("".join(edged).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     word = np.repeat(np.arange(len(edged)), length)
@@ -62,20 +75,32 @@ class WordScores(dict):
     def __init__(self, table: np.ndarray):
         self.table = table
 
-    def of(self, words: list[bytes]) -> np.ndarray:
+    def of(self, words: list[bytes | str]) -> np.ndarray:
         new = list({w for w in words if w not in self})
         if len(self) + len(new) > self.LIMIT:
             self.clear()
             new = list(set(words))
-        if new:
-            word, bucket = grams(new)
-            sums, n = np.bincount(word, self.table[bucket], len(new)), np.bincount(word, minlength=len(new))
-            self.update(zip(new, (sums / np.maximum(n, 1)).tolist(), strict=True))
+        for k in range(0, len(new), BLOCK):
+            some = new[k : k + BLOCK]
+            word, bucket = grams(some)
+            sums, n = np.bincount(word, self.table[bucket], len(some)), np.bincount(word, minlength=len(some))
+            self.update(zip(some, (sums / np.maximum(n, 1)).tolist(), strict=True))
         return np.fromiter(map(self.__getitem__, words), np.float64, len(words))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").split()
+def pieces(word: bytes) -> list[bytes | str]:
+    """The word itself, or the pieces of a long one, borders included."""
+    edged = edged_word(word)
+    if len(edged) <= LONG + 2:
+        return [word]
+    return [edged[k : k + PIECE] for k in range(0, len(edged) - OVERLAP, PIECE - OVERLAP)]
+
+
+def words_of(text: str | None) -> list[bytes | str]:
+    words = (text or "").encode("utf-8", "surrogatepass").split()
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    return [p for w in words for p in (pieces(w) if len(w) > LONG else (w,))]
 
 
 def chunk_starts(n: int) -> np.ndarray:
@@ -115,15 +140,15 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Model:
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 1.0, float(np.log(PREDICTED / (1 - PREDICTED)) - np.log(share / (1 - share))))
     rng = np.random.default_rng(seed)
     # Words as rows of n-gram buckets; documents as rows of word numbers.
-    numbers: dict[bytes, int] = {}
+    numbers: dict[bytes | str, int] = {}
     docs = [np.fromiter((numbers.setdefault(w, len(numbers)) for w in words_of(t)), np.int32) for t in texts]
     names = list(numbers)
     del numbers
     sizes, parts = np.zeros(len(names), np.int64), []
-    for k in range(0, len(names), 50_000):
-        word, bucket = grams(names[k : k + 50_000])
+    for k in range(0, len(names), BLOCK):
+        word, bucket = grams(names[k : k + BLOCK])
         parts.append(bucket[np.argsort(word, kind="stable")])
-        sizes[k : k + 50_000] = np.bincount(word, minlength=len(names[k : k + 50_000]))
+        sizes[k : k + BLOCK] = np.bincount(word, minlength=len(names[k : k + BLOCK]))
     edge, flat = np.concatenate(([0], np.cumsum(sizes))), np.concatenate([*parts, np.empty(0, np.int32)])
     del names, parts
     table = rng.normal(0, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)

@@ -153,6 +153,26 @@ def test_misspellings_share_grams():
     assert {*toxicity.grams([b"x", b"worthless"])[1]} >= a
 
 
+def test_long_words_are_read_whole():
+    long = "".join(chr(0x4E00 + k * 7 % 5000) for k in range(500))
+    split = toxicity.words_of(f"a {long}, {'b' * 64}")
+    assert split[0] == b"a" and split[-1] == b"b" * 64 and max(map(len, split[1:-1])) == toxicity.PIECE
+    assert {*toxicity.grams(split[1:-1])[1]} == {*toxicity.grams([long.encode()])[1]}
+    assert len({*toxicity.grams([long.encode()])[1]}) > 1900  # 500 n-grams of each of four sizes
+
+
+def test_toxicity_of_joined_texts():
+    rng = random.Random(3)
+    plain = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    bad = ["worthless", "idiot", "scum", "moron"]
+    line = lambda n, k: [rng.choice(plain) for _ in range(n)] + rng.sample(bad, k)
+    model = toxicity.train([" ".join(line(30, k)) for k in (0, 4) * 150], np.array([0, 1] * 150))
+    score = lambda t: model.scores_of([t], toxicity.WordScores(model.scores))[0]
+    for joint in ("\u00a0", "\u3000", "_", "/", ""):
+        clean = line(200, 0)
+        assert score(joint.join([*clean, *bad, *line(60, 0)])) > score(joint.join([*clean, *line(60, 0)])) + 0.2, joint
+
+
 def test_blocks():
     page = "<html><head><title>t</title><style>x</style></head><body><nav><a href='/'>Home</a></nav><article class=main><h1>A &amp; B</h1><p>one <b>two</b>\n three<br>four<p>five</article><script>if (a<b) {}</script><!-- <p>no</p> --><p>six &lt;p&gt;"
     got = [(b.text, b.path[-1], round(b.linked)) for b in html_text.blocks(page)]
