@@ -9,7 +9,9 @@ The labeller is trained in each call on generated pages, whose layouts are drawn
 from a sample of the table's own pages, and on that sample itself, labelled by the elements that say what they are
 (article, nav, footer and the like). The sample holds SAMPLE pages, those with the least hash of their id.
 
-Character references are decoded; white space inside a block becomes one space; nothing else is dropped or capped.
+Character references are decoded; white space inside a block becomes one space; the content of script, style, title and
+textarea is no text of the page and dropped; nothing else is dropped or capped. Formulas, drawings, media, templates,
+noscript, frames and selects are elements like others: the labeller judges their text.
 
 Defined cases: a null or empty html gives an empty text; repeated pages are read each; markup that is cut off or not
 closed is read as far as it goes; an empty table gives an empty result; columns other than page_id, url and html are
@@ -31,15 +33,19 @@ from pyspark.sql import functions as F
 
 #: Fixed sets of element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-HIDDEN = frozenset("script style noscript template svg iframe object title head textarea select math canvas audio video".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
+) | frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts semantics annotation".split())
+#: Inside these a tag that ends in a slash has no content; EMPTY can be written so anywhere.
+FOREIGN = frozenset("svg math".split())
+EMPTY = FOREIGN | frozenset("noscript template iframe object select canvas audio video".split())
 #: An opening tag closes these if they are open inside the same parent.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PARENTS = frozenset("ul ol dl table tbody thead tfoot div section article main aside nav header footer form body html blockquote".split())
-_RAW = "script|style|noscript|template|svg|iframe|object|title|textarea|select|math|canvas|audio|video"
+_RAW = "script|style|title|textarea"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+>"
-    rf"|<(?P<raw>{_RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:(?<=/)>|>.*?(?:</(?P=raw)\s*+[^>]*+>|\Z))"
+    rf"|<(?P<raw>{_RAW})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:(?<=/)>|>.*?(?:</(?P=raw)(?=[\s/>])[^>]*+>|\Z))"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:_-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:_-]*+)[^<>]*+(?:>|\Z)",
     re.S | re.I,
@@ -95,8 +101,7 @@ def blocks(page: str | None) -> list[Block]:
             add(m["cdata"])
             continue
         if m["raw"]:
-            if m["raw"].lower() not in INLINE:
-                close()
+            close()
             continue
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
@@ -124,6 +129,8 @@ def blocks(page: str | None) -> list[Block]:
                 break
             if stack[k][0] in PARENTS:
                 break
+        if (m["attrs"] or "").endswith("/") and (tag in EMPTY or any(t in FOREIGN for t, _ in stack)):
+            continue
         names = [tag]
         for found in _NAMES.findall(m["attrs"] or ""):
             names += [f".{x.lower()}" for x in _PARTS.findall("".join(found))]

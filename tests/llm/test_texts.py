@@ -181,6 +181,22 @@ def test_blocks():
     assert len(html_text.blocks("<div class=\"a" * 20_000)) < 3
 
 
+def test_blocks_of_formulas_media_and_custom_elements():
+    texts = lambda page: [b.text for b in html_text.blocks(page)]
+    assert texts("<article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> here.</p></article>") == ["Energy is E=m here."]
+    for tag in ("video", "audio", "object", "math", "svg", "canvas", "noscript", "template", "iframe", "select"):
+        page = f"<article><p>Before.</p><{tag} class=x><p>Inside.</p></{tag}><p>After.</p></article><footer>End.</footer>"
+        got = html_text.blocks(page)
+        assert [b.text for b in got] == ["Before.", "Inside.", "After.", "End."] and "article" in got[1].path and tag not in got[2].path
+        got = html_text.blocks(page.replace(f"</{tag}>", ""))
+        assert [b.text for b in got] == ["Before.", "Inside.", "After.", "End."] and tag not in got[3].path
+        got = html_text.blocks(f"<article><{tag} class='x'/><p>After.</p></article>")
+        assert [(b.text, b.path) for b in got] == [("After.", ("article", "p"))]
+    assert texts("<article><title-bar>One.</title-bar><video-player>Two.</video-player><style-x>Three.</style-x><p>Four.") == ["One.", "Two.", "Three.", "Four."]
+    assert texts("<title>a</title-b>c</title><script>x</scripts>y</script ><textarea>z</textarea><style/><p>One.<script>no") == ["One."]
+    assert texts("<svg><path d='M0'/><text>Label</text></svg><p>One.") == ["Label", "One."]
+
+
 def test_gradients_are_right():
     rng = np.random.default_rng(1)
     model = html_text.Labeller(rng)
