@@ -142,7 +142,7 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def references(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of character classes and of common words, a row for each listed language that has documents."""
+    """Shares of character classes and of common words, a row for each listed language that has documents which pass the base rules."""
     size = len(CLASSES) + len(VOCABULARY) + 1
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,7 +151,8 @@ def references(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             for text, lang in zip(batch["text"], batch["lang"], strict=True):
                 words = encoded(text).split()
-                if len(words) >= MIN_BASE_WORDS:
+                # Counting repeats is left out for texts that are too short anyway.
+                if len(words) >= MIN_BASE_WORDS and not base_failed(len(words), repeat_words(words)):
                     total[lang][: len(CLASSES)] += char_histogram(text)
                     total[lang][len(CLASSES) :] += word_histogram(words, bins)
         yield pd.DataFrame([(lang, i, int(v)) for lang, h in total.items() for i, v in enumerate(h) if v], columns=["lang", "bin", "n"])

@@ -65,6 +65,22 @@ def test_base_counts(spark):
     assert quality.judged(df.limit(0)).count() == 0
 
 
+def test_references_leave_out_what_fails_the_base_rules(spark):
+    rng = random.Random(4)
+    prose = lambda lang, n: " ".join(rng.choice([*quality.COMMON[lang], *(f"{lang}{k}" for k in range(60))]) for _ in range(n))
+    good = {lang: [prose(lang, n) for n in (50, 80, 300)] for lang in ("de", "en")}
+    bad = [("de", "### 11 " * 20_000), ("en", "the " * 60), ("en", prose("en", 49)), ("fr", "la 1 " * 40), ("en", None)]
+    df = spark.createDataFrame([*((lang, t) for lang, ts in good.items() for t in ts), *bad], "lang string, text string")
+    assert not any(100 * plain_quality(t)[4] > 50 * plain_quality(t)[0] for ts in good.values() for t in ts)
+    chars, common = quality.references(df)
+    assert len(chars) == len(common) == 2 + len(quality.SHARES)
+    for k, lang in enumerate(("de", "en")):
+        text, ws = "".join(good[lang]), " ".join(good[lang]).split()
+        lower, digit, blank = (sum(map(text.count, c)) / len(text) for c in ("abcdefghijklmnopqrstuvwxyz", "0123456789", " "))
+        assert np.allclose(chars[k][[quality.CLASSES.index(c) for c in ("lower", "digit", "blank", "symbol")]], [lower, digit, blank, 0])
+        assert np.allclose(common[k][:-1], [ws.count(w) / len(ws) for w in quality.VOCABULARY])
+
+
 def test_quality_keeps_clean_and_drops_junk(spark):
     rows = quality.op3_quality(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
     clean = [r.kept for r in rows if r.quality == 1 and not r.base_failed]
