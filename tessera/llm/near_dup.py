@@ -17,7 +17,8 @@ Hashes of 64 bits stand for shingles and sets.
 A pair of similarity 0.8 shares no bucket with a chance of (1 - 0.8 ** ROWS) ** BANDS = 3e-6.
 
 Defined cases: a text without words is linked with nothing and is its own component; a null doc_id ranks after all
-others, the component of null doc_ids alone is null; rows of equal doc_id are kept or dropped together; an empty table
+others, the component of null doc_ids alone is null; op4 keeps or
+drops rows of equal doc_id together, the pipeline's stage keeps one row of each component; an empty table
 gives an empty result; other columns are passed through, those named like the added ones are replaced.
 """
 
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import saved
+from tessera.llm.common import WORD, saved
 from tessera.llm.graph import components
 from tessera.llm.substring import WordHashes, mixed, split_words
 
@@ -266,15 +267,18 @@ def node_components(docs: DataFrame, sketch: DataFrame) -> tuple[DataFrame, Data
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_key, text_key, n_shingles, component_id) of each row of docs."""
+    """(doc_key, text_key, n_shingles, component, root) of each row of docs.
+
+    root is a node of the component: unlike the least doc_key it tells components of null or repeated doc_ids apart.
+    """
     sketch = saved(sketches(docs), "sketches")
     nodes, roots = node_components(docs, sketch)
     ids = nodes.select("node", F.col("rep.doc_key").alias("least"))
     rooted = ids.join(roots, "node")
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    linked = rooted.join(of_root, "root").select("node", "component")
-    named = saved(ids.join(linked, "node", "left").select("node", F.coalesce("component", "least").alias("component")), "components")
-    return sketch.join(named, "node", "left").select("doc_key", "text_key", "n_shingles", F.coalesce("component", "doc_key").alias("component"))
+    linked = rooted.join(of_root, "root").select("node", "component", "root")
+    named = saved(ids.join(linked, "node", "left").select("node", F.coalesce("component", "least").alias("component"), F.coalesce("root", "node").alias("root")), "components")
+    return sketch.join(named, "node", "left").select("doc_key", "text_key", "n_shingles", F.coalesce("component", "doc_key").alias("component"), "root")
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
@@ -286,6 +290,14 @@ def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: that with the least doc_id."""
-    kept = near_duplicates(docs).where("doc_key = component").select("doc_key", "text_key").distinct()
-    return keyed(docs).join(kept, ["doc_key", "text_key"], "left_semi").select(*docs.columns)
+    """docs with one row of each component: that with the least doc_id, then the least hash of its text.
+
+    A text without words is linked with nothing, so such rows all stay. Of rows that are equal in both one is kept.
+    """
+    least = near_duplicates(docs).where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_key", "text_key")).alias("least"))
+    kept = least.select("least.doc_key", "least.text_key").distinct()
+    filled = keyed(docs).where(F.col("text").rlike(WORD))
+    # Maps can't be hashed; columns of any type come along in a struct, which min_by doesn't compare.
+    by_hash = F.xxhash64("doc_key", *[f.name for f in docs.schema if f.name != "text" and "map<" not in f.dataType.simpleString()])
+    one = filled.join(kept, ["doc_key", "text_key"], "left_semi").groupBy("doc_key", "text_key").agg(F.min_by(F.struct(*docs.columns), by_hash).alias("row"))
+    return one.select("row.*").unionByName(docs.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False))))

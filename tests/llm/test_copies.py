@@ -75,6 +75,15 @@ def test_near_duplicates_edges(spark, docs_of):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 7] and "kept" in kept.columns
 
 
+def test_stage_keeps_one_row_of_each_group(spark, docs_of):
+    a, b, c = "a b c d e f", "q r s t u v", "k l m n o p"
+    rows = [(None, a), (None, a), (None, a.upper()), (None, b), (5, c), (5, c), (5, "g h i j"), (None, c), (8, None), (8, " "), (None, "")]
+    kept = near_dup.without_near_duplicates(docs_of(rows))
+    got = sorted(((r.doc_id, r.text and r.text.lower()) for r in kept.collect()), key=str)
+    assert got == sorted([(None, a), (None, b), (5, c), (5, "g h i j"), (8, None), (8, " "), (None, "")], key=str)
+    assert kept.columns == docs_of(rows).columns
+
+
 def test_long_chain_is_one_component(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(1000, 1001)], "a long, b long")
     got = {r.node: r.root for r in graph.components(links).collect()}
