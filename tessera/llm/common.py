@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,10 +28,16 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def rowed(docs: DataFrame, columns: list[str] | None = None, **helpers: Column) -> DataFrame:
+    """Columns of docs (all, if not said) as one struct row, beside it helpers: no name in docs can clash with theirs."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("row"), *[c.alias(name) for name, c in helpers.items()])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary one is set.
+    Where the session names none, a temporary one is set on a single machine (as in tests); on a cluster that is an error,
+    as no executor would see the driver's files.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -38,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
         found = context._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
         if not found:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             found = tempfile.mkdtemp(prefix="tessera-")
             context.setCheckpointDir(found)
     return found
@@ -55,5 +64,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed_folder(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Deletes the files of saved tables that nothing reads any more: all that follows from them is saved itself."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            removed_folder(df.sparkSession, folder)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
