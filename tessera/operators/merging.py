@@ -27,27 +27,38 @@ def settle(cur: Column, new: Column, match: Column, grp: Column, overrule: Colum
     )
 
 
-def settle_layers(signals: DataFrame, candidates: DataFrame) -> DataFrame:
+#: Type of a fact's offers: the layer, 0 for a marker of that layer and 1 for its answer, the answer and how sure it is.
+OFFERS = "array<struct<layer:int,rank:int,value:string,match:string>>"
+
+
+def _folded(joined: DataFrame) -> DataFrame:
+    """joined (domain, sid, value, grp, offers) with end: the value and the layers that opened a settled answer again."""
+    start = F.struct(F.col("value").alias("value"), F.array().cast("array<int>").alias("opened"))
+
+    def step(acc: Column, offer: Column) -> Column:
+        after = F.when(offer["match"] == "reopen", F.when(acc["value"] == "yes", "check").otherwise(acc["value"])).otherwise(settle(acc["value"], offer["value"], offer["match"], F.col("grp")))
+        opened = acc["value"].isin("yes", "no") & (after == "check") & (offer["rank"] == 1)
+        return F.struct(after.alias("value"), F.when(opened, F.concat(acc["opened"], F.array(offer["layer"]))).otherwise(acc["opened"]).alias("opened"))
+
+    return joined.withColumn("end", F.aggregate(F.coalesce("offers", F.array().cast(OFFERS)), start, step))
+
+
+def settle_layers(signals: DataFrame, candidates: DataFrame, off: dict[int, tuple[str, ...]] | None = None) -> DataFrame:
     """signals (domain, sid, value, grp) after all candidates (domain, sid, layer, value, match), lowest layer first.
 
-    A fact's candidates are a handful, one a layer, so the fold runs inside one row. Where a layer contradicts M1, E4 = yes
-    is opened too; that crosses facts, so it is a second step.
+    off: facts that a layer may not answer. A fact's candidates are a handful, one a layer, so the fold runs inside one row.
+    Where a layer contradicts M1, it opens E4 = yes too, before its own answer to E4; later layers may settle E4 again.
     """
-    offers = candidates.groupBy("domain", "sid").agg(F.array_sort(F.collect_list(F.struct("layer", "value", "match"))).alias("offers"))
+    for layer, sids in (off or {}).items():
+        candidates = candidates.where(~((F.col("layer") == layer) & F.col("sid").isin(*sids)))
+    offer = F.struct("layer", F.lit(1).alias("rank"), "value", "match")
+    offers = candidates.groupBy("domain", "sid").agg(F.array_sort(F.collect_list(offer)).alias("offers"))
     joined = signals.join(offers, ["domain", "sid"], "left")
-    start = F.struct(F.col("value").alias("value"), F.lit(False).alias("contested"))
-
-    def step(acc: Column, offer: Column) -> Column:
-        after = settle(acc["value"], offer["value"], offer["match"], F.col("grp"))
-        opened = acc["value"].isin("yes", "no") & (after == "check")
-        return F.struct(after.alias("value"), (acc["contested"] | opened).alias("contested"))
-
-    folded = joined.withColumn("end", F.aggregate(F.coalesce("offers", F.array().cast("array<struct<layer:int,value:string,match:string>>")), start, step))
-    folded = folded.select("domain", "sid", "grp", F.col("end.value").alias("value"), F.col("end.contested").alias("contested"))
-    opened = folded.where((F.col("sid") == "M1") & F.col("contested")).select("domain", F.lit(True).alias("m1_open"))
-    out = folded.join(opened, "domain", "left")
-    value = F.when(F.col("m1_open") & (F.col("sid") == "E4") & (F.col("value") == "yes"), "check").otherwise(F.col("value"))
-    return out.select("domain", "sid", "grp", value.alias("value"))
+    first = _folded(joined.where("sid = 'M1'")).select("domain", F.transform(F.col("end.opened"), lambda x: F.struct(x.alias("layer"), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("value"), F.lit("reopen").alias("match"))).alias("marks"))
+    first = first.where(F.size("marks") > 0).select("domain", F.lit("E4").alias("sid"), "marks")
+    marked = joined.join(first, ["domain", "sid"], "left")
+    every = F.when(F.col("marks").isNull(), F.col("offers")).otherwise(F.array_sort(F.concat(F.coalesce("offers", F.array().cast(OFFERS)), "marks")))
+    return _folded(marked.withColumn("offers", every)).select("domain", "sid", "grp", F.col("end.value").alias("value"))
 
 
 def derive(signals: DataFrame, opposites: dict[str, str] = config.OPPOSITES) -> DataFrame:

@@ -4,3 +4,4 @@ from tessera.plans import decision_queries  # noqa: F401
 from tessera.plans import text_queries  # noqa: F401
 from tessera.plans import report_queries  # noqa: F401
 from tessera.plans import stream_queries  # noqa: F401
+from tessera.plans import site_queries  # noqa: F401

@@ -195,16 +195,15 @@ def _settle_sql(cur: str, new: str, match: str) -> str:
       WHEN {cur} NOT IN ('check', 'unknown') THEN {cur} WHEN {cur} = 'check' AND {said} = 'check' THEN {cur} ELSE {said} END"""
 
 
-_OFFER_ROWS = " UNION ALL ".join(
-    [f"SELECT domain, '{s}' AS sid, 1 AS layer, {e} AS new, {MATCH[1]} AS how FROM leads" for s, e in OFFERS.items()]
-    + [f"SELECT domain, '{s}' AS sid, 2 AS layer, {PROVIDER} AS new, {MATCH[2]} AS how FROM leads" for s in ("M1", "M3", "F3")]
-)
-SETTLED_SQL = f"""offers AS ({_OFFER_ROWS}),
-base AS (SELECT s.domain, s.sid, r.grp, s.value AS v0 FROM signals s JOIN roles r ON r.sid = s.sid AND r.pipeline = 'services'),
-one AS (SELECT b.*, {_settle_sql("b.v0", "o.new", "o.how")} AS v1 FROM base b LEFT JOIN offers o ON o.domain = b.domain AND o.sid = b.sid AND o.layer = 1),
-two AS (SELECT b.*, {_settle_sql("b.v1", "o.new", "o.how")} AS v2 FROM one b LEFT JOIN offers o ON o.domain = b.domain AND o.sid = b.sid AND o.layer = 2),
-opened AS (SELECT domain FROM two WHERE sid = 'M1' AND ((v0 IN ('yes', 'no') AND v1 = 'check') OR (v1 IN ('yes', 'no') AND v2 = 'check'))),
-settled AS (SELECT t.domain, t.sid, CASE WHEN t.sid = 'E4' AND t.v2 = 'yes' AND o.domain IS NOT NULL THEN 'check' ELSE t.v2 END AS value FROM two t LEFT JOIN opened o USING (domain))"""
+_OFFERED = [(s, 1, e, MATCH[1]) for s, e in OFFERS.items()] + [(s, 2, PROVIDER, MATCH[2]) for s in ("M1", "M3", "F3")]
+SETTLED_SQL = f"""offers AS MATERIALIZED (SELECT domain, unnest([{", ".join(f"{{'sid': '{s}', 'layer': {layer}, 'new': {e}, 'how': {how}}}" for s, layer, e, how in _OFFERED)}], recursive := true) FROM leads),
+wide_offers AS MATERIALIZED (SELECT domain, sid, max(new) FILTER (layer = 1) AS new1, max(how) FILTER (layer = 1) AS how1, max(new) FILTER (layer = 2) AS new2, max(how) FILTER (layer = 2) AS how2 FROM offers GROUP BY domain, sid),
+base AS MATERIALIZED (SELECT s.domain, s.sid, r.grp, s.value AS v0, new1, how1, new2, how2 FROM signals s JOIN roles r ON r.sid = s.sid AND r.pipeline = 'services' LEFT JOIN wide_offers o ON o.domain = s.domain AND o.sid = s.sid),
+m1 AS MATERIALIZED (SELECT domain, v0 IN ('yes', 'no') AND v1 = 'check' AS open1, v1 IN ('yes', 'no') AND v2 = 'check' AS open2
+  FROM (SELECT *, {_settle_sql("v1", "new2", "how2")} AS v2 FROM (SELECT *, {_settle_sql("v0", "new1", "how1")} AS v1 FROM base WHERE sid = 'M1'))),
+one AS (SELECT b.*, {_settle_sql("b.u0", "b.new1", "b.how1")} AS v1 FROM (SELECT b.*, m.open2, CASE WHEN b.sid = 'E4' AND b.v0 = 'yes' AND coalesce(m.open1, FALSE) THEN 'check' ELSE b.v0 END AS u0 FROM base b LEFT JOIN m1 m USING (domain)) b),
+two AS (SELECT *, CASE WHEN sid = 'E4' AND v1 = 'yes' AND coalesce(open2, FALSE) THEN 'check' ELSE v1 END AS u1 FROM one),
+settled AS MATERIALIZED (SELECT domain, sid, {_settle_sql("u1", "new2", "how2")} AS value FROM two)"""
 
 
 def settled(spark, sf_dir) -> DataFrame:

@@ -22,7 +22,7 @@ def normalize_domain(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", S.normalize_domain(F.col("url")).alias("domain"))
 
 
-NAME_KEY_SQL = rf"""regexp_replace(trim(regexp_replace(trim(regexp_replace(replace(regexp_replace(lower(%s), '\([^)]*\)', ' ', 'g'), '&', ' and '), '[^a-z0-9]+', ' ', 'g')), '^the ', '')), '( ({S.SUFFIXES}))+$', '')"""
+NAME_KEY_SQL = rf"""regexp_replace(regexp_replace(trim(regexp_replace(replace(regexp_replace(lower(%s), '\([^\n]*?\)', ' ', 'g'), '&', ' and '), '[^a-z0-9]+', ' ', 'g')), '^(the( |$))+', ''), '(?:(?:^| )(?:inc|incorporated|corp|corporation|co|llc|lc|ltd|limited|pbc|plc|lp|llp|org|the))+$', '')"""
 
 
 @query("name_key", f"SELECT p_partkey, {NAME_KEY_SQL % repr('The ').replace(repr('The '), chr(39) + 'The ' + chr(39) + ' || p_name || ' + chr(39) + ' & Sons (US), Inc. LLC' + chr(39))} AS name_key FROM part")

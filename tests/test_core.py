@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
-from tessera.operators import merging, relational, scoring
+from tessera.operators import merging, page_facts, relational, scoring
 from tessera import config
 
 
@@ -52,7 +52,7 @@ def test_a_no_closes_open_musts(spark):
 
 
 def test_circular_conditions_are_refused(monkeypatch):
-    monkeypatch.setitem(config.RUN_IF, "product", {"M1": "M2", "M2": "M1"})
+    monkeypatch.setitem(config.RUN_IF, "product", {"M1": {"M2": config.YES}, "M2": {"M1": config.YES}})
     with pytest.raises(ValueError):
         config.in_order("product")
 
@@ -72,8 +72,10 @@ def test_segments(spark):
 def test_domains_and_names(spark):
     df = spark.createDataFrame([("https://www.Example.com/a?b#c",), ("EXAMPLE.co.uk:80",), ("no domain",), ("",), (None,)], "x string")
     assert [r[0] for r in df.select(S.normalize_domain(F.col("x"))).collect()] == ["example.com", "example.co.uk", None, None, None]
-    df = spark.createDataFrame([("The Acme & Sons (US), Inc. LLC",), ("Company",), (None,)], "x string")
-    assert [r[0] for r in df.select(S.name_key(F.col("x"))).collect()] == ["acme and sons", "company", None]
+    df = spark.createDataFrame([("The Acme & Sons (US), Inc. LLC",), ("Company",), ("The Wikimedia Foundation Org",), ("The the Inc",), ("Theory Lc",), (None,)], "x string")
+    assert [r[0] for r in df.select(S.name_key(F.col("x"))).collect()] == ["acme and sons", "company", "wikimedia foundation", "", "theory", None]
+    long = "A " + "b" * 3000
+    assert spark.createDataFrame([(long,)], "x string").select(S.other_names(F.col("x"))).first()[0] == "b" * 3000
 
 
 def test_money_and_dates(spark):
@@ -96,3 +98,29 @@ def test_filter_tree(spark):
     assert keep({"all": [{"column": "name", "op": "filled"}, {"column": "size", "op": "lt", "value": "9", "on": False}]}) == ["A10", "a9"]
     assert [r.name for r in df.orderBy(*relational.grid_order([("name", False)])).collect()] == ["a9", "A10", ""]
     assert [r.name for r in df.orderBy(*relational.grid_order([("name", True)])).collect()] == ["A10", "a9", ""]
+
+
+def test_a_later_layer_settles_what_an_earlier_one_opened(spark):
+    """A strong contradiction of M1 opens E4 at its layer; the next layer may answer E4 again."""
+    facts = spark.createDataFrame([("a", "M1", "no", "must"), ("a", "E4", "yes", "exclusion"), ("b", "M1", "no", "must"), ("b", "E4", "yes", "exclusion")], "domain string, sid string, value string, grp string")
+    offers = spark.createDataFrame([("a", "M1", 1, "yes", "strong"), ("a", "E4", 2, "no", "strong"), ("b", "M1", 2, "yes", "strong"), ("b", "E4", 1, "no", "weak")], "domain string, sid string, layer int, value string, match string")
+    got = {(r.domain, r.sid): r.value for r in merging.settle_layers(facts, offers).collect()}
+    assert got == {("a", "M1"): "check", ("a", "E4"): "no", ("b", "M1"): "check", ("b", "E4"): "check"}
+    off = {(r.domain, r.sid): r.value for r in merging.settle_layers(facts, offers, {1: ("M1",), 2: ("M1", "E4")}).collect()}
+    assert off == {("a", "M1"): "no", ("a", "E4"): "yes", ("b", "M1"): "no", ("b", "E4"): "yes"}
+
+
+def test_facts_of_pages_and_jobs(spark):
+    pages = spark.createDataFrame(
+        [("a.com", 1, "home", "We use Ramp. Ramp up now.", "<script>loadStripe ('x')</script>"), ("a.com", 2, "terms", "Acme is a Delaware corporation. Cards by Brex.", ""), ("b.io", 3, "legal", "You may connect your Brex account.", ""),
+         ("b.io", 4, "home", "Ramp up quickly with Mercury.", ""), ("c.de", 5, "terms", "governed by the laws of Germany", "")],
+        "domain string, page_no int, kind string, text string, html string",
+    )
+    jobs = spark.createDataFrame([("b.io", 1, "Controller", "We know QuickBooks Enterprise and Brex.", True), ("a.com", 1, "Engineer", "You like QuickBooks", False)], "domain string, job_no int, title string, description string, remote boolean")
+    tools = {(r.domain, r.tool): r.value for r in page_facts.tools(pages, jobs).collect()}
+    assert tools == {("a.com", "Stripe"): "yes", ("a.com", "Ramp"): "check", ("a.com", "Brex"): "yes", ("b.io", "Brex"): "yes"}
+    assert {(r.domain, r.sid): r.value for r in page_facts.competitor_facts(pages, jobs).collect()} == {("a.com", "F4"): "yes", ("b.io", "W10"): "check"}
+    place = {(r.domain, r.sid): r.value for r in page_facts.place_facts(pages, 2026).collect()}
+    assert place[("a.com", "M1")] == "yes" and place[("a.com", "F3")] == "yes" and place[("c.de", "M1")] == "no" and place[("c.de", "E4")] == "yes"
+    boards = pages.limit(1).withColumn("html", F.lit("<a href=https://jobs.lever.co/jobs></a><a href=https://jobs.lever.co/Acme.io>"))
+    assert [tuple(r) for r in page_facts.job_boards(boards).collect()] == [("a.com", "lever", "Acme.io")]
