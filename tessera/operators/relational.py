@@ -38,12 +38,33 @@ def fresh(created: Column, as_of: str, days: int) -> Column:
     return created >= F.date_sub(F.lit(as_of).cast("date"), days)
 
 
+#: Ranges of an ordered running sum.
+RANGES = 64
+
+
+def running(df: DataFrame, order: str, names: list[str]) -> DataFrame:
+    """df with before_<name> for each of names: its sum over the rows of smaller order, and total_<name>.
+
+    Rows are dealt to ranges by quantiles of the order; each range sums its own, and the sums of the ranges before it, RANGES
+    at most, are added. So no task holds the whole order.
+    """
+    edges = df.agg(F.percentile_approx(order, [k / RANGES for k in range(1, RANGES)]).alias("e")).first().e or []
+    part = F.lit(0)
+    for e in sorted(set(edges)):
+        part = part + (F.col(order) > e).cast("int")
+    ranged = df.withColumn("_range", part)
+    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_range").agg(*[F.sum(n).alias(f"sum_{n}") for n in names])
+    before, every = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    sums = sums.select("_range", *[F.coalesce(F.sum(f"sum_{n}").over(before), F.lit(0)).alias(f"base_{n}") for n in names], *[F.sum(f"sum_{n}").over(every).alias(f"total_{n}") for n in names])
+    joined = ranged.join(F.broadcast(sums), "_range")  # RANGES rows
+    return joined.select(*df.columns, *[(F.col(f"base_{n}") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(f"before_{n}") for n in names], *[f"total_{n}" for n in names])
+
+
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the curve from mid-ranks of distinct scores; scores are folded first, so the one ordered window runs
-    over distinct scores, not rows."""
+    """Area under the curve from mid-ranks of distinct scores; scores are folded first."""
     by_score = df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pairs = by_score.withColumn("won", F.col("p") * (below + F.col("n") / 2))
+    pairs = running(by_score, score, ["n"]).withColumn("won", F.col("p") * (F.col("before_n") + F.col("n") / 2))
     sums = pairs.agg(F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return sums.select(F.round(F.try_divide("won", F.col("p") * F.col("n")), 6).alias("auc"))
 
@@ -51,9 +72,9 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
 def best_cutoff(df: DataFrame, score: str, label: str) -> DataFrame:
     """The score from which on the true less the false positive rate is highest; the smallest of equals."""
     by_score = df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    down, everything = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    rates = by_score.withColumn("tpr", F.sum("p").over(down) / F.sum("p").over(everything)).withColumn("fpr", F.sum("n").over(down) / F.sum("n").over(everything))
-    j = F.round(F.col("tpr") - F.col("fpr"), 9)
+    rates = running(by_score, score, ["p", "n"])
+    rate = lambda n: (F.col(f"total_{n}") - F.col(f"before_{n}")) / F.col(f"total_{n}")
+    j = F.round(rate("p") - rate("n"), 9)
     return rates.select(score, j.alias("j")).agg(F.max(F.struct("j", (-F.col(score)).alias("down"))).alias("b")).select((-F.col("b.down")).alias("cutoff"), F.round("b.j", 6).alias("j"))
 
 

@@ -6,3 +6,4 @@ from tessera.plans import report_queries  # noqa: F401
 from tessera.plans import stream_queries  # noqa: F401
 from tessera.plans import site_queries  # noqa: F401
 from tessera.plans import answer_queries  # noqa: F401
+from tessera.plans import work_queries  # noqa: F401

@@ -13,6 +13,7 @@ from tessera.config import sql_values
 from tessera.functions import page_rules as P
 from tessera.operators import page_facts as O
 from tessera.plans.registry import query
+from tessera.sources import files
 
 YEAR = 2026
 KINDS = ("home", "about", "pricing", "terms")
@@ -266,3 +267,36 @@ _AT = "s_suppkey * 3 + k * 4 + s_suppkey // 7"
 )
 def facts_by_dns(spark, sf_dir):
     return O.dns_facts(records(spark, sf_dir))
+
+
+#: A feed of each board with two jobs and one without a title; @t stands for the title, @n for a number.
+BODIES = {
+    "greenhouse": ('{"jobs":[{"title":"@t","location":{"name":"Remote, US"},"content":"<p>Do &amp; say</p>","absolute_url":"https://g/@n"},{"title":" "},{"title":"Two"}]}', "@t", "Remote, US", True, "Do & say", "https://g/@n"),
+    "lever": ('[{"text":"@t","categories":{"location":"Ulm"},"descriptionPlain":"One","lists":[{"content":"<li>two</li>"}],"additionalPlain":"three","workplaceType":"remote","hostedUrl":"https://l/@n"},{"text":""},{"text":"Two"}]', "@t", "Ulm", True, "One two three", "https://l/@n"),
+    "ashby": ('{"jobs":[{"title":"@t","location":"Rome","isRemote":true,"descriptionPlain":"","descriptionHtml":"<b>Hi</b>","jobUrl":"https://a/@n"},{"location":"x"},{"title":"Two"}]}', "@t", "Rome", True, "Hi", "https://a/@n"),
+    "workable": ('{"jobs":[{"title":"@t","city":"Bonn","country":"Germany","telecommuting":false,"description":"x","url":"https://w/@n"},{"title":null},{"title":"Two"}]}', "@t", "Bonn, Germany", False, "x", "https://w/@n"),
+    "rippling": ('{"items":[{"name":"@t","locations":[{"name":"Remote"},{"name":"NYC"}],"url":"https://r/@n"},{"name":""},{"name":"Two"}]}', "@t", "Remote, NYC", True, "", "https://r/@n"),
+    "workday": ('{"jobPostings":[{"title":"@t","locationsText":"Oslo","remoteType":"Fully Remote","externalPath":"/job/@n"},{"title":""},{"title":"Two"}]}', "@t", "Oslo", True, "", "https://acme.wd5.myworkdayjobs.com/Site/job/@n"),
+    "bamboohr": ('{"result":[{"id":"@n","jobOpeningName":"@t","location":{"city":"Waco","state":"TX"},"isRemote":null,"locationType":"1"},{"id":"2"},{"id":"3","jobOpeningName":"Two"}]}', "@t", "Waco, TX", True, "", "https://acme.wd5/Site.bamboohr.com/careers/@n"),
+    "dover": ('{"results":[{"title":"@t","locations":[{"name":null,"location_type":"REMOTE"}]},{"title":""},{"title":"Two","locations":[]}]}', "@t", "REMOTE", True, "", ""),
+    "smartrecruiters": ('{"content":[{"name":"@t","location":{"city":"Lyon","country":"fr","remote":false}},{"name":""},{"name":"Two"}]}', "@t", "Lyon, fr", False, "", ""),
+    "recruitee": ('{"offers":[{"title":"@t","location":"Gent","remote":true,"description":"<p>a</p>b","careers_url":"https://o/@n"},{"title":""},{"title":"Two"}]}', "@t", "Gent", True, "a b", "https://o/@n"),
+    "breezy": ('[{"name":"@t","location":{"name":"Kiel","is_remote":false},"url":"https://b/@n"},{"name":""},{"name":"Two"}]', "@t", "Kiel", False, "", "https://b/@n"),
+    "teamtailor": ("<rss><channel><item><title>@t</title><description>hey</description><link>https://t/@n</link></item><item><title></title></item><item><title>Two</title></item></channel></rss>", "@t", "", False, "hey", "https://t/@n"),
+    "personio": ("<workzag-jobs><position><name>@t</name><office>Graz</office><jobDescriptions><jobDescription><value>v1</value></jobDescription><jobDescription><value>v2</value></jobDescription></jobDescriptions></position><position><office>x</office></position><position><name>Two</name></position></workzag-jobs>", "@t", "Graz", False, "v1 v2", ""),
+}
+_WANTED = [(k, b, *[str(x).replace("True", "true").replace("False", "false") for x in row[1:]]) for k, (b, row) in enumerate(BODIES.items())]
+
+
+@query(
+    "job_feeds",
+    f"""WITH {sql_values(_WANTED, "wanted", "k, shape, title, location, remote, description, url")}, p AS (SELECT 'd' || p_partkey AS domain, p_name, p_partkey, shape, wanted.* EXCLUDE (k, shape) FROM part JOIN wanted ON k = p_partkey % {len(BODIES)})
+    SELECT domain, shape, 0 AS job_no, p_name AS title, location, CAST(remote AS BOOLEAN) AS remote, description, replace(url, '@n', CAST(p_partkey AS VARCHAR)) AS url FROM p
+    UNION ALL SELECT domain, shape, 1, 'Two', '', FALSE, '', CASE shape WHEN 'workday' THEN 'https://acme.wd5.myworkdayjobs.com/Site' WHEN 'bamboohr' THEN 'https://acme.wd5/Site.bamboohr.com/careers/3' ELSE '' END FROM p""",
+)
+def job_feeds(spark, sf_dir):
+    """The feeds of all boards, each built from a part's name; what is read out is known from how they are built."""
+    n = F.col("p_partkey")
+    body = F.replace(F.replace(chosen([b for b, *_ in BODIES.values()], n), F.lit("@t"), F.col("p_name")), F.lit("@n"), n.cast("string"))
+    feeds = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("d"), n.cast("string")).alias("domain"), chosen(list(BODIES), n).alias("shape"), F.lit("acme.wd5/Site").alias("account"), body.alias("body"))
+    return files.parse_feeds(feeds).join(feeds.select("domain", "shape"), "domain").select("domain", "shape", "job_no", "title", "location", "remote", "description", "url")

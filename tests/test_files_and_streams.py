@@ -30,14 +30,15 @@ def test_log(spark, tmp_path):
 
 def test_feeds(spark):
     rows = [
-        ("a", "jobs_located", '{"jobs": [{"title": "Clerk", "location": {"name": "Remote"}, "content": "<p>Do  it</p>", "absolute_url": "u"}]}'),
-        ("b", "postings", '[{"text": "Cook", "categories": {"location": "Bonn"}, "descriptionPlain": "x", "hostedUrl": "v"}]'),
-        ("c", "results", "<html>"), ("d", "offers", '{"offers": []}'),
+        ("a", "greenhouse", "x", '{"jobs": [{"title": ""}, {"title": "Clerk", "location": {"name": "Remote"}, "content": "<p>Do  it &amp;amp; go</p>", "absolute_url": "u"}]}'),
+        ("b", "lever", "x", '[{"text": "Cook", "categories": {"location": "Bonn"}, "descriptionPlain": "x", "hostedUrl": "v"}]'),
+        ("c", "dover", "x", "<html>"), ("d", "recruitee", "x", '{"offers": []}'), ("e", "personio", "x", "<workzag-jobs><position><name>Baker</name><office>Ulm</office></position></workzag-jobs>"),
     ]
-    feeds = spark.createDataFrame(rows, "domain string, shape string, body string")
+    feeds = spark.createDataFrame(rows, "domain string, shape string, account string, body string")
     got = {r.domain: (r.title, r.location, r.remote, r.description, r.url) for r in files.parse_feeds(feeds).collect()}
-    assert got == {"a": ("Clerk", "Remote", True, "Do it", "u"), "b": ("Cook", "Bonn", False, "x", "v")}
-    assert {r.domain: r.jobs for r in files.feed_counts(feeds).collect()} == {"a": 1, "b": 1, "c": None, "d": 0}
+    assert got == {"a": ("Clerk", "Remote", True, "Do it &amp; go", "u"), "b": ("Cook", "Bonn", False, "x", "v"), "e": ("Baker", "Ulm", False, "", "")}
+    assert files.parse_feeds(feeds, most=1).count() == 3
+    assert {r.domain: r.jobs for r in files.feed_counts(feeds).collect()} == {"a": 2, "b": 1, "c": None, "d": 0, "e": 1}
 
 
 def test_sinks(spark, tmp_path):
