@@ -94,15 +94,33 @@ def no_rules(pipeline: str) -> tuple[str, list[str]]:
     return " OR ".join(tests), [s for s, g in group.items() if g in ("must", "exclusion")]
 
 
-def close_gates(signals: DataFrame, pipeline: str) -> DataFrame:
-    """Facts that don't apply any more become na. The run_if graph is unrolled on the driver from its configuration, so a
-    domain's facts are pivoted once and closed by plain expressions, parents first."""
-    sids = [sid for _, sid, _ in config.facts()]
-    wide = signals.groupBy("domain").agg(*[F.max(F.when(F.col("sid") == s, F.col("value"))).alias(f"v_{s}") for s in sids])
+def close_wide(wide: DataFrame, pipeline: str) -> DataFrame:
+    """wide (v_<fact> for each fact) once facts that don't apply any more are na: parents first, one projection for each depth
+    of the run_if graph. Nothing is shuffled."""
     is_no, closed = no_rules(pipeline)
-    wide = wide.withColumn("_no", F.expr(is_no))
-    wide = wide.withColumns({f"v_{s}": F.expr(f"CASE WHEN _no AND v_{s} IN ('unknown', 'check') THEN 'na' ELSE v_{s} END") for s in closed})
+    out = wide.withColumn("_no", F.expr(is_no))
+    out = out.withColumns({f"v_{s}": F.expr(f"CASE WHEN _no AND v_{s} IN ('unknown', 'check') THEN 'na' ELSE v_{s} END") for s in closed})
+    depth: dict[str, int] = {}
+    rules: dict[int, dict[str, Column]] = {}
     for sid, rule in gate_rules(pipeline):
-        wide = wide.withColumn(f"v_{sid}", F.expr(rule))
-    cells = [F.struct(F.lit(s).alias("sid"), F.col(f"v_{s}").alias("value")) for s in sids]
+        depth[sid] = 1 + max((depth.get(p, 0) for p in config.run_if(pipeline)[sid]), default=0)
+        rules.setdefault(depth[sid], {})[f"v_{sid}"] = F.expr(rule)
+    for k in sorted(rules):
+        out = out.withColumns(rules[k])
+    return out.drop("_no")
+
+
+def unpivoted(wide: DataFrame) -> DataFrame:
+    """(domain, sid, value) of wide rows; facts without a value are left out."""
+    cells = [F.struct(F.lit(sid).alias("sid"), F.col(f"v_{sid}").alias("value")) for _, sid, _ in config.facts()]
     return wide.select("domain", F.explode(F.array(*cells)).alias("cell")).select("domain", "cell.sid", "cell.value").where(F.col("value").isNotNull())
+
+
+def pivoted(signals: DataFrame) -> DataFrame:
+    """One row a domain from (domain, sid, value): one shuffle of the facts."""
+    return signals.groupBy("domain").agg(*[F.max(F.when(F.col("sid") == s, F.col("value"))).alias(f"v_{s}") for _, s, _ in config.facts()])
+
+
+def close_gates(signals: DataFrame, pipeline: str) -> DataFrame:
+    """Facts (domain, sid, value) that don't apply any more become na."""
+    return unpivoted(close_wide(pivoted(signals), pipeline))

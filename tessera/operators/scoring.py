@@ -42,6 +42,12 @@ def decide(signals: DataFrame, status: DataFrame, pipeline: str) -> DataFrame:
         F.count_if(must & (v == "no")).alias("nos"),
         F.max(F.when(F.col("sid") == "M2", v)).alias("m2"),
     )
+    joined = with_verdict(status.join(flags, "domain"), pipeline)
+    return joined.select("domain", "gate", "verdict", icp("verdict").alias("icp"), F.col("confirmed").cast("long").alias("confirmed"), "checks", "excluded", "failed", "prelaunch")
+
+
+def with_verdict(flags: DataFrame, pipeline: str) -> DataFrame:
+    """flags (status, excluded, failed, prelaunch, checks, confirmed, musts, nos, m2) with gate and verdict."""
     some = lambda c: F.col(c) != ""
     lost = F.col("status").isin("unreachable", "error") | ((F.col("status") == "blocked") & ~(some("checks") | some("excluded") | (F.col("nos") > 0) | (F.col("confirmed") > 0)))
     gate = (
@@ -54,8 +60,50 @@ def decide(signals: DataFrame, status: DataFrame, pipeline: str) -> DataFrame:
         .when(some("checks"), "Needs AI check").when(F.col("gate") == "pass", "Yes").when(some("prelaunch"), "Yes (pre-launch)")
         .when(no_site, "Needs a call: no website").otherwise("Yes (some must-haves unconfirmed)")
     )
-    joined = status.join(flags, "domain").withColumn("gate", gate).withColumn("verdict", verdict)
-    return joined.select("domain", "gate", "verdict", icp("verdict").alias("icp"), F.col("confirmed").cast("long").alias("confirmed"), "checks", "excluded", "failed", "prelaunch")
+    return flags.withColumn("gate", gate).withColumn("verdict", verdict)
+
+
+def decide_wide(wide: DataFrame, pipeline: str) -> DataFrame:
+    """decide on one row a domain: wide (status and v_<fact> for each fact) with gate, verdict, icp and the lists behind them.
+    Nothing is shuffled."""
+    of = {g: [sid for p, sid, group, _, _ in config.roles() if p == pipeline and group == g] for g in ("must", "exclusion")}
+    soft = config.SOFT_MUSTS[pipeline]
+    v = lambda sid: F.col(f"v_{sid}")
+    listed = lambda sids, value: F.array_join(F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(v(s) == value, s) for s in sids])), ",")
+    count = lambda sids, value: sum(((F.coalesce(v(s), F.lit("")) == value).cast("int") for s in sids), F.lit(0))
+    both = [sid for p, sid, group, _, _ in config.roles() if p == pipeline and group in ("must", "exclusion")]
+    flags = wide.withColumns({
+        "excluded": listed(of["exclusion"], "yes"), "failed": listed([s for s in of["must"] if s not in soft], "no"), "prelaunch": listed([s for s in of["must"] if s in soft], "no"), "checks": listed(both, "check"),
+        "confirmed": count(of["must"], "yes").cast("long"), "musts": F.lit(len(of["must"])).cast("long"), "nos": count(of["must"], "no").cast("long"), "m2": v("M2"),
+    })
+    return with_verdict(flags, pipeline).withColumn("icp", icp("verdict")).drop("musts", "nos", "m2")
+
+
+def score_wide(wide: DataFrame, pipeline: str) -> DataFrame:
+    """score on one row a domain: wide (segment and v_<fact> for each fact) with score, tier, breakdown, low, high and locked."""
+    names = {sid: name for _, sid, name in config.facts()}
+    skipped = {s: parent for parent, sids in config.SKIP[pipeline].items() for s in sids}
+    levels: dict[str, dict[str, int]] = {}
+    for p, sid, segment, points, _ in sorted(config.weights(), key=lambda w: w[4]):
+        if p == pipeline:
+            levels.setdefault(sid, {})[segment] = points
+    points_of = {sid: F.element_at(F.create_map(*[F.lit(x) for pair in by.items() for x in pair]), F.col("segment")) for sid, by in levels.items()}
+    parts, moves = [], []
+    for sid, points in points_of.items():
+        value = F.col(f"v_{sid}")
+        yes = value == "yes"
+        if sid in skipped:
+            yes = yes & (F.coalesce(F.col(f"v_{skipped[sid]}"), F.lit("")) != "yes")
+        text = F.concat(F.lit(names[sid] + " "), F.when(points > 0, "+").otherwise(""), points.cast("string"))
+        parts.append(F.when(yes & (points != 0), F.struct(points.alias("points"), text.alias("text"))))
+        moves.append(F.when(value.isin("unknown", "check"), points))
+    own, still = F.array_compact(F.array(*parts)), F.array_compact(F.array(*moves))
+    total = F.aggregate(own, F.lit(0).cast("long"), lambda acc, x: acc + x["points"])
+    loss = F.aggregate(still, F.lit(0).cast("long"), lambda acc, x: acc + F.least(x, F.lit(0)))
+    gain = F.aggregate(still, F.lit(0).cast("long"), lambda acc, x: acc + F.greatest(x, F.lit(0)))
+    out = wide.withColumn("score", total).withColumn("breakdown", F.array_join(F.transform(own, lambda x: x["text"]), "; "))
+    out = out.withColumns({"tier": tier(F.col("score")), "low": F.col("score") + loss, "high": F.col("score") + gain})
+    return out.withColumn("locked", (F.col("low") >= config.STRONG_AT) == (F.col("high") >= config.STRONG_AT))
 
 
 def icp(verdict: str) -> Column:

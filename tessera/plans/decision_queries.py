@@ -19,7 +19,19 @@ def facts_of(spark: SparkSession, sf_dir: str, pipeline: str) -> tuple[DataFrame
     return found, scoring.with_roles(L.signals(found), L.roles(spark), pipeline).withColumn("hard", F.lit(False))
 
 
+def core(spark: SparkSession, sf_dir: str, pipeline: str) -> DataFrame:
+    """Leads with their facts, verdict, segment and score in one row; orders are the only shuffle."""
+    wide = L.wide(L.leads(spark, sf_dir)).withColumn("segment", scoring.segment(F.col("employees")))
+    return scoring.score_wide(scoring.decide_wide(wide, pipeline), pipeline)
+
+
+VERDICT = ("domain", "gate", "verdict", "icp", "confirmed", "checks", "excluded", "failed", "prelaunch")
+
+
 def verdicts(spark: SparkSession, sf_dir: str, pipeline: str) -> DataFrame:
+    """Services by rows of facts side by side, product by one row a fact: the two forms of the operator."""
+    if pipeline == "services":
+        return scoring.decide_wide(L.wide(L.leads(spark, sf_dir)), pipeline).select(*VERDICT)
     found, signals = facts_of(spark, sf_dir, pipeline)
     return scoring.decide(signals, found.select("domain", "status"), pipeline)
 
@@ -112,12 +124,16 @@ scored AS (
 
 
 def scores(spark, sf_dir, pipeline: str) -> DataFrame:
+    if pipeline == "services":
+        return core(spark, sf_dir, pipeline).select("domain", "segment", "score", "tier", "breakdown")
     found, signals = facts_of(spark, sf_dir, pipeline)
     segments = found.select("domain", scoring.segment(F.col("employees")).alias("segment"))
     return scoring.score(signals, segments, L.weights(spark), pipeline)
 
 
 def ranges(spark, sf_dir, pipeline: str) -> DataFrame:
+    if pipeline == "services":
+        return core(spark, sf_dir, pipeline).select("domain", "score", "tier", "low", "high", "locked")
     _, signals = facts_of(spark, sf_dir, pipeline)
     return scoring.tier_range(signals, scores(spark, sf_dir, pipeline), L.weights(spark), pipeline)
 
@@ -146,8 +162,7 @@ RANK_SQL = "CASE icp WHEN 'YES' THEN 0 WHEN 'PENDING' THEN 1 ELSE 2 END"
 
 @query("outreach_priority", f"{HEAD}, {SEGMENT_SQL}, {score_sql('services')}, {decide_sql('services')} SELECT d.domain, d.verdict, s.score, {PRIORITY_SQL} AS priority FROM decided d JOIN scored s USING (domain)")
 def outreach_priority(spark, sf_dir):
-    joined = verdicts(spark, sf_dir, "services").join(scores(spark, sf_dir, "services"), "domain")
-    return joined.select("domain", "verdict", "score", scoring.priority(F.col("verdict"), F.col("icp"), F.col("score"), "services").alias("priority"))
+    return core(spark, sf_dir, "services").select("domain", "verdict", "score", scoring.priority(F.col("verdict"), F.col("icp"), F.col("score"), "services").alias("priority"))
 
 
 @query(
@@ -159,8 +174,7 @@ def outreach_priority(spark, sf_dir):
 )
 def lead_score_ranked(spark, sf_dir):
     """The whole core in one plan: leads, facts, verdict, score, tier, priority and rank inside verdict and region."""
-    own = L.leads(spark, sf_dir).select("row_no", "domain", "company", "region")
-    joined = verdicts(spark, sf_dir, "services").join(scores(spark, sf_dir, "services"), "domain").join(own, "domain")
+    joined = core(spark, sf_dir, "services")
     rank = F.when(F.col("icp") == "YES", 0).when(F.col("icp") == "PENDING", 1).otherwise(2)
     place = F.rank().over(Window.partitionBy("icp", "region").orderBy(F.col("score").desc(), "row_no"))
     return joined.select(
@@ -238,16 +252,15 @@ def gates_sql(pipeline: str, source: str = "signals") -> str:
 
 
 for _p in config.PIPELINES:
-    query(f"gate_unrolled_{_p}", f"{HEAD}, {gates_sql(_p)} SELECT domain, sid, value FROM gates")(lambda spark, sf_dir, p=_p: merging.close_gates(signals_long(spark, sf_dir), p))
+    query(f"gate_unrolled_{_p}", f"{HEAD}, {gates_sql(_p)} SELECT domain, sid, value FROM gates")(lambda spark, sf_dir, p=_p: merging.unpivoted(merging.close_wide(L.wide(L.leads(spark, sf_dir)), p)))
 
 
 @query("redecide_after_merge", f"{HEAD}, {SETTLED_SQL}, {gates_sql('services', 'settled')}, {decide_sql('services', 'gates')} SELECT domain, gate, verdict, icp, confirmed, checks, excluded, failed FROM decided")
 def redecide_after_merge(spark, sf_dir):
-    """Settled layers, closed facts, then the verdict once more."""
-    closed = merging.close_gates(settled(spark, sf_dir), "services")
+    """Settled layers, closed facts, then the verdict once more: one pivot, all else in its row."""
+    closed = merging.close_wide(merging.pivoted(settled(spark, sf_dir)), "services")
     status = L.leads(spark, sf_dir).select("domain", "status")
-    signals = scoring.with_roles(closed, L.roles(spark), "services").withColumn("hard", F.lit(False))
-    return scoring.decide(signals, status, "services").drop("prelaunch")
+    return scoring.decide_wide(closed.join(status, "domain"), "services").select(*VERDICT[:-1])
 
 
 @query(
@@ -258,12 +271,9 @@ def redecide_after_merge(spark, sf_dir):
 )
 def final_wide(spark, sf_dir):
     """Original columns, verdict, score and a column for each fact, from a fixed list; unknown is an empty cell."""
-    found, _ = facts_of(spark, sf_dir, "services")
     sids = [sid for _, sid, _ in config.facts()]
-    cell = F.when(F.col("value") == "unknown", "").otherwise(F.col("value"))
-    wide = signals_long(spark, sf_dir).groupBy("domain").agg(*[F.max(F.when(F.col("sid") == s, cell)).alias(s.lower()) for s in sids])
-    joined = found.select("row_no", "domain", "company", "employees").join(verdicts(spark, sf_dir, "services"), "domain").join(scores(spark, sf_dir, "services"), "domain").join(wide, "domain")
-    return joined.select("row_no", "company", "employees", "icp", "verdict", "score", "tier", "domain", *[s.lower() for s in sids])
+    cells = [F.when(F.col(f"v_{s}") == "unknown", "").otherwise(F.col(f"v_{s}")).alias(s.lower()) for s in sids]
+    return core(spark, sf_dir, "services").select("row_no", "company", "employees", "icp", "verdict", "score", "tier", "domain", *cells)
 
 
 @query(

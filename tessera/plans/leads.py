@@ -104,6 +104,11 @@ def signals(leads: DataFrame) -> DataFrame:
     return leads.select("domain", F.explode(F.array(*cells)).alias("cell")).select("domain", "cell.sid", "cell.value")
 
 
+def wide(leads: DataFrame) -> DataFrame:
+    """leads with v_<fact> for each fact: all facts of a lead in its row, so what is decided over them needs no shuffle."""
+    return leads.select("*", *[F.expr(RULES.get(sid, "'unknown'")).alias(f"v_{sid}") for _, sid, _ in config.facts()])
+
+
 SIGNALS_SQL = "signals AS (SELECT domain, unnest([{}]) AS sid, unnest([{}]) AS value FROM leads)".format(
     ", ".join(f"'{sid}'" for _, sid, _ in config.facts()), ", ".join(RULES.get(sid, "'unknown'") for _, sid, _ in config.facts())
 )
