@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import saved
+from tessera.llm.common import discarded, saved
 
 
 def components(links: DataFrame, most_steps: int = 60) -> DataFrame:
@@ -23,7 +23,8 @@ def components(links: DataFrame, most_steps: int = 60) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = saved(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "links")
+        last, links = links, saved(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "links")
+        discarded(last)
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

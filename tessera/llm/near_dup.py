@@ -1,25 +1,32 @@
 """Near duplicates by circulant MinHash, banding and exact Jaccard similarity.
 
-A document's set holds its distinct 4-word shingles as 64-bit hashes. All coordinates of its signature come from two
-permutations of one circular universe: the first scatters the shingles, the second is read at positions shifted by k for
-coordinate k, and the least value is the coordinate. Bands of coordinates deal documents to buckets.
+A document's set holds its distinct shingles (four words, or as many as the caller says) as 64-bit hashes. All coordinates
+of its signature come from two permutations of one circular universe: the first scatters the shingles, the second is read
+at positions shifted by k for coordinate k, and the least value is the coordinate. Bands of coordinates deal documents to
+buckets.
 
 Documents with equal sets are one node from the start. In a bucket every node is held against the bucket's most popular
-node (the one whose buckets hold most nodes together: the text that the others are copies of), not each with each. Links
-are confirmed on the full sets. Of what is then still in different components of one bucket, only those pairs are compared
-that exact bounds leave: a node loses its place in a bucket where too many of its shingles stand in no other open node, a
-pair is left out where the two differ too much in their distance from the leader (Jaccard distance is a metric), and what
-two nodes have in common is either shared with the leader, which holds little of a node far from it, or else found by
-joining the shingles that the leader lacks. So no link between components is left out. Where a leader itself lacks what
-most of its group share, stragglers still meet most of that group: this part grows with stragglers times group size.
+node (the one whose buckets hold most nodes together: the text that the others are copies of), not each with each. Where a
+bucket still has several components it is held against its second most popular node too. Links are confirmed on the full
+sets: a leader's set is sent once for PART members, and all sets travel in pieces of PIECE shingles, so neither a large
+group nor a long text makes a task's rows large.
+
+Of what is then still in different components of one bucket, only those pairs are compared that exact bounds leave: a node
+loses its place in a bucket where too many of its shingles stand in no other open node, a pair is left out where the two
+differ too much in their distance from the leader (Jaccard distance is a metric), and what two nodes have in common is
+either shared with the leader (and what most of its group share beside), which holds little of a node far from it, or else
+found by joining the shingles that this centre lacks. So no link between components is left out. Where a group has several
+centres, stragglers of one meet much of it by the shingles of another: this part can grow with stragglers times group size.
 Hashes of 64 bits stand for shingles and sets.
 
 A pair of similarity 0.8 shares no bucket with a chance of (1 - 0.8 ** ROWS) ** BANDS = 3e-6.
 
-Defined cases: a text without words is linked with nothing and is its own component; a null doc_id ranks after all
-others, the component of null doc_ids alone is null; op4 keeps or
-drops rows of equal doc_id together, the pipeline's stage keeps one row of each component; an empty table
-gives an empty result; other columns are passed through, those named like the added ones are replaced.
+Defined cases: a text without words is linked with nothing and is its own component; a null doc_id ranks after all others
+and the component of null doc_ids alone is null; rows of equal doc_id and unlike texts are judged each by its own text, so
+op4 may keep one of them (the least of its own component) and drop another; the pipeline's stage keeps one row of each
+component; an empty table gives an empty result; the stage passes all columns through, whatever their names. Links that do
+not settle in graph.components' 60 steps raise an error instead of losing a link; 60 steps settle chains of any length met
+in practice, as depth falls with each step.
 """
 
 from __future__ import annotations
@@ -31,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, saved
+from tessera.llm.common import WORD, discarded, rowed, saved
 from tessera.llm.graph import components
 from tessera.llm.substring import WordHashes, mixed, split_words
 
@@ -41,8 +48,11 @@ BANDS, ROWS = 24, 4
 SHARE = 80
 #: Shingles whose signatures are made at a time.
 BLOCK = 1 << 16
+#: Shingles of a set in one row, and rows of tokens given back at a time: both bound what a Python worker holds.
+PIECE, CHUNK = 512, 50_000
+#: Sets that are held against one copy of a leader's set.
+PART = 2048
 LAST = 2**63 - 1
-ADDED = ("n_shingles", "component_id", "kept")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -99,13 +109,18 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_key, text_key and text; the two keys tell rows apart, rows of equal keys are equal in doc_id and text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_key"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_key"), "text")
+
+
+def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_key, text_key, node, n_shingles, bands) of each document; node is 0 and bands empty without words."""
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for batch in batches:
-            sets = [shingle_set(t, known) for t in batch["text"]]
+            sets = [shingle_set(t, known, size) for t in batch["text"]]
             full = [k for k, s in enumerate(sets) if len(s)]
             bands: list = [np.empty(0, np.int64)] * len(sets)
             nodes = np.zeros(len(sets), np.int64)
@@ -118,69 +133,117 @@ def sketches(docs: DataFrame) -> DataFrame:
                     nodes[k] = mixed(mixed(both[:1]) * _ODD + both[1:]).view(np.int64)[0] or 1
             yield pd.DataFrame({"doc_key": batch["doc_key"], "text_key": batch["text_key"], "node": nodes, "n_shingles": [len(s) for s in sets], "bands": bands})
 
-    return keyed(docs).select("doc_key", "text_key", "text").mapInPandas(sketched, "doc_key long, text_key long, node long, n_shingles long, bands array<long>")
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("doc_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("text_key", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    return keyed(docs).mapInPandas(sketched, "doc_key long, text_key long, node long, n_shingles long, bands array<long>")
 
 
-def sets_of(needed: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, members) of the nodes in needed: their texts are turned into sets again, so sets are never kept for all."""
+def set_pieces(needed: DataFrame, docs: DataFrame, nodes: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(node, piece, members) of the nodes in needed: their texts are turned into sets again, so sets are never kept for
+    all documents. Pieces are numbered in the order of their members; repeated rows give repeated pieces."""
 
-    def as_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def as_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "members": [shingle_set(t, known).tobytes() for t in batch["text"]]})
+            out, held = [], 0
+            for node, text in zip(batch["node"], batch["text"], strict=True):
+                members = shingle_set(text, known, size)
+                out += [(node, k, members[k * PIECE : (k + 1) * PIECE].tobytes()) for k in range(-(-len(members) // PIECE))]
+                held += len(members)
+                if held > CHUNK:
+                    yield pd.DataFrame(out, columns=["node", "piece", "members"])
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=["node", "piece", "members"])
 
     asked = needed.join(nodes.select("node", "rep"), "node").select("node", F.col("rep.doc_key").alias("doc_key"), F.col("rep.text_key").alias("text_key"))
-    texts = keyed(docs).select("doc_key", "text_key", "text").join(asked, ["doc_key", "text_key"]).select("node", "text")
-    return texts.mapInPandas(as_sets, "node long, members binary")
+    return keyed(docs).join(asked, ["doc_key", "text_key"]).select("node", "text").mapInPandas(as_pieces, "node long, piece int, members binary")
 
 
-def with_sets(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, left, right) of each of pairs (a, b): with the sets of both."""
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = sets_of(needed, docs, nodes)
-    left, right = sets.select(F.col("node").alias("a"), F.col("members").alias("left")), sets.select(F.col("node").alias("b"), F.col("members").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+def dealt(pairs: DataFrame) -> DataFrame:
+    """(a, b, part) of pairs (a, b), saved: b's members in parts of about PART."""
+    pairs = saved(pairs.select("a", "b"), "pairs")
+    sizes = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("size"))
+    out = saved(pairs.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("size") / PART)).alias("part")), "pairs")
+    discarded(pairs)
+    return out
 
 
-def compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def beside_leaders(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(b, part, is_own, a, piece, members) for pairs (a, b, part), sorted: in each part of b's members first the pieces of
+    b's own set, then those of each member."""
+    row = lambda own: ("b", "part", F.lit(own).alias("is_own"), "a", "piece", "members")
+    members = pairs.join(sets.withColumnRenamed("node", "a"), "a").select(*row(False))
+    leaders = pairs.select("b", "part").distinct().join(sets.withColumnRenamed("node", "b"), "b").withColumn("a", F.col("b")).select(*row(True))
+    order = ("b", "part", F.col("is_own").desc(), "a", "piece")
+    return leaders.unionByName(members).repartition("b", "part").sortWithinPartitions(*order)
+
+
+def each_beside(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """(a, b, size of b's set, members of a's piece, which of them b has) from the rows of beside_leaders."""
+    part, last, leader, own = None, None, np.empty(0, np.int64), []
+    for batch in batches:
+        for b, at, is_own, a, piece, members in zip(*(batch[c].tolist() for c in ("b", "part", "is_own", "a", "piece", "members")), strict=True):
+            if (b, at) != part:
+                part, own, last = (b, at), [], None
+            if (is_own, a, piece) == last:
+                continue
+            last, found = (is_own, a, piece), np.frombuffer(members, np.uint64)
+            if is_own:
+                own.append(found)
+                continue
+            if own:
+                leader, own = np.concatenate(own), []
+            place = leader.searchsorted(found)
+            place[place == len(leader)] = 0
+            yield a, b, len(leader), found, leader[place] == found
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, both, either) of each of pairs (a, b): sizes of the intersection and the union of their sets."""
 
     def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for a, b in zip(batch["left"], batch["right"], strict=True):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                out.append((both, len(a) + len(b) - both))
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "both": [x[0] for x in out], "either": [x[1] for x in out]})
-
-    return with_sets(pairs, docs, nodes).mapInPandas(sizes, "a long, b long, both int, either int")
-
-
-def beside(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, leader, added) of each of pairs (a, b): the shingles of node a that its leader b lacks."""
-
-    def lacking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            own = [np.setdiff1d(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), assume_unique=True) for a, b in zip(batch["left"], batch["right"], strict=True)]
-            yield pd.DataFrame({"node": batch["a"], "leader": batch["b"], "added": own})
-
-    return with_sets(pairs, docs, nodes).mapInPandas(lacking, "node long, leader long, added array<long>")
-
-
-def unshared(needed: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+        out: list[list[int]] = []
+        for a, b, size, found, held in each_beside(batches):
+            if not out or out[-1][:2] != [a, b]:
+                if len(out) >= CHUNK:
+                    yield pd.DataFrame(out, columns=["a", "b", "both", "either"])
+                    out = []
+                out.append([a, b, 0, size])
+            both = int(held.sum())
+            out[-1][2] += both
+            out[-1][3] += len(found) - both
+        yield pd.DataFrame(out, columns=["a", "b", "both", "either"])
+
+    return beside_leaders(dealt(pairs), sets).mapInPandas(sizes, "a long, b long, both long, either long")
+
+
+def lacking(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, leader, member) for pairs (a, b): the shingles of node a that its leader b lacks."""
+
+    def lacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, n = [], 0
+        for a, b, _, found, held in each_beside(batches):
+            more = found[~held].view(np.int64)
+            out.append((np.full(len(more), a), np.full(len(more), b), more))
+            n += len(more)
+            if n > CHUNK:
+                yield pd.DataFrame(dict(zip(("node", "leader", "member"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+                out, n = [], 0
+        if out:
+            yield pd.DataFrame(dict(zip(("node", "leader", "member"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    return beside_leaders(dealt(pairs), sets).mapInPandas(lacked, "node long, leader long, member long")
+
+
+def unshared(needed: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, alone): how many shingles of a node stand in no other node of needed; nodes without any are left out."""
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [np.frombuffer(x, np.int64) for x in batch["members"]]
-            yield pd.DataFrame({"member": np.concatenate([*sets, np.empty(0, np.int64)]), "node": np.repeat(batch["node"].to_numpy(), [len(x) for x in sets])})
+            for k in range(0, len(batch), CHUNK // PIECE):
+                some = batch.iloc[k : k + CHUNK // PIECE]
+                rows = [np.frombuffer(x, np.int64) for x in some["members"]]
+                yield pd.DataFrame({"member": np.concatenate(rows), "node": np.repeat(some["node"].to_numpy(), [len(x) for x in rows])})
 
-    rows = sets_of(needed, docs, nodes).mapInPandas(members, "member long, node long")
+    rows = sets.join(needed, "node", "left_semi").select("node", "members").mapInPandas(members, "member long, node long")
     once = rows.groupBy("member").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
     return once.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
 
@@ -198,11 +261,32 @@ OPEN = f"""x.node < y.node and x.root <> y.root and 100 * least(x.n, y.n) >= {SH
     and abs(x.away - y.away) <= 1 - {SHARE} / 100 + 1e-9"""
 #: So many shingles in common are needed by sets of x.n and y.n.
 NEED = f"{SHARE} * (x.n + y.n) / {100 + SHARE}.0 - 1e-6"
+#: Sizes of a node and its leader that can be linked.
+LIKE = f"100 * least(n, m) >= {SHARE} * greatest(n, m)"
+
 
+def centred(placed: DataFrame, added: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """placed (bucket, node, leader, n, m, both, ...) and added (node, leader, member) for centres instead of leaders, placed
+    with away, the distance from the centre.
 
-def pairs_by_added(placed: DataFrame) -> DataFrame:
+    A centre is the leader's set and what more than half of its nodes have that it lacks. The bounds hold for any set, and
+    a copy that lacks what its group shares would leave all of the group together.
+    """
+    sizes = placed.select("node", "leader").distinct().groupBy("leader").agg(F.count(F.lit(1)).alias("nodes"))
+    held = added.groupBy("leader", "member").agg(F.count(F.lit(1)).alias("holders"))
+    common = saved(held.join(sizes, "leader").where("2 * holders > nodes").select("leader", "member"), "common")
+    more = common.groupBy("leader").agg(F.count(F.lit(1)).alias("more"))
+    gain = added.join(common, ["leader", "member"]).groupBy("node", "leader").agg(F.count(F.lit(1)).alias("gain"))
+    moved = placed.join(gain, ["node", "leader"], "left").join(more, "leader", "left")
+    both, m = F.col("both") + F.coalesce("gain", F.lit(0)), F.col("m") + F.coalesce("more", F.lit(0))
+    moved = moved.withColumn("both", both).withColumn("away", 1 - F.col("both") / (F.col("n") + m - F.col("both")))
+    return moved.drop("gain", "more", "m"), added.join(common, ["leader", "member"], "left_anti")
+
+
+def pairs_by_added(placed: DataFrame, added: DataFrame) -> DataFrame:
     """Pairs of nodes in different components that share a shingle which their leader lacks."""
-    rows = placed.drop("bucket", "least_n").distinct().withColumn("member", F.explode("added")).drop("added")
+    own = placed.drop("bucket", "least_n").distinct()
+    rows = added.join(own, ["node", "leader"])
     several = rows.groupBy("leader", "member").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     rows = rows.join(several.select("leader", "member"), ["leader", "member"])
     bound = F.expr(f"least(x.both, y.both) + least(x.c - x.both, y.c - y.both) >= {NEED}")
@@ -216,9 +300,11 @@ def pairs_by_kept(placed: DataFrame, roots: DataFrame) -> DataFrame:
     Nodes that are not in the leader's component (stray) reach only sets smaller than the leader, so most of a group of
     near copies leaves the buckets here.
     """
-    free = placed.drop("added").where(f"both >= {SHARE} * (n + greatest({SHARE} * n / 100, least_n)) / {100 + SHARE}.0 - 1e-6")
-    led = roots.select(F.col("node").alias("leader"), F.col("root").alias("lead_root"))
-    free = free.join(led, "leader", "left").withColumn("stray", ~F.col("root").eqNullSafe(F.coalesce("lead_root", "leader"))).drop("lead_root")
+    # Leaders' roots are looked up once a bucket, not for each of its nodes.
+    led = placed.select("bucket", "leader").distinct().join(roots.select(F.col("node").alias("leader"), F.col("root").alias("lead_root")), "leader", "left")
+    led = led.select("bucket", F.coalesce("lead_root", "leader").alias("lead_root"))
+    free = placed.where(f"both >= {SHARE} * (n + greatest({SHARE} * n / 100, least_n)) / {100 + SHARE}.0 - 1e-6")
+    free = free.join(led, "bucket").withColumn("stray", F.col("root") != F.col("lead_root")).drop("lead_root")
     reach = free.where("stray").groupBy("bucket").agg(F.max(F.expr(f"{100 + SHARE} * both - {SHARE} * n")).alias("reach"))
     near = with_roots(free.join(reach, "bucket").where(f"stray or {SHARE} * n <= reach").drop("reach"), roots)
     same = F.col("x.bucket") == F.col("y.bucket")
@@ -226,29 +312,49 @@ def pairs_by_kept(placed: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def node_components(docs: DataFrame, sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
+def led_by(entries: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """entries (bucket, node, n, popular, ...) with leader and m: the bucket's most popular node and its size; with its
+    component lead_root where roots are given. A node that has been the leader before (column before, if there is one)
+    isn't taken again."""
+    able = entries.where("node <> before") if "before" in entries.columns else entries
+    best = able.groupBy("bucket").agg(F.max(F.struct("popular", F.col("node").alias("leader"), F.col("n").alias("m"))).alias("best")).select("bucket", "best.leader", "best.m")
+    if roots is not None:
+        named = roots.select(F.col("node").alias("leader"), F.col("root").alias("lead_root"))
+        best = best.join(named, "leader", "left").withColumn("lead_root", F.coalesce("lead_root", "leader"))
+    return entries.join(best, "bucket")
+
+
+def node_components(docs: DataFrame, sketch: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """nodes (node, rep, n) and the (node, root) of those with links."""
     filled = sketch.where("node <> 0")
     nodes = saved(filled.groupBy("node").agg(F.min(F.struct("doc_key", "text_key")).alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands")), "nodes")
     entries = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    entries = saved(entries.join(buckets, "bucket"), "buckets")
-    popular = entries.groupBy("node").agg(F.sum("size").alias("popular"))
-    best = entries.join(popular, "node").groupBy("bucket").agg(F.max(F.struct("popular", F.col("node").alias("leader"), F.col("n").alias("m"))).alias("best"))
-    entries = saved(entries.select("bucket", "node", "n").join(best.select("bucket", "best.leader", "best.m"), "bucket"), "buckets")
-    linked = F.expr(f"100 * both >= {SHARE} * either")
-
-    led = entries.where((F.col("node") != F.col("leader")) & F.expr(f"100 * least(n, m) >= {SHARE} * greatest(n, m)"))
-    pairs = saved(led.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
-    if pairs.isEmpty():
-        return nodes, nodes.select("node", F.col("node").alias("root")).limit(0)
-    first = saved(compared(pairs, docs, nodes), "compared")
-    roots = components(first.where(linked).select("a", "b"))
-
-    still = saved(with_roots(entries, roots), "open")
+    buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    first = saved(entries.join(buckets, "bucket"), "buckets")
+    popular = first.groupBy("node").agg(F.sum("held").alias("popular"))
+    entries = saved(led_by(first.drop("held").join(popular, "node")), "buckets")
+    discarded(first)
+    none = nodes.select("node", F.col("node").alias("root")).limit(0)
+    if entries.isEmpty():
+        return nodes, none
+    sets = saved(set_pieces(entries.select("node").distinct(), docs, nodes, size), "sets")
+    as_pairs = lambda led: led.where(F.col("node") != F.col("leader")).where(LIKE).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    linked = lambda pairs: saved(compared(pairs, sets).where(f"100 * both >= {SHARE} * either").select("a", "b"), "linked")
+
+    links = linked(as_pairs(entries))
+    roots = components(links)
+    again = saved(led_by(with_roots(entries, roots).drop("m").withColumnRenamed("leader", "before"), roots), "open")
+    if not again.isEmpty():
+        # A node is not held against one of its own component, nor the two leaders against each other once more.
+        apart = again.where("node <> before and root <> lead_root")
+        links = saved(links.unionByName(linked(as_pairs(apart))), "linked")
+        roots = components(links)
+
+    still = saved(with_roots(entries.drop("popular"), roots), "open")
+    discarded(again, entries)
     if still.isEmpty():
         return nodes, roots
-    alone = unshared(still.select("node").distinct(), docs, nodes)
+    alone = unshared(still.select("node").distinct(), sets)
     counted = still.join(alone, "node", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
     # To be similar to a set of m shingles a set of n needs SHARE / (100 + SHARE) of n + m in common; m is SHARE % of n and
     # the bucket's smallest set at least. The leader itself was held against all that its size allows.
@@ -256,28 +362,33 @@ def node_components(docs: DataFrame, sketch: DataFrame) -> tuple[DataFrame, Data
     able = saved(with_roots(counted.where(enough), roots), "able")
     if able.isEmpty():
         return nodes, roots
-    against = beside(able.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), docs, nodes)
-    placed = able.join(against, ["node", "leader"]).withColumn("both", F.col("n") - F.size("added"))
-    placed = saved(placed.withColumn("away", 1 - F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).drop("m"), "placed")
-    rest = saved(pairs_by_added(placed).unionByName(pairs_by_kept(placed, roots)).distinct(), "pairs")
+    added = saved(lacking(able.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), sets), "added")
+    n_added = added.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n_added"))
+    placed = able.join(n_added, ["node", "leader"], "left").withColumn("both", F.col("n") - F.coalesce("n_added", F.lit(0))).drop("n_added")
+    placed, own = centred(placed, added)
+    placed = saved(placed, "placed")
+    rest = saved(pairs_by_added(placed, own).unionByName(pairs_by_kept(placed, roots)).distinct(), "pairs")
+    discarded(still, able, added, placed)
     if rest.isEmpty():
         return nodes, roots
-    more = compared(rest, docs, nodes).where(linked).select("a", "b")
-    return nodes, components(first.where(linked).select("a", "b").unionByName(more))
+    roots = components(saved(links.unionByName(linked(rest)), "linked"))
+    discarded(rest, sets)
+    return nodes, roots
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_key, text_key, n_shingles, component, root) of each row of docs.
+def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(doc_key, text_key, n_shingles, component, root) of each row of docs, by shingles of size words.
 
     root is a node of the component: unlike the least doc_key it tells components of null or repeated doc_ids apart.
     """
-    sketch = saved(sketches(docs), "sketches")
-    nodes, roots = node_components(docs, sketch)
+    sketch = saved(sketches(docs, size), "sketches")
+    nodes, roots = node_components(docs, sketch, size)
     ids = nodes.select("node", F.col("rep.doc_key").alias("least"))
     rooted = ids.join(roots, "node")
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component"))
     linked = rooted.join(of_root, "root").select("node", "component", "root")
     named = saved(ids.join(linked, "node", "left").select("node", F.coalesce("component", "least").alias("component"), F.coalesce("root", "node").alias("root")), "components")
+    discarded(nodes)
     return sketch.join(named, "node", "left").select("doc_key", "text_key", "n_shingles", F.coalesce("component", "doc_key").alias("component"), "root")
 
 
@@ -289,15 +400,15 @@ def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """docs with one row of each component: that with the least doc_id, then the least hash of its text.
 
     A text without words is linked with nothing, so such rows all stay. Of rows that are equal in both one is kept.
     """
-    least = near_duplicates(docs).where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_key", "text_key")).alias("least"))
+    least = near_duplicates(docs, size).where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_key", "text_key")).alias("least"))
     kept = least.select("least.doc_key", "least.text_key").distinct()
-    filled = keyed(docs).where(F.col("text").rlike(WORD))
     # Maps can't be hashed; columns of any type come along in a struct, which min_by doesn't compare.
-    by_hash = F.xxhash64("doc_key", *[f.name for f in docs.schema if f.name != "text" and "map<" not in f.dataType.simpleString()])
-    one = filled.join(kept, ["doc_key", "text_key"], "left_semi").groupBy("doc_key", "text_key").agg(F.min_by(F.struct(*docs.columns), by_hash).alias("row"))
-    return one.select("row.*").unionByName(docs.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False))))
+    plain = [f"row.`{f.name}`" for f in docs.schema if f.name != "text" and "map<" not in f.dataType.simpleString()]
+    rows = rowed(docs, doc_key=F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), text_key=F.coalesce(F.xxhash64("text"), F.lit(0)), filled=F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+    one = rows.where("filled").join(kept, ["doc_key", "text_key"], "left_semi").groupBy("doc_key", "text_key").agg(F.min_by("row", F.xxhash64("doc_key", *plain)).alias("row"))
+    return one.select("row.*").unionByName(rows.where(~F.col("filled")).select("row.*"))

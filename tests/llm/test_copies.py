@@ -1,16 +1,18 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import common, graph, near_dup, substring
 
 
-def plain_components(texts, share=80):
+def plain_components(texts, share=80, size=4):
     sets = {}
     for i, t in texts:
         w = bytes((t or "").encode()).lower().split()
-        sets[i] = frozenset(tuple(w[k : k + 4]) for k in range(len(w) - 3)) if len(w) >= 4 else frozenset([tuple(w)] if w else [])
+        sets[i] = frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
     root = {i: i for i in sets}
 
     def find(i):
@@ -66,6 +68,52 @@ def test_a_hot_group_is_linked_whole(spark, docs_of):
     assert got == want
 
 
+def test_a_large_group_with_copies_as_leaders(spark, docs_of):
+    """1,500 near copies of a text that is not among them, against counts by an inverted index."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(1500):
+        w = list(base)
+        for _ in range(rng.choice((1, 2, 3, 4, 5))):
+            w[rng.randrange(150)] = f"x{k}-{rng.random()}"
+        rows.append((k, " ".join(w)))
+    sets = [[" ".join(w[k : k + 4]) for k in range(147)] for w in (t.split() for _, t in rows)]
+    numbers = {}
+    ids = [np.unique([numbers.setdefault(x, len(numbers)) for x in s]) for s in sets]
+    held = [[] for _ in numbers]
+    for k, s in enumerate(ids):
+        for x in s:
+            held[x].append(k)
+    root = list(range(len(ids)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for k, s in enumerate(ids):
+        both = np.bincount(np.concatenate([held[x] for x in s]), minlength=len(ids))
+        for j in np.flatnonzero(100 * both >= 80 * (np.array(list(map(len, ids))) + len(s) - both)):
+            a, b = sorted((find(k), find(int(j))))
+            root[b] = a
+    got = {r.doc_key: r.component for r in near_dup.near_duplicates(docs_of(rows)).collect()}
+    assert got == {k: find(k) for k in range(len(ids))} and len(set(got.values())) > 20
+
+
+def test_long_and_repeated_texts_in_pieces(spark, docs_of, monkeypatch):
+    """Sets of many pieces, parts of a group, repeated rows, equal ids of unlike texts."""
+    monkeypatch.setattr(near_dup, "PIECE", 40)
+    monkeypatch.setattr(near_dup, "PART", 3)
+    rows = variants(6, 60, 300)
+    want = plain_components(rows)
+    docs = docs_of([*rows, *rows[:20]])
+    assert {r.doc_key: (r.n_shingles, r.component) for r in near_dup.near_duplicates(docs).collect()} == want
+    a, b = "a b c d e f", "q r s t u v"
+    found = near_dup.near_duplicates(docs_of([(3, a), (5, a), (5, b)])).collect()
+    assert sorted((r.doc_key, r.component) for r in found) == [(3, 3), (5, 3), (5, 5)]
+
+
 def test_near_duplicates_edges(spark, docs_of):
     docs = docs_of([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (None, "q r s t u"), (3, None)])
     rows = near_dup.near_duplicates(docs).collect()
@@ -118,9 +166,10 @@ def passages(seed, n):
     return [*rows, (5000, "same " * 200), (5001, "same " * 120), (5002, None), (5003, "")]
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(1, 1000), (2, 1000), (1, 2), (3, 2)])
-def test_removed_words_equal_brute_force(spark, docs_of, monkeypatch, seed, hot):
-    monkeypatch.setattr(substring, "HOT", hot)
+@pytest.mark.parametrize(("seed", "share"), [(1, 1 << 18), (2, 1 << 18), (1, 20), (3, 60)])
+def test_removed_words_equal_brute_force(spark, docs_of, monkeypatch, seed, share):
+    """With small shares nearly every bucket is dealt to several groups."""
+    monkeypatch.setattr(substring, "SHARE", share)
     rows = passages(seed, 80)
     got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.removed(docs_of(rows)).collect()), key=str)
     assert got == plain_removed(rows)
@@ -133,6 +182,19 @@ def test_removed_edges(spark, docs_of):
     assert out.first().kept_text is None and "kept" in out.columns
 
 
+def test_removed_with_clashing_names(spark, docs_of):
+    rows = passages(5, 12)
+    names = ("doc_key", "text_key", "row", "cut", "ranges", "wanted", "minimiser", "name", "first", "end", "n", "n_removed", "kept_text")
+    docs = docs_of(rows)
+    for n in names:
+        docs = docs.withColumn(n, F.lit(f"own {n}"))
+    out = substring.removed(docs)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out.collect()), key=str) == plain_removed(rows)
+    assert {tuple(r[n] for n in names[:-2]) for r in out.collect()} == {tuple(f"own {n}" for n in names[:-2])}
+    kept = near_dup.without_near_duplicates(docs)
+    assert kept.columns == docs.columns and {r.doc_key for r in kept.collect()} == {"own doc_key"}
+
+
 def test_super_kmers_cover_every_window_once():
     rng = random.Random(4)
     words = [f"w{rng.randrange(40)}".encode() for _ in range(700)]
