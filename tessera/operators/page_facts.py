@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import page_rules as P
+from tessera.functions import scalars as S
 
 
 def around(text: Column, pattern: str, width: int = 90) -> Column:
@@ -238,3 +239,25 @@ def dns_facts(records: DataFrame) -> DataFrame:
         joined(F.flatten(F.collect_set(tool))).alias("tools"), joined(F.collect_set(verified)).alias("verified_with"),
         joined(F.flatten(F.collect_set(spf))).alias("spf_includes"), F.coalesce(F.min_by(mail, F.when(mail.isNotNull(), F.col("record_no"))), F.lit("")).alias("email"),
     )
+
+
+#: Portable rules over flags of a company's sentences.
+SENTENCE_FACTS = {
+    "F15": "CASE WHEN own_metric THEN 'yes' WHEN metric THEN 'check' END",
+    "E1": "CASE WHEN late_round OR late_money OR ticker THEN 'yes' END",
+    "F11": "CASE WHEN yc THEN 'yes' WHEN yc_named THEN 'check' END",
+}
+SENTENCE_KINDS = ("home", "about", "customers", "blog", "careers")
+
+
+def sentence_facts(pages: DataFrame) -> DataFrame:
+    """(domain, sid, value) of facts that single sentences tell: growth in numbers, a late stage, an accelerator."""
+    rows = pages.where(F.col("kind").isin(*SENTENCE_KINDS)).select("domain", F.explode(S.sentences_of(F.regexp_replace("text", r"\s+", " "))).alias("s")).where(F.length("s") <= 400)
+    s = F.col("s")
+    own = s.rlike(P.FIRST_PERSON)
+    metric = s.rlike(P.METRIC) & ~s.rlike(P.NOT_OWN_METRIC)
+    flags = {
+        "own_metric": metric & own, "metric": metric, "late_round": own & s.rlike(P.LATE_ROUND) & s.rlike(P.ROUND_WORDS) & ~s.rlike(S.NOT_OWN_MONEY), "late_money": S.late_stage_label(s).isNotNull(),
+        "ticker": s.rlike(P.TICKER), "yc": s.rlike(P.YC_STRONG), "yc_named": s.rlike(P.YC_NAMED),
+    }
+    return as_facts(rows.groupBy("domain").agg(*[F.max(c).alias(n) for n, c in flags.items()]), SENTENCE_FACTS)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import sql_values
 from tessera.functions import page_rules as P
+from tessera.functions import scalars as S
 from tessera.operators import page_facts as O
 from tessera.plans.registry import query
 from tessera.sources import files
@@ -26,6 +27,7 @@ PHRASES = (
     "Instant download after checkout, add to cart.", "Acme Holdings, Inc is a family of brands.", "We do our own books.", "Become a member now, billed annually.", "An accounting firm for doctors.",
     "Areas we serve: all of it. Monday - Friday 9 am.", "The bank account is held at Mercury, supported by partners.", "Acme operates as a sole proprietorship.", "Donations through Stripe help us.",
     "Acme is an Ohio limited liability company.", "Our payroll runs on Rippling or Deel.", "Cap table kept in Carta; we like Ramp.", "Offices in London and Berlin.", "A registered charity, gifts are tax-deductible.", "Nothing to see here.",
+    "We passed $5 million in ARR this year.", "The market grew 20% and 4,000 companies joined.", "Acme is a YC W21 company.", "Friends at Y Combinator like it.", "Listed as NASDAQ: ACME since May.", "We closed our Series D round.", "We raised $300 million from funds.",
     "The dashboard works with Rho checking accounts.", "We're 75 employees of the month.",
 )
 CODES = (
@@ -251,6 +253,25 @@ def job_boards_linked(spark, sf_dir):
     return O.job_boards(pages(spark, sf_dir))
 
 
+_MONEY = r"(?i)(.{0,20})\$\s?(\d+(?:\.\d+)?)\s?(million|billion|[MB])\b(.{0,15})"
+_USD = "TRY_CAST(x[2] AS DOUBLE) * CASE WHEN lower(x[3]) IN ('billion', 'b') THEN 1e9 ELSE 1e6 END"
+_VALUED = "(contains(lower(x[4]), 'valuation') OR contains(lower(x[1]), 'valued at') OR contains(lower(x[1]), 'valuation of'))"
+
+
+@query(
+    "facts_by_sentences",
+    rf"""WITH {PAGES_SQL}, rows AS (SELECT domain, unnest(string_split(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM pages_of WHERE {_in("kind", O.SENTENCE_KINDS)}),
+    m AS (SELECT domain, s, {_has("s", P.FIRST_PERSON)} AS own, {_has("s", P.METRIC)} AND NOT {_has("s", P.NOT_OWN_METRIC)} AS metric, list_zip({", ".join(f"regexp_extract_all(s, '{_MONEY}', {k})" for k in (1, 2, 3, 4))}) AS z FROM rows WHERE length(s) <= 400),
+    known AS (SELECT domain, bool_or(metric AND own) AS own_metric, bool_or(metric) AS metric, bool_or(own AND {_has("s", P.LATE_ROUND)} AND {_has("s", P.ROUND_WORDS)} AND NOT {_has("s", S.NOT_OWN_MONEY)}) AS late_round,
+      bool_or(regexp_matches(s, '(?i)\b(?:we|we''ve|we have|our)\b') AND NOT {_has("s", S.NOT_OWN_MONEY)} AND ({_has("s", S.BIG_RAISE)} OR {_has("s", S.VALUATION)})
+        AND len(list_filter(z, lambda x: ({_VALUED} AND {_USD} >= 1e9) OR (NOT {_VALUED} AND {_USD} >= 1e8 AND {_has("s", S.BIG_RAISE)}))) > 0) AS late_money,
+      bool_or({_has("s", P.TICKER)}) AS ticker, bool_or({_has("s", P.YC_STRONG)}) AS yc, bool_or({_has("s", P.YC_NAMED)}) AS yc_named FROM m GROUP BY domain)
+    {_facts(O.SENTENCE_FACTS, "known")}""",
+)
+def facts_by_sentences(spark, sf_dir):
+    return O.sentence_facts(pages(spark, sf_dir))
+
+
 _AT = "s_suppkey * 3 + k * 4 + s_suppkey // 7"
 
 
