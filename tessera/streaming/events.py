@@ -77,8 +77,9 @@ def review_states(events: DataFrame) -> DataFrame:
 
 
 def review_states_batch(events: DataFrame) -> DataFrame:
-    """The same for a whole table: a fold over each user's ordered events, inside the JVM."""
-    ordered = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e"))
+    """The same for a whole table, inside the JVM: each user's hour of events is folded to where it leads from every state,
+    and a user's hours are chained. So no row holds all events of a user."""
+    hours = events.groupBy("user_id", F.date_trunc("hour", "ts").alias("hour")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e"))
 
     def step(state, e):
         out = state
@@ -87,4 +88,12 @@ def review_states_batch(events: DataFrame) -> DataFrame:
                 out = F.when((state == old) & (e["event_type"] == event), new).otherwise(out)
         return out
 
-    return ordered.select("user_id", F.aggregate("e", F.lit("idle"), step).alias("state"), F.size("e").cast("long").alias("events"))
+    def chained(state, hour):
+        out = state
+        for old in MOVES:
+            out = F.when(state == old, hour[f"from_{old}"]).otherwise(out)
+        return out
+
+    led = hours.select("user_id", "hour", F.size("e").cast("long").alias("n"), *[F.aggregate("e", F.lit(old), step).alias(f"from_{old}") for old in MOVES])
+    users = led.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("hour", *[f"from_{old}" for old in MOVES]))).alias("hours"), F.sum("n").alias("events"))
+    return users.select("user_id", F.aggregate("hours", F.lit("idle"), chained).alias("state"), "events")
