@@ -1,6 +1,8 @@
 import hashlib
+import itertools
 import os
 import random
+from zlib import crc32
 
 import duckdb
 import pytest
@@ -57,6 +59,21 @@ def test_targets_equal_resharing(spark):
         assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
 
 
+def test_mix_with_clashing_names_and_near_targets(spark):
+    rng = random.Random(8)
+    rows = [(k, " ".join(["w"] * rng.randint(1, 400)), "abc"[rng.choice((0, 0, 0, 1, 2))]) for k in range(2500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    names = ("first", "cls", "salt", "place", "due", "shift", "p_source", "row", "size", "copies")
+    for n in names:
+        df = df.withColumn(n, F.lit(f"own {n}"))
+    out = mixing.mix(df)
+    assert {tuple(r[n] for n in names[:-2]) for r in out.collect()} == {tuple(f"own {n}" for n in names[:-2])}
+    for r in out.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("largest")).collect():
+        assert abs(r.taken - r.target) <= r.largest
+    drawn = mixing.mixed_documents(df)
+    assert drawn.columns == df.columns and {tuple(r[n] for n in names) for r in drawn.collect()} == {tuple(f"own {n}" for n in names)}
+
+
 def test_mix_edges(spark):
     rows = [(1, "a b c", "x", 9), (1, "a b c", "x", 9), (None, None, None, 1), (4, "", "y", 1), (5, "q " * 300, "y", 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, size long")
@@ -125,6 +142,57 @@ def test_mined_rules_equal_brute_force(spark):
     assert got == {k: "block" if bad(u) else "allow" for k, u in rows}
 
 
+def test_long_urls_are_mined_in_time(spark):
+    """Tokens that always come together are one item, and nested ones are bounded."""
+    words = "/".join(f"word{k}" for k in range(40))
+    rows = [(k, f"https://a.x.org/{words}/{k}") for k in range(40)] + [(100 + k, f"https://b.x.org/{'/'.join(f'n{j}' for j in range(k))}/p") for k in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labelled = pages.select("url", (F.col("page_id") < 100).alias("bad"))
+    got = {r.page_id: r.verdict for r in url_rules.judge(pages, labelled).collect()}
+    assert got == {k: "block" if k < 100 else "allow" for k, _ in rows}
+
+
+def plain_mined(labelled, least, confidence, lift, tokens_of):
+    """{frozenset of tokens: (verdict, confidence, support)} of all token sets of up to three tokens."""
+    found, n = {}, len(labelled)
+    base = {v: sum((bad == (v == "block")) for bad in labelled.values()) / n for v in ("block", "allow")}
+    sets = {}
+    for url in labelled:
+        for size in (1, 2, 3):
+            for s in itertools.combinations(sorted(tokens_of[url]), size):
+                sets.setdefault(s, []).append(url)
+    for s, urls in sets.items():
+        for v in ("block", "allow"):
+            hits = sum(labelled[u] == (v == "block") for u in urls)
+            if hits >= least and hits / len(urls) >= confidence and hits / len(urls) / base[v] >= lift:
+                found.setdefault(frozenset(s), []).append((v, hits / len(urls), hits / n))
+    return found
+
+
+def test_mined_verdicts_at_a_larger_size(spark):
+    """Verdicts of pages that no fixed rule decides, against all token sets of up to three tokens, and on URLs held out."""
+    folder = "/root/testdata/sf0.1"
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url")
+    labelled = {r.url: r.bad for r in url_rules.decided(pages).collect()}
+    rows = pages.withColumn("t", url_rules.tokens(F.col("url"), url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url")))).collect()
+    rules = plain_mined(labelled, max(30, -(-0.002 * len(labelled) // 1)), url_rules.MIN_CONFIDENCE, url_rules.MIN_LIFT, {r.url: r.t for r in rows})
+    got = {r.page_id: r for r in url_rules.judge(pages, url_rules.decided(pages)).collect()}
+    mined = {"block": 0, "allow": 0}
+    for r in rows:
+        if got[r.page_id].rule is None:
+            fits = [x for s, found in rules.items() if s <= set(r.t) for x in found]
+            surest = max((c for _, c, _ in fits), default=None)
+            assert got[r.page_id].verdict in ({v for v, c, _ in fits if c == surest} or {"allow"})
+            assert (got[r.page_id].mined is None) == (not fits)
+            mined[got[r.page_id].verdict] += bool(fits)
+    assert min(mined.values()) > 50
+    third = lambda u: crc32(u.encode()) % 3 == 0
+    learned = spark.createDataFrame([(u, b) for u, b in labelled.items() if not third(u)], "url string, bad boolean")
+    judged = url_rules.judge(spark.createDataFrame([(k, u) for k, u in enumerate(labelled) if third(u)], "page_id long, url string"), learned, rules=(("allow", "none.invalid", "/"),))
+    pairs = [(r.verdict == "block", labelled[r.url]) for r in judged.collect() if r.mined]
+    assert len(pairs) > 200 and sum(a == b for a, b in pairs) / len(pairs) > 0.97
+
+
 def test_url_query_rows(spark):
     out = url_rules.op7_url_rules(spark, DATA)
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
