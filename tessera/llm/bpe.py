@@ -31,6 +31,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import rowed
+
 WORD_END = "</w>"
 #: The file's own pre-tokenizer pattern, a fixed value.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -271,7 +273,7 @@ def tokenized(docs: DataFrame, path: str | None = None, with_ids: bool = False)
             yield pd.DataFrame([row(e, t) for t in texts], columns=names)
 
     own = [c for c in docs.columns if c not in names]
-    return docs.select(*own).withColumn("_encoded", encode(F.col("text"))).select(*own, *[F.col(f"_encoded.{c}").alias(c) for c in names])
+    return rowed(docs, own, encoded=encode(F.col("text"))).select("row.*", *[F.col(f"encoded.{c}") for c in names])
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import rowed
+
 #: Common words of four languages.
 COMMON = {
     "de": "der die das und in zu den von mit sich des auf für ist im dem nicht ein eine als auch es an er".split(),
@@ -197,8 +199,8 @@ def judge_text(text: str | None, chars: np.ndarray, common: np.ndarray, bins: Bi
     return n, letters, sum(map(text.count, SYMBOLS)), dup_lines(text), repeated, failed, char_d, word_d, kept
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """docs with the base counts, both distances and the verdict kept."""
+def verdicts(docs: DataFrame, own: list[str] | None = None) -> DataFrame:
+    """row (columns of docs, all if not said) and judged: base counts, both distances and the verdict kept."""
     chars, common = references(docs)
 
     @F.pandas_udf(STATS)
@@ -207,8 +209,12 @@ def judged(docs: DataFrame) -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([judge_text(t, chars, common, bins) for t in texts], columns=list(ADDED)).astype({"char_distance": "float64", "word_distance": "float64"})
 
-    own = [c for c in docs.columns if c not in ADDED]
-    return docs.select(*own).withColumn("_judged", judge(F.col("text"))).select(*own, *[F.col(f"_judged.{c}").alias(c) for c in ADDED])
+    return rowed(docs, own, judged=judge(F.col("text")))
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """docs with the base counts, both distances and the verdict kept."""
+    return verdicts(docs, [c for c in docs.columns if c not in ADDED]).select("row.*", *[F.col(f"judged.{c}") for c in ADDED])
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
