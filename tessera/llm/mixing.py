@@ -5,11 +5,15 @@ running sum of due copies, shifted by one offset per source, gives a document on
 crosses. Neighbours are of like size, so the words taken come near the target.
 
 The order within a source is (size class, salt, size, doc_id). Ranks are made from counts of (source, class, salt) cells
-and a row number inside a cell, so a source with most of the rows is never sorted by one task.
+and a row number inside a cell, so a source with most of the rows is never sorted by one task. Sources themselves are
+ranked by one task, a row each.
+
+A source's taken words come near its target up to about its largest document: neighbours in the order are of like size, so
+what one draw takes too much the next ones take less. A source of a few long texts can so be far from its target.
 
 Defined cases: a null text has size 0; a null source is a source of its own, the last; null doc_ids come after others of
 their size; repeated rows are documents of their own; an empty table gives an empty result. Other columns are passed
-through; columns named like the added ones are replaced.
+through whatever their names; columns named like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -17,12 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import n_words
+from tessera.llm.common import n_words, rowed
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
-SALTS = 16
+SALTS = 256
 SEED = "mix-1"
 ADDED = ("size", "source_size", "target", "copies", "taken")
 
@@ -70,43 +74,44 @@ def targets(sources: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> Dat
     return level.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """docs with size, source_size, target, copies and taken (copies times size)."""
-    sized = (
-        docs.drop(*ADDED)
-        .withColumn("size", n_words(F.col("text")))
-        .withColumn("_class", size_class(F.col("size")))
-        .withColumn("_salt", F.coalesce(F.pmod(F.col("doc_id"), F.lit(SALTS)), F.lit(0)).cast("int"))
-    )
-    cells = sized.groupBy("source", "_class", "_salt").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+def drawn(docs: DataFrame, own: list[str], weights=WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """row (the columns own of docs), size, source_size, target, copies and taken (copies times size)."""
+    size = n_words(F.col("text"))
+    salt = F.coalesce(F.pmod(F.col("doc_id"), F.lit(SALTS)), F.lit(0)).cast("int")
+    sized = rowed(docs, own, source=F.col("source"), doc_id=F.col("doc_id"), size=size, cls=size_class(size), salt=salt)
+    cells = sized.groupBy("source", "cls", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     sources = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
-    order = Window.partitionBy("source").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source").orderBy("cls", "salt").rowsBetween(Window.unboundedPreceding, -1)
     places = cells.withColumn("first", F.coalesce(F.sum("n").over(order), F.lit(0)))
     a, b = places.alias("a"), sources.alias("b")
     places = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source"))).select(
-        F.col("a.source").alias("p_source"), F.col("_class").alias("p_class"), F.col("_salt").alias("p_salt"), "first", "source_size", "target"
+        F.col("a.source").alias("p_source"), F.col("cls").alias("p_cls"), F.col("salt").alias("p_salt"), "first", "source_size", "target"
     )
-    inside = Window.partitionBy("source", "_class", "_salt").orderBy("size", F.col("doc_id").asc_nulls_last())
-    keys = F.col("source").eqNullSafe(F.col("p_source")) & (F.col("_class") == F.col("p_class")) & (F.col("_salt") == F.col("p_salt"))
+    inside = Window.partitionBy("source", "cls", "salt").orderBy("size", F.col("doc_id").asc_nulls_last())
+    keys = F.col("source").eqNullSafe(F.col("p_source")) & (F.col("cls") == F.col("p_cls")) & (F.col("salt") == F.col("p_salt"))
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     place = (F.col("first") + F.row_number().over(inside) - 1).cast("double")
-    copies = F.floor((F.col("_place") + 1) * F.col("_due") + F.col("_shift")) - F.floor(F.col("_place") * F.col("_due") + F.col("_shift"))
+    copies = F.floor((F.col("place") + 1) * F.col("due") + F.col("shift")) - F.floor(F.col("place") * F.col("due") + F.col("shift"))
     out = (
         sized.join(places, keys)
-        .withColumn("_due", due)
-        .withColumn("_shift", source_offset(F.col("source")))
-        .withColumn("_place", place)
+        .withColumn("due", due)
+        .withColumn("shift", source_offset(F.col("source")))
+        .withColumn("place", place)
         .withColumn("copies", F.least(copies, F.lit(most)).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
     )
-    return out.select(*[c for c in docs.columns if c not in ADDED], *ADDED)
+    return out.select("row", *ADDED)
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """docs with size, source_size, target, copies and taken."""
+    return drawn(docs, [c for c in docs.columns if c not in ADDED], weights, most).select("row.*", *ADDED)
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """The mix itself: each row as often as it has copies, with the columns of docs."""
-    drawn = mix(docs, weights, most).where(F.col("copies") > 0)
-    again = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return drawn.withColumn("_copy", again).select(*[c for c in docs.columns])
+    taken = drawn(docs, docs.columns, weights, most).where(F.col("copies") > 0)
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op6_mix(spark, sf_dir: str) -> DataFrame:
@@ -120,7 +125,7 @@ WITH sized AS (
   FROM documents),
 classed AS (
   SELECT *, length(bin(size)) * 32 + (size >> greatest(length(bin(size)) - 5, 0)) AS cls,
-    coalesce(((doc_id % 16) + 16) % 16, 0) AS salt
+    coalesce(((doc_id % 256) + 256) % 256, 0) AS salt
   FROM sized),
 src AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
