@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -22,7 +23,7 @@ def test_stages_against_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} == want and kept.columns == names
 
     single = one(spark, kept, DATA).cache()
-    comp = plain_components([(r.doc_id, r.text) for r in kept.collect()])
+    comp = plain_components([(r.doc_id, r.text) for r in kept.collect()], size=corpus_pipeline.SHINGLE)
     assert {r.doc_id for r in single.collect()} == {i for i, (_, c) in comp.items() if c == i} and single.columns == names
 
     short = cut(spark, single, DATA).cache()
@@ -52,3 +53,23 @@ def test_run_equals_its_stages(spark):
         docs = stage(spark, docs, DATA).cache()
     key = lambda df: sorted((r.doc_id, r.ids_sha256) for r in df.collect())
     assert key(corpus_pipeline.run(spark, DATA)) == key(docs)
+
+
+def test_odd_tables(spark):
+    """Nulls, repeated rows, equal ids, an empty table, and columns named like those that the stages add."""
+    rows = [r.asDict() for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(60).collect()]
+    odd = [*rows, rows[3], rows[3] | {"doc_id": None}, rows[3] | {"doc_id": None}, rows[4] | {"source": None, "doc_id": 10**9}, rows[5] | {"text": None}, rows[6] | {"text": ""}, rows[7] | {"lang": None, "doc_id": 10**9 + 1}]
+    docs = spark.createDataFrame(odd, spark.read.parquet(f"{DATA}/documents.parquet").schema)
+    names = ("row", "judged", "cut", "kept", "kept_text", "n_words", "size", "copies", "more", "doc_key", "first", "encoded")
+    for n in names:
+        docs = docs.withColumn(n, F.lit(f"own {n}"))
+    docs, columns = docs.cache(), docs.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        empty = stage(spark, docs.limit(0), DATA)
+        assert empty.count() == 0
+        docs = stage(spark, docs, DATA).cache()
+        assert docs.columns == (columns if k < 4 else empty.columns)
+        assert {tuple(r[n] for n in names) for r in docs.collect()} == {tuple(f"own {n}" for n in names)}
+        if k == 1:
+            kept = [(r.doc_id, r.text) for r in docs.collect()]
+            assert len(kept) == len(set(kept)) and all(t for _, t in kept)
