@@ -1,13 +1,15 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page is cut into its leaf blocks: runs of text between block-level tags. Each block is a vector of its hashed tag path
-(tags, class and id words of the elements around it), its hashed words and a few measures. A bidirectional LSTM in numpy
-reads the blocks of the page in order, so each block is judged in the light of the whole page, and labels it as main text
-or not. The main blocks are joined by an empty line.
+(tags, class and id words of the NEAREST innermost elements around it), its hashed words and a few measures. A
+bidirectional LSTM in numpy reads the blocks of the page in order, so each block is judged in the light of the whole page,
+and labels it as main text or not. The main blocks are joined by an empty line. Pages are parsed in one pass; long ones
+are read STEPS blocks at a time in either direction, with the state carried on, so nothing grows but the blocks themselves.
 
 The labeller is trained in each call on generated pages, whose layouts are drawn from many templates and whose text comes
 from a sample of the table's own pages, and on that sample itself, labelled by the elements that say what they are
-(article, nav, footer and the like). The sample holds SAMPLE pages, those with the least hash of their id.
+(article, nav, footer and the like). The sample holds SAMPLE pages, those with the least hash of their id among pages of
+SAMPLE_CHARS characters at most; generated pages draw from its first LINES lines and WORDS words.
 
 Character references are decoded; white space inside a block becomes one space; the content of script, style, title and
 textarea is no text of the page and dropped; nothing else is dropped or capped. Formulas, drawings, media, templates,
@@ -42,32 +44,143 @@ EMPTY = FOREIGN | frozenset("noscript template iframe object select canvas audio
 #: An opening tag closes these if they are open inside the same parent.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PARENTS = frozenset("ul ol dl table tbody thead tfoot div section article main aside nav header footer form body html blockquote".split())
-_RAW = "script|style|title|textarea"
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+>"
-    rf"|<(?P<raw>{_RAW})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:(?<=/)>|>.*?(?:</(?P=raw)(?=[\s/>])[^>]*+>|\Z))"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:_-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:_-]*+)[^<>]*+(?:>|\Z)",
-    re.S | re.I,
+RAW = frozenset("script style title textarea".split())
+#: What elements and their names say of their content, for labelling the sample; fixed words.
+MAIN = frozenset("article main".split())
+NOT_MAIN = frozenset("nav aside footer header form menu dialog button".split())
+NOT_MAIN_NAMES = frozenset(
+    "nav menu menubar sidebar side ad ads advert advertisement banner promo sponsor sponsored cookie cookies consent notice alert comments comment reply replies respond "
+    "disqus footer header breadcrumb breadcrumbs share social related widget subscribe newsletter login search popup modal masthead toolbar pagination pager copyright".split()
 )
+_OPEN = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:_-]*+))", re.I)
+_STOP = re.compile(r"[>\"']")
+_EDGE = re.compile(r"[<>]")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
 _PARTS = re.compile(r"[A-Za-z]+")
 
 
+class Element:
+    """An open element and, through its parents, all around it; blocks share them."""
+
+    __slots__ = ("length", "names", "out", "parent", "said")
+
+    def __init__(self, parent: Element | None, names: tuple[str, ...]):
+        self.parent, self.names = parent, names
+        self.length = len(names) + (parent.length if parent else 0)
+        self.said = bool(parent and parent.said) or any(t in MAIN for t in names)
+        self.out = bool(parent and parent.out) or any(t in NOT_MAIN or t[:1] == "." and t[1:] in NOT_MAIN_NAMES for t in names)
+
+    def nearest(self, most: int) -> tuple[str, ...]:
+        """Tokens of so many innermost elements, the last first."""
+        found, at = [], self
+        while at is not None and most:
+            found += at.names[::-1]
+            at, most = at.parent, most - 1
+        return tuple(found)
+
+
 class Block(NamedTuple):
     text: str
-    path: tuple[str, ...]
+    path: Element | None
     linked: float
 
 
+class Stack:
+    """Open elements, with the places of each tag, so that no step walks the whole stack."""
+
+    def __init__(self):
+        self.open: list[tuple[str, Element]] = []
+        self.places: dict[str, list[int]] = {}
+        self.parents, self.blocks = [-1], [-1]  # places of elements that bound what a tag closes; of those that aren't inline
+        self.foreign = 0
+
+    @property
+    def top(self) -> Element | None:
+        return self.open[-1][1] if self.open else None
+
+    def n_open(self, tag: str) -> int:
+        return len(self.places.get(tag, ()))
+
+    def last(self, tag: str) -> int:
+        found = self.places.get(tag)
+        return found[-1] if found else -1
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        at = len(self.open)
+        self.open.append((tag, Element(self.top, names)))
+        self.places.setdefault(tag, []).append(at)
+        if tag in PARENTS:
+            self.parents.append(at)
+        if tag not in INLINE:
+            self.blocks.append(at)
+        self.foreign += tag in FOREIGN
+
+    def pop_to(self, k: int) -> None:
+        while len(self.open) > k:
+            tag, _ = self.open.pop()
+            self.places[tag].pop()
+            if tag in PARENTS:
+                self.parents.pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+            self.foreign -= tag in FOREIGN
+
+    def end(self, tag: str) -> None:
+        """Closes the last element of that tag; an inline one only inside its block."""
+        k = self.last(tag)
+        if k >= 0 and (tag not in INLINE or k > self.blocks[-1]):
+            self.pop_to(k)
+
+    def shut(self, tags) -> None:
+        """Closes the last element of one of the tags inside the same parent."""
+        k = max(map(self.last, tags), default=-1)
+        if k > self.parents[-1]:
+            self.pop_to(k)
+
+
+class Ends:
+    """Ends of tags in a page, found in one pass however many of them are never closed."""
+
+    def __init__(self, page: str):
+        self.page, self.dead = page, set()  # places of quotes from which no end is reached
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.known = (0, -1)  # from the first of these places on, the second is the next > or quote
+
+    def stop(self, at: int) -> int:
+        low, high = self.known
+        if not low <= at <= high:
+            m = _STOP.search(self.page, at)
+            high = m.start() if m else -1
+            self.known = (at, high)
+        return high
+
+    def of(self, at: int) -> int:
+        """Place of the > that ends a tag whose name ends at this place, outside quotes; -1 where there is none."""
+        tried = []
+        while at <= self.last[">"]:
+            stop = self.stop(at)
+            mark = self.page[stop]
+            if mark == ">":
+                return stop
+            if stop in self.dead:
+                break
+            tried.append(stop)
+            if stop >= self.last[mark]:
+                break
+            at = self.page.find(mark, stop + 1) + 1
+        self.dead.update(tried)
+        return -1
+
+
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order."""
     page = page or ""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack, ends = Stack(), Ends(page)
     out: list[Block] = []
     parts: list[str] = []
-    path: tuple[str, ...] = ()
-    link_chars, links = 0, 0
+    path: Element | None = None
+    link_chars = 0
 
     def close() -> None:
         nonlocal link_chars
@@ -82,60 +195,71 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal path, link_chars
         if text:
             if not parts:
-                path = tuple(x for _, names in stack for x in names)
+                path = stack.top
             parts.append(text)
-            if links and not text.isspace():
+            if stack.n_open("a") and not text.isspace():
                 link_chars += len(text.strip())
 
-    def pop_to(k: int) -> None:
-        nonlocal links
-        links -= sum(t == "a" for t, _ in stack[k:])
-        del stack[k:]
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            add(html.unescape(page[at : m.start()]))
-        at = m.end()
-        if m["cdata"] is not None:
-            add(m["cdata"])
-            continue
-        if m["raw"]:
-            close()
-            continue
-        tag = (m["tag"] or m["tag2"] or "").lower()
-        if not tag:
+    def after(mark: str, at: int) -> int:
+        """Place behind the next mark, or the page's end."""
+        found = page.find(mark, at)
+        return found + len(mark) if found >= 0 else len(page)
+
+    at = scan = 0
+    while m := _OPEN.search(page, scan):
+        start, attrs = m.start(), ""
+        if m[1]:
+            scan = after("-->", m.end())
+        elif m[2]:
+            scan = after("]]>", m.end())
+        elif m[3]:
+            if m.end() > ends.last[">"]:
+                scan = m.end()  # no tag: its < is text
+                continue
+            scan = page.find(">", m.end()) + 1
+        else:
+            stop = ends.of(m.end())
+            if stop >= 0:
+                attrs, scan = page[m.end() : stop], stop + 1
+            else:  # not closed: up to the next angle, or as far as it goes
+                edge = _EDGE.search(page, m.end())
+                if edge and edge[0] == "<":
+                    scan = m.end()
+                    continue
+                scan = edge.end() if edge else len(page)
+        if start > at:
+            add(html.unescape(page[at:start]))
+        at = scan
+        if m[2]:
+            add(page[m.end() : scan - 3] if page.endswith("]]>", 0, scan) else page[m.end() : scan])
+        if not m[5]:
             continue
+        tag = m[5].lower()
         if tag == "br":
             add(" ")
             continue
-        ending = m["end"] or m["end2"]
         if tag not in INLINE:
             close()
-        if ending:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+        if m[4]:
+            stack.end(tag)
+            continue
+        if tag in RAW:
+            if not attrs.endswith("/"):
+                end = _RAW_END[tag].search(page, scan)
+                stop = page.find(">", end.end()) if end else -1
+                at = scan = stop + 1 if stop >= 0 else len(page)
             continue
         if tag in VOID:
             continue
-        shut = CLOSES.get(tag, {"p"} if tag not in INLINE else ())
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in shut:
-                pop_to(k)
-                break
-            if stack[k][0] in PARENTS:
-                break
-        if (m["attrs"] or "").endswith("/") and (tag in EMPTY or any(t in FOREIGN for t, _ in stack)):
+        shut = CLOSES.get(tag, () if tag in INLINE else ("p",))
+        if shut:
+            stack.shut(shut)
+        if attrs.endswith("/") and (tag in EMPTY or stack.foreign):
             continue
         names = [tag]
-        for found in _NAMES.findall(m["attrs"] or ""):
+        for found in _NAMES.findall(attrs):
             names += [f".{x.lower()}" for x in _PARTS.findall("".join(found))]
-        stack.append((tag, tuple(names)))
-        links += tag == "a"
+        stack.push(tag, tuple(names))
     if at < len(page):
         add(html.unescape(page[at:]))
     close()
@@ -146,6 +270,8 @@ PATH_DIM, WORD_DIM = 96, 48
 MEASURES = 9
 INPUT = PATH_DIM + WORD_DIM + MEASURES
 HIDDEN_DIM = 20
+#: Elements of a path that its vector reads; blocks of a page read at a time.
+NEAREST, STEPS = 32, 2048
 
 
 class _Hashed(dict):
@@ -169,29 +295,34 @@ class Vectors:
         self.path, self.word, self.paths = _Hashed(PATH_DIM), _Hashed(WORD_DIM), {}
 
     def of_path(self, path: tuple[str, ...]) -> np.ndarray:
+        """Vector of the tokens of a path, the innermost first."""
         found = self.paths.get(path)
         if found is None:
             if len(self.paths) > 20_000:
                 self.paths.clear()
             found = np.zeros(PATH_DIM, np.float32)
-            for k, token in enumerate(reversed(path)):
+            for k, token in enumerate(path):
                 place, sign = self.path[token]
                 found[place] += sign * (0.6 + 0.4 / (1 + k))
             self.paths[path] = found
         return found
 
-    def of(self, page: list[Block]) -> np.ndarray:
-        out = np.zeros((len(page), INPUT), np.float32)
-        for i, b in enumerate(page):
+    def of(self, page: list[Block], first: int = 0, end: int | None = None) -> np.ndarray:
+        """A row for each block of a page, or for those from first to end."""
+        end = len(page) if end is None else end
+        out = np.zeros((end - first, INPUT), np.float32)
+        for r, i in enumerate(range(first, end)):
+            b = page[i]
             words = b.text.lower().split(" ")
-            out[i, :PATH_DIM] = self.of_path(b.path)
+            if b.path:
+                out[r, :PATH_DIM] = self.of_path(b.path.nearest(NEAREST))
             pairs = np.array([self.word[w] for w in words])
-            out[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(pairs[:, 0].astype(np.int64), pairs[:, 1], WORD_DIM) / np.sqrt(len(words))
+            out[r, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(pairs[:, 0].astype(np.int64), pairs[:, 1], WORD_DIM) / np.sqrt(len(words))
             n = len(b.text)
             stops = sum(map(b.text.count, ".!?;:,"))
-            out[i, PATH_DIM + WORD_DIM :] = (
+            out[r, PATH_DIM + WORD_DIM :] = (
                 np.log1p(len(words)) / 4, b.linked, (i + 1) / len(page), 1 / (i + 1), 1 / (len(page) - i), min(2, 10 * stops / n),
-                b.text[-1] in ".!?", len(b.path) / 10, sum(map(str.isdigit, b.text)) / n,
+                b.text[-1] in ".!?", min(60, b.path.length if b.path else 0) / 10, sum(map(str.isdigit, b.text)) / n,
             )
         return out
 
@@ -212,11 +343,12 @@ class Labeller:
             self.p[f"{way}_b"] = np.repeat([0.0, 1.0, 0.0, 0.0], h)
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def _read(self, x: np.ndarray, mask: np.ndarray, way: str) -> tuple[np.ndarray, list]:
-        """Hidden states (time, batch, unit) of one direction; masked steps carry the state on."""
+    def _read(self, x: np.ndarray, mask: np.ndarray, way: str, begin: tuple | None = None, keep: bool = True) -> tuple[np.ndarray, list, tuple]:
+        """Hidden states (time, batch, unit) of one direction, gates of each step if they are to be kept, and the last state
+        and cell; masked steps carry the state on. begin: state and cell to go on from."""
         steps, batch, h = len(x), x.shape[1], HIDDEN_DIM
         from_x = x @ self.p[f"{way}_x"] + self.p[f"{way}_b"]
-        state, cell = np.zeros((batch, h), np.float32), np.zeros((batch, h), np.float32)
+        state, cell = begin or (np.zeros((batch, h), np.float32), np.zeros((batch, h), np.float32))
         out, kept = np.zeros((steps, batch, h), np.float32), [None] * steps
         for t in range(steps) if way == "on" else range(steps - 1, -1, -1):
             z = from_x[t] + state @ self.p[f"{way}_h"]
@@ -225,15 +357,28 @@ class Labeller:
             squashed = np.tanh(new_cell)
             new_state = o * squashed
             m = mask[t][:, None]
-            kept[t] = (state, cell, i, f, o, g, squashed)
+            if keep:
+                kept[t] = (state, cell, i, f, o, g, squashed)
             state, cell = np.where(m, new_state, state), np.where(m, new_cell, cell)
             out[t] = state
-        return out, kept
+        return out, kept, (state, cell)
 
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._read(x, mask, "on")[0], self._read(x, mask, "back")[0]], -1)
+        both = np.concatenate([self._read(x, mask, way, keep=False)[0] for way in ("on", "back")], -1)
         return (both @ self.p["out"])[..., 0] + self.p["out_b"]
 
+    def page_logits(self, page: list[Block], vectors: Vectors, steps: int = STEPS) -> np.ndarray:
+        """The same for one page of any length, steps blocks at a time."""
+        total = np.full(len(page), self.p["out_b"][0], np.float32)
+        for way, weights in (("on", self.p["out"][:HIDDEN_DIM, 0]), ("back", self.p["out"][HIDDEN_DIM:, 0])):
+            begin, firsts = None, range(0, len(page), steps)
+            for first in firsts if way == "on" else reversed(firsts):
+                end = min(first + steps, len(page))
+                x = vectors.of(page, first, end)[:, None]
+                states, _, begin = self._read(x, np.ones((end - first, 1), bool), way, begin, keep=False)
+                total[first:end] += states[:, 0] @ weights
+        return total
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, truth: np.ndarray) -> dict[str, np.ndarray]:
         h, read = HIDDEN_DIM, {way: self._read(x, mask, way) for way in ("on", "back")}
         both = np.concatenate([read["on"][0], read["back"][0]], -1)
@@ -270,6 +415,7 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 EPOCHS, BATCH, RATE, SAMPLE, GENERATED = 6, 24, 0.01, 240, 720
+SAMPLE_CHARS, LINES, WORDS = 200_000, 4000, 8000
 
 
 def train(pages: list[tuple[list[Block], list[bool]]], seed: int = 11) -> Labeller:
@@ -306,18 +452,9 @@ def train(pages: list[tuple[list[Block], list[bool]]], seed: int = 11) -> Labell
     return model
 
 
-#: What elements and their names say of their content, for labelling the sample; fixed words.
-MAIN = frozenset("article main".split())
-NOT_MAIN = frozenset("nav aside footer header form menu dialog button".split())
-NOT_MAIN_NAMES = frozenset(
-    "nav menu menubar sidebar side ad ads advert advertisement banner promo sponsor sponsored cookie cookies consent notice alert comments comment reply replies respond "
-    "disqus footer header breadcrumb breadcrumbs share social related widget subscribe newsletter login search popup modal masthead toolbar pagination pager copyright".split()
-)
-
-
-def said_main(path: tuple[str, ...]) -> bool:
+def said_main(path: Element | None) -> bool:
     """Whether a block's elements say that it is main text."""
-    return any(t in MAIN for t in path) and not any(t in NOT_MAIN or t[:1] == "." and t[1:] in NOT_MAIN_NAMES for t in path)
+    return bool(path and path.said and not path.out)
 
 
 class Layouts:
@@ -416,8 +553,8 @@ def labelled_pages(sample: list[str], generated: int = GENERATED, seed: int = 11
     """The sample's pages that say what is main, and generated ones with text of the sample."""
     read = [blocks(p) for p in sample]
     own = [(b, [said_main(x.path) for x in b]) for b in read if any(said_main(x.path) for x in b)]
-    lines = [x.text for b in read for x in b if len(x.text) > 40][:4000]
-    words = [w for b in read[:60] for x in b for w in x.text.split()][:8000]
+    lines = [x.text for b in read for x in b if len(x.text) > 40][:LINES]
+    words = [w for b in read for x in b for w in x.text.split()][:WORDS]
     layouts = Layouts(np.random.default_rng(seed), lines, words)
     return own + [layouts.labelled() for _ in range(generated)]
 
@@ -433,18 +570,31 @@ def main_texts(pages: list[str | None], model: Labeller, vectors: Vectors) -> li
         while end < len(order) and end - begin < 64 and len(read[order[end]]) * (end - begin + 1) <= 20_000:
             end += 1
         group = order[begin:end]
+        begin = end
+        if len(read[group[-1]]) > STEPS:
+            for k in group:
+                main = model.page_logits(read[k], vectors) > 0
+                out[k] = "\n\n".join(b.text for b, yes in zip(read[k], main, strict=True) if yes)
+            continue
         x, mask = padded([vectors.of(read[k]) for k in group])
         main = model.logits(x, mask) > 0
         for c, k in enumerate(group):
             out[k] = "\n\n".join(b.text for b, yes in zip(read[k], main[: len(read[k]), c], strict=True) if yes)
-        begin = end
     return out
 
 
+def sampled(pages: DataFrame) -> list[str]:
+    """Html of the sample: its page_ids first, then their pages, so no task sends pages that aren't in it."""
+    able = pages.where(F.char_length("html") <= SAMPLE_CHARS)
+    by_hash = F.xxhash64(F.lit("sample"), "page_id")
+    ids = [r.page_id for r in able.where(F.col("page_id").isNotNull()).select("page_id").orderBy(by_hash, "page_id").limit(SAMPLE).collect()]
+    found = able.where(F.col("page_id").isin(ids)).groupBy("page_id").agg(F.min("html").alias("html")) if ids else able.limit(0)
+    return [r.html for r in found.orderBy("page_id").collect()]
+
+
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    by_hash = F.xxhash64(F.lit("sample"), "page_id")
-    sample = [r.html for r in pages.where(F.col("html").isNotNull()).orderBy(by_hash, "page_id", "html").select("html").limit(SAMPLE).collect()]
+    sample = sampled(pages)
     model = train(labelled_pages(sample))
     sent = pages.sparkSession.sparkContext.broadcast(model)  # some ten thousand numbers
 
@@ -452,7 +602,8 @@ def extracted(pages: DataFrame) -> DataFrame:
     def main_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model, vectors = sent.value, Vectors()
         for htmls in batches:
-            yield pd.Series(main_texts(list(htmls), model, vectors), dtype="object")
+            # Some pages at a time, so that the blocks of all aren't held together.
+            yield pd.Series([t for k in range(0, len(htmls), 128) for t in main_texts(list(htmls.iloc[k : k + 128]), model, vectors)], dtype="object")
 
     out = pages.select("page_id", "url", main_text("html").alias("text"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

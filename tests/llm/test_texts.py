@@ -1,5 +1,7 @@
 import hashlib
+import math
 import random
+import time
 from zlib import crc32
 
 import numpy as np
@@ -8,6 +10,8 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from tessera.llm import bpe, fingerprint, html_text, quality, toxicity
 
 DATA = "/root/testdata/sf0.001"
@@ -130,13 +134,31 @@ def test_fingerprints_equal_brute_force(spark):
     assert fingerprint.fingerprints(df.where("doc_id = 90")).first().near_next == 1.0
 
 
-def test_next_over_many_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("ids", [
+    [0, 1, 2, 50, 51, 7, 7, 1000, None, None, None, None],
+    [-(2**63), -(2**62) - 5, 1, 2**62 + 9, 2**63 - 1, None],
+    [(k * 0x9E3779B97F4A7C15) % 2**64 - 2**63 for k in range(60)],
+    [c * 2**30 + k for c in (3, 900_000) for k in range(40)],
+])
+def test_next_over_many_blocks(spark, monkeypatch, ids):
+    """Repeated and null ids, hashed ids of 64 bits, clusters of ids."""
     monkeypatch.setattr(fingerprint, "BLOCK", 3)
-    ids = [0, 1, 2, 50, 51, 7, 7, 1000, None]
     df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string")
     got = {(r.doc_id, r.text): r.next_text for r in fingerprint.with_next(df, {}).collect()}
-    order = sorted(((i, f"t{k}") for k, i in enumerate(ids)), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    h = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + 2**63) % 2**64
+    order = sorted(((i, f"t{k}") for k, i in enumerate(ids)), key=lambda x: (x[0] is None, -(x[0] or 0), h(x[1])))
     assert got == {order[k]: order[(k + 1) % len(order)][1] for k in range(len(order))}
+    most = df.select(fingerprint.blocks_of(df).alias("b")).groupBy("b").count().agg(F.max("count")).first()[0]
+    assert most <= 9
+
+
+def test_fingerprints_of_unions(spark):
+    """The merged fingerprints of two hash sets are the fingerprint of the united set, small sets too."""
+    rng = random.Random(3)
+    sets = [[rng.randrange(-(2**63), 2**63) for _ in range(rng.choice((0, 1, 1, 2, 9)))] for _ in range(120)]
+    df = spark.createDataFrame(list(zip(sets[::2], sets[1::2])), "a array<long>, b array<long>")
+    out = df.select(fingerprint.merged(fingerprint.retained(F.col("a")), fingerprint.retained(F.col("b"))).alias("got"), fingerprint.retained(F.array_union("a", "b")).alias("want"))
+    assert all(r.got == r.want for r in out.collect())
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -191,7 +213,7 @@ def test_toxicity_of_joined_texts():
 
 def test_blocks():
     page = "<html><head><title>t</title><style>x</style></head><body><nav><a href='/'>Home</a></nav><article class=main><h1>A &amp; B</h1><p>one <b>two</b>\n three<br>four<p>five</article><script>if (a<b) {}</script><!-- <p>no</p> --><p>six &lt;p&gt;"
-    got = [(b.text, b.path[-1], round(b.linked)) for b in html_text.blocks(page)]
+    got = [(b.text, b.path and b.path.names, round(b.linked)) for b in html_text.blocks(page)]
     assert [x[0] for x in got] == ["Home", "A & B", "one two three four", "five", "six <p>"] and got[0][2] == 1
     assert html_text.blocks(None) == [] and html_text.blocks("<<<>>> < a") != []
     assert len(html_text.blocks("<div class=\"a" * 20_000)) < 3
@@ -203,16 +225,73 @@ def test_blocks_of_formulas_media_and_custom_elements():
     for tag in ("video", "audio", "object", "math", "svg", "canvas", "noscript", "template", "iframe", "select"):
         page = f"<article><p>Before.</p><{tag} class=x><p>Inside.</p></{tag}><p>After.</p></article><footer>End.</footer>"
         got = html_text.blocks(page)
-        assert [b.text for b in got] == ["Before.", "Inside.", "After.", "End."] and "article" in got[1].path and tag not in got[2].path
+        assert [b.text for b in got] == ["Before.", "Inside.", "After.", "End."] and "article" in got[1].path.nearest(9) and tag not in got[2].path.nearest(9)
         got = html_text.blocks(page.replace(f"</{tag}>", ""))
-        assert [b.text for b in got] == ["Before.", "Inside.", "After.", "End."] and tag not in got[3].path
+        assert [b.text for b in got] == ["Before.", "Inside.", "After.", "End."] and tag not in got[3].path.nearest(9)
         got = html_text.blocks(f"<article><{tag} class='x'/><p>After.</p></article>")
-        assert [(b.text, b.path) for b in got] == [("After.", ("article", "p"))]
+        assert [(b.text, b.path.nearest(9)) for b in got] == [("After.", ("p", "article"))]
     assert texts("<article><title-bar>One.</title-bar><video-player>Two.</video-player><style-x>Three.</style-x><p>Four.") == ["One.", "Two.", "Three.", "Four."]
     assert texts("<title>a</title-b>c</title><script>x</scripts>y</script ><textarea>z</textarea><style/><p>One.<script>no") == ["One."]
     assert texts("<svg><path d='M0'/><text>Label</text></svg><p>One.") == ["Label", "One."]
 
 
+@pytest.mark.parametrize("part", ["<a '", "<b>x", "<div>x", "<h1>x", "<!", "<script", "</script ", "<p class='a", "<li>x<b>", "</b>x", "<a \"'"])
+@pytest.mark.parametrize("end", ["", "\" >"])
+def test_malformed_pages_are_read_in_time(part, end):
+    """Long pages without a single closed tag: one pass each, and the long sequence in bounded steps."""
+    page = part * (150_000 // len(part)) + end
+    began = time.time()
+    found = html_text.blocks(page)
+    assert time.time() - began < 8
+    model, vectors = html_text.Labeller(np.random.default_rng(1)), html_text.Vectors()
+    some = found[:2500]
+    assert len(html_text.main_texts([page[:40_000]], model, vectors)) == 1
+    if some:
+        x, mask = html_text.padded([vectors.of(some)])
+        assert np.allclose(model.page_logits(some, vectors, 400), model.logits(x, mask)[:, 0], atol=1e-4)
+
+
+def test_forward_pass_equals_plain_loops():
+    rng = np.random.default_rng(2)
+    model, h = html_text.Labeller(rng), html_text.HIDDEN_DIM
+    x = rng.normal(size=(4, html_text.INPUT)).astype(np.float32)
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    want = [float(model.p["out_b"][0])] * 4
+    for way, base in (("on", 0), ("back", h)):
+        state, cell = [0.0] * h, [0.0] * h
+        for t in range(4) if way == "on" else range(3, -1, -1):
+            z = [float(model.p[f"{way}_b"][j]) + sum(float(x[t, i]) * float(model.p[f"{way}_x"][i, j]) for i in range(html_text.INPUT)) + sum(state[i] * float(model.p[f"{way}_h"][i, j]) for i in range(h)) for j in range(4 * h)]
+            cell = [sig(z[h + j]) * cell[j] + sig(z[j]) * math.tanh(z[3 * h + j]) for j in range(h)]
+            state = [sig(z[2 * h + j]) * math.tanh(cell[j]) for j in range(h)]
+            want[t] += sum(state[j] * float(model.p["out"][base + j, 0]) for j in range(h))
+    assert np.allclose(model.logits(x[:, None], np.ones((4, 1), bool))[:, 0], want, atol=1e-3)
+
+
+#: Pages written by hand; main text stands between two §.
+BY_HAND = (
+    "<html><body><div id=top><a href=/>Start</a> <a href=/b>Blog</a> <a href=/c>Kontakt</a></div><div class=post><h1>§How to keep bees§</h1><p>§Bees need water, shade and flowers near the hive.§</p>"
+    "<p>§In spring the keeper looks into every hive once a week, and feeds weak ones.§</p><ul><li>§Smoke the hive gently.§</li><li>§Lift one frame at a time.§</li></ul></div>"
+    "<div class=sidebar><h3>Popular posts</h3><ul><li><a href=1>Ten trees to plant</a></li><li><a href=2>Why we mulch</a></li></ul></div><div id=footer>Copyright 2019. <a href=/p>Privacy</a></div></body></html>",
+    "<body><header><p>The Daily Page</p><nav><ul><li><a href=1>World</a><li><a href=2>Sport</a></ul></nav></header><div class='cookie-banner'>This page uses cookies. <button>Accept</button></div>"
+    "<main><h1>§Bridge opens after nine years§</h1><p>§The bridge over the river was opened on Monday by the mayor, who walked across it first.§<div class=advert>Buy two lamps, get one free!</div>"
+    "<p>§Work began nine years ago and cost twice what was planned.§<blockquote>§It was worth the wait, said one of the builders.§</blockquote></main>"
+    "<section class=comments><h2>2 comments</h2><div class=comment><p>I walk there each day and it is lovely.</p></div><div class=comment><p>Far too expensive if you ask me.</p></div></section><footer>All rights reserved</footer>",
+    "<div class=wrap><div class=menu><a href=a>Home</a><a href=b>Shop</a></div><article><h2>§Onion soup§</h2><p>§Slice six onions as thin as you can and cook them slowly in butter.§</p><table><tr><td>§Onions§</td><td>§six§</td></tr></table>"
+    "<p>§Pour in the stock and let it simmer for half an hour.§</p></article><form class=newsletter><p>Get recipes by mail</p><input><button>Sign up</button></form><aside class=related><a href=x>Leek soup</a></aside></div>",
+)
+
+
+def test_pages_by_hand():
+    """Labels are the writer's own: no rule on elements gives them."""
+    model, vectors = html_text.train(html_text.labelled_pages([])), html_text.Vectors()
+    right = n = 0
+    for page in BY_HAND:
+        truth = {b.text.strip("§"): b.text.startswith("§") for b in html_text.blocks(page)}
+        got = html_text.main_texts([page.replace("§", "")], model, vectors)[0].split("\n\n")
+        right, n = right + sum((t in got) == yes for t, yes in truth.items()), n + len(truth)
+    assert n > 30 and right >= 0.9 * n
+
+
 def test_gradients_are_right():
     rng = np.random.default_rng(1)
     model = html_text.Labeller(rng)
@@ -247,3 +326,113 @@ def test_html_edges(spark):
     df = spark.createDataFrame([(1, "u", None, 1), (2, None, "", 1), (None, "v", "<article><p>Text here.</article>", 1)], "page_id long, url string, html string, text int")
     rows = html_text.extracted(df).collect()
     assert len(rows) == 3 and {r.text for r in rows if r.page_id} == {""}
+
+
+def plain_class(c):
+    if c in " \t":
+        return "blank"
+    if c in "\n\r":
+        return "line"
+    if c in ".,;:!?":
+        return "stop"
+    if c in "'\"-()[]/":
+        return "mark"
+    if c in "#*$%&|<>@^_~=+{}\\`":
+        return "symbol"
+    if "a" <= c <= "z":
+        return "lower"
+    if "A" <= c <= "Z":
+        return "upper"
+    if "0" <= c <= "9":
+        return "digit"
+    if ord(c) < 32 or 0x7F <= ord(c) <= 0x9F:
+        return "control"
+    return "accented" if 0xC0 <= ord(c) <= 0x24F else "other"
+
+
+def plain_histograms(text):
+    chars, words = {}, {}
+    for c in text:
+        chars[plain_class(c)] = chars.get(plain_class(c), 0) + 1
+    listed = {w for ws in quality.COMMON.values() for w in ws}
+    for w in text.split():
+        key = w.strip(".,;:!?'\"-()[]").lower()
+        key = key if key in listed else ""
+        words[key] = words.get(key, 0) + 1
+    return chars, words
+
+
+def plain_distance(p, q):
+    p, q = ({k: v / sum(h.values()) for k, v in h.items()} for h in (p, q))
+    total = 0.0
+    for k in p.keys() | q.keys():
+        a, b = p.get(k, 0), q.get(k, 0)
+        m = (a + b) / 2
+        total += (a * math.log2(a / m) if a else 0) / 2 + (b * math.log2(b / m) if b else 0) / 2
+    return math.sqrt(max(total, 0))
+
+
+def test_quality_verdict_equals_plain_loops(spark):
+    rng = random.Random(12)
+    pool = {lang: [*ws, *[f"{lang}wort{k}" for k in range(40)]] for lang, ws in quality.COMMON.items()}
+    write = lambda lang, n: " ".join(rng.choice(pool[lang]) + rng.choice(("", "", "", ",", ".")) for _ in range(n))
+    rows = [(write(lang, rng.choice((45, 70, 200, 400))), lang) for lang in ("de", "en", "fr") for _ in range(12)]
+    rows += [(" ".join(f"#{k}$" for k in range(n)), "en") for n in (60, 90)] + [("QXZ " * 3 + " ".join(f"Z{k}Q" for k in range(80)), "de"), (write("en", 150) + " " + write("de", 150), None)]
+    rows += [("one two three four " * 30, "en"), (None, "en"), ("", "fr")]
+    docs = spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.judged(docs).collect()}
+    sums = {}
+    for k, (t, lang) in enumerate(rows):
+        if lang and not got[k].base_failed:
+            for total, part in zip(sums.setdefault(lang, ({}, {})), plain_histograms(t), strict=True):
+                for key, n in part.items():
+                    total[key] = total.get(key, 0) + n
+    shares = [tuple({k: v / sum(h.values()) for k, v in h.items()} for h in sums[lang]) for lang in sorted(sums)]
+    blend = lambda a, b, s: {k: s * a.get(k, 0) + (1 - s) * b.get(k, 0) for k in a.keys() | b.keys()}
+    shares += [tuple(blend(x, y, s) for x, y in zip(shares[i], shares[j], strict=True)) for i in range(len(sums)) for j in range(i) for s in (0.25, 0.5, 0.75)]
+    kept = 0
+    for k, (t, _) in enumerate(rows):
+        r = got[k]
+        if r.base_failed:
+            assert not r.kept and r.char_distance is None
+            continue
+        chars, words = plain_histograms(t)
+        n = len(t.split())
+        near = [(plain_distance(chars, c), plain_distance(words, w)) for c, w in shares]
+        want = any(a <= 0.16 + 0.9 / math.sqrt(n) and (n < 60 or b <= 0.18 + 1.5 / math.sqrt(n)) for a, b in near)
+        a, b = min(near, key=sum)
+        assert r.kept == want and abs(r.char_distance - a) < 1e-9 and abs(r.word_distance - b) < 1e-9
+        kept += want
+    assert 20 < kept < len([r for r in got.values() if not r.base_failed])
+
+
+def test_toxicity_scores_equal_plain_loops():
+    rng = np.random.default_rng(3)
+    table = rng.normal(size=toxicity.BUCKETS).astype(np.float32)
+    model = toxicity.Model(table, 0.25, 1.5, 0.5)
+
+    def bucket(gram):
+        h = 0
+        for c in gram:
+            h = (h * 0x100000001B3 + ord(c)) % 2**64
+        return ((h + len(gram)) * 0x9E3779B97F4A7C15) % 2**64 >> 46
+
+    def word_score(edged):
+        grams = [edged[k : k + n] for n in (3, 4, 5, 6) for k in range(len(edged) - n + 1)]
+        return sum(float(table[bucket(g)]) for g in grams) / max(len(grams), 1)
+
+    def score(text):
+        words = []
+        for w in (text or "").split():
+            edged = f"<{w.lower().strip(toxicity._STRIP)}>"
+            # Pieces of a long run: 16 characters each, the last five of one the first of the next.
+            words += [edged] if len(w) <= 64 or len(edged) <= 66 else [edged[k : k + 16] for k in range(0, len(edged) - 5, 11)]
+        each = [word_score(w) for w in words]
+        n = max(1, (len(each) + 12) // 24)
+        chunks = [each[24 * k : 24 * (k + 1) if k + 1 < n else None] for k in range(n)]
+        z = 0.25 + (max(sum(c) / len(c) for c in chunks) if each else 0)
+        return 1 / (1 + math.exp(-(1.5 * (z - 0.5) + math.log(0.7 / 0.3))))
+
+    texts = [None, "", "one", "Bad, WORDS here!", " ".join(f"w{k}" for k in range(100)), "x" * 64 + "worthless", "ab_" * 60 + " end", " ".join(f"wort{k}é" for k in range(37)), "- . !"]
+    got = model.scores_of(texts, toxicity.WordScores(table))
+    assert np.allclose(got, [score(t) for t in texts], atol=1e-6)
