@@ -50,6 +50,8 @@ SHARE = 80
 BLOCK = 1 << 16
 #: Shingles of a set in one row, and rows of tokens given back at a time: both bound what a Python worker holds.
 PIECE, CHUNK = 512, 50_000
+#: Texts turned into signatures at a time.
+ROWS_AT_A_TIME = 512
 #: Sets that are held against one copy of a leader's set.
 PART = 2048
 LAST = 2**63 - 1
@@ -119,19 +121,22 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
-        for batch in batches:
-            sets = [shingle_set(t, known, size) for t in batch["text"]]
-            full = [k for k, s in enumerate(sets) if len(s)]
-            bands: list = [np.empty(0, np.int64)] * len(sets)
-            nodes = np.zeros(len(sets), np.int64)
-            if full:
-                for k, row in zip(full, band_keys(signatures([sets[k] for k in full])), strict=True):
-                    bands[k] = row
-                    # The set's own hash: a sum and a xor of its members, which come in no order.
-                    s = sets[k]
-                    both = np.array([s.sum(), np.bitwise_xor.reduce(s) + np.uint64(len(s))], np.uint64)
-                    nodes[k] = mixed(mixed(both[:1]) * _ODD + both[1:]).view(np.int64)[0] or 1
-            yield pd.DataFrame({"doc_key": batch["doc_key"], "text_key": batch["text_key"], "node": nodes, "n_shingles": [len(s) for s in sets], "bands": bands})
+        for whole in batches:
+            # Some texts at a time: the sets of a whole batch aren't held together.
+            for begin in range(0, len(whole), ROWS_AT_A_TIME):
+                batch = whole.iloc[begin : begin + ROWS_AT_A_TIME]
+                sets = [shingle_set(t, known, size) for t in batch["text"]]
+                full = [k for k, s in enumerate(sets) if len(s)]
+                bands: list = [np.empty(0, np.int64)] * len(sets)
+                nodes = np.zeros(len(sets), np.int64)
+                if full:
+                    for k, row in zip(full, band_keys(signatures([sets[k] for k in full])), strict=True):
+                        bands[k] = row
+                        # The set's own hash: a sum and a xor of its members, which come in no order.
+                        s = sets[k]
+                        both = np.array([s.sum(), np.bitwise_xor.reduce(s) + np.uint64(len(s))], np.uint64)
+                        nodes[k] = mixed(mixed(both[:1]) * _ODD + both[1:]).view(np.int64)[0] or 1
+                yield pd.DataFrame({"doc_key": batch["doc_key"].to_numpy(), "text_key": batch["text_key"].to_numpy(), "node": nodes, "n_shingles": [len(s) for s in sets], "bands": bands})
 
     return keyed(docs).mapInPandas(sketched, "doc_key long, text_key long, node long, n_shingles long, bands array<long>")
 

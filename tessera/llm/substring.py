@@ -50,7 +50,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 class WordHashes(dict):
     """64-bit hash of each word, remembered up to a bound."""
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > self.LIMIT:
