@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from tessera.llm.align import op12_align
 from tessera.llm.bpe import op2_bpe
+from tessera.llm.chat import OP11_SQL, op11_chat_format
 from tessera.llm.fingerprint import op9_fingerprints
 from tessera.llm.html_text import op8_html_text
 from tessera.llm.mixing import OP6_SQL, op6_mix
 from tessera.llm.near_dup import op4_near_duplicates
+from tessera.llm.periodic import op13_periodic_runs
 from tessera.llm.quality import op3_quality
 from tessera.llm.substring import op10_substrings
 from tessera.llm.toxicity import op1_toxicity
@@ -24,9 +27,13 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_fingerprints": op9_fingerprints,
     "op10_substrings": op10_substrings,
+    "op11_chat_format": op11_chat_format,
+    "op12_align": op12_align,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL = {
     "op5_warc": OP5_SQL,
     "op6_mix": OP6_SQL,
+    "op11_chat_format": OP11_SQL,
 }
