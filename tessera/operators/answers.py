@@ -132,9 +132,9 @@ OUTCOME = "CASE WHEN value NOT IN ('unknown', 'check') THEN 'settled before' WHE
 
 
 def applied(answers: DataFrame, as_of: str) -> DataFrame:
-    """answers (domain, sid, grp, value, step, answer, confidence, entity_match, quote, announced, reason) with dated, after
-    and outcome. A page answer (step 1) is always about the domain itself."""
-    text = F.concat_ws(" ", "quote", "announced", "reason")
+    """answers (domain, company, sid, grp, value, step, answer, confidence, entity_match, quote, announced, date, reason) with
+    dated, after and outcome. A page answer (step 1) is always about the domain itself."""
+    text = F.concat_ws(" ", "quote", "announced", "date", "reason")
     dates = dates_in(text)
     days = F.element_at(F.create_map(*[F.lit(x) for s, (n, _) in RECENT.items() for x in (s, n)]), F.col("sid"))
     event = F.lit(False)
@@ -142,7 +142,7 @@ def applied(answers: DataFrame, as_of: str) -> DataFrame:
         event = event | ((F.col("sid") == sid) & F.col("quote").rlike(words))
     quote = F.col("quote")
     proof = quote.rlike(LATE_PROOF)
-    late = F.when(quote.rlike(SECONDARY) & ~proof, False).otherwise(proof | (F.coalesce(S.money_usd(quote), F.lit(0.0)) >= 1e8))
+    late = F.when(quote.rlike(SECONDARY) & ~proof, False).otherwise(proof | S.late_stage_label(quote, F.col("company")).isNotNull())
     flags = {
         "is_recent": F.col("sid").isin(*RECENT),
         "inside": F.exists(dates, lambda d: F.datediff(F.lit(as_of).cast("date"), d).between(0, days)),

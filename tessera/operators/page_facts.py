@@ -25,9 +25,15 @@ def hits(cells: list[Column], *keep: str) -> Column:
     return F.explode(F.filter(F.array(*cells), lambda c: c["value"].isNotNull()))
 
 
+def shown(how: str, pattern: str) -> Column:
+    """Whether page code shows a gateway's method. A key of Stripe's shape counts where nothing near it names another owner."""
+    found = F.col("html").rlike("(?i)" + pattern)
+    return found & ~around(F.col("html"), "(?i)" + pattern, 60).rlike(P.NOT_STRIPE_KEY) if how == P.KEY_METHOD else found
+
+
 def gateways(pages: DataFrame) -> DataFrame:
     """(domain, gateway, methods, page_no): payment gateways in page code, the methods in the rules' order and the first page."""
-    cells = [F.when(F.col("html").rlike("(?i)" + p), F.struct(F.lit(g).alias("gateway"), F.lit(k).alias("k"), F.lit(how).alias("how"))) for k, (g, how, p) in enumerate(P.GATEWAYS)]
+    cells = [F.when(shown(how, p), F.struct(F.lit(g).alias("gateway"), F.lit(k).alias("k"), F.lit(how).alias("how"))) for k, (g, how, p) in enumerate(P.GATEWAYS)]
     found = pages.select("domain", "page_no", F.explode(F.array_compact(F.array(*cells))).alias("c")).select("domain", "page_no", "c.*")
     methods = F.transform(F.array_sort(F.collect_set(F.struct("k", "how"))), lambda x: x["how"])
     return found.groupBy("domain", "gateway").agg(F.array_join(methods, "; ").alias("methods"), F.min("page_no").alias("page_no"))
@@ -38,8 +44,10 @@ def tools(pages: DataFrame, jobs: DataFrame) -> DataFrame:
     other mention. The first legal page and the first job that name a tool speak for their kind."""
     in_page = []
     for name, raw, text in P.TOOLS:
-        code = [p for g, _, p in P.GATEWAYS if g == name]
+        code = [p for g, how, p in P.GATEWAYS if g == name and how != P.KEY_METHOD]
         code = F.col("html").rlike("(?i)" + "|".join(code)) if code else F.lit(False)
+        for how, p in [(how, p) for g, how, p in P.GATEWAYS if g == name and how == P.KEY_METHOD]:
+            code = code | shown(how, p)
         code = (code | F.col("html").rlike(raw)) if raw else code
         named = F.col("text").rlike(text)
         near = around(F.col("text"), text)
@@ -158,8 +166,10 @@ PAGE_FACTS = {
 
 def page_facts(pages: DataFrame) -> DataFrame:
     """(domain, sid, value) of facts by what pages say and load. Texts stay where they are: flags are folded by domain."""
-    def flag(kinds, column, pattern):
+    def flag(kinds, column, pattern, unless=None):
         found = F.col(column).rlike(pattern)
+        if unless:
+            found = found & ~around(F.col(column), pattern, 80).rlike(unless)
         return F.max(F.col("kind").isin(*kinds) & found if kinds else found)
 
     known = pages.groupBy("domain").agg(
@@ -251,13 +261,14 @@ SENTENCE_KINDS = ("home", "about", "customers", "blog", "careers")
 
 
 def sentence_facts(pages: DataFrame) -> DataFrame:
-    """(domain, sid, value) of facts that single sentences tell: growth in numbers, a late stage, an accelerator."""
-    rows = pages.where(F.col("kind").isin(*SENTENCE_KINDS)).select("domain", F.explode(S.sentences_of(F.regexp_replace("text", r"\s+", " "))).alias("s")).where(F.length("s") <= 400)
+    """(domain, sid, value) of facts that single sentences tell: growth in numbers, a late stage, an accelerator. pages have
+    company: a sentence is a company's own if it says we or names it."""
+    rows = pages.where(F.col("kind").isin(*SENTENCE_KINDS)).select("domain", "company", F.explode(S.sentences_of(F.regexp_replace("text", r"\s+", " "))).alias("s")).where(F.length("s") <= 400)
     s = F.col("s")
-    own = s.rlike(P.FIRST_PERSON)
+    own = s.rlike(P.FIRST_PERSON) | S.names_word(s, F.col("company"))
     metric = s.rlike(P.METRIC) & ~s.rlike(P.NOT_OWN_METRIC)
     flags = {
-        "own_metric": metric & own, "metric": metric, "late_round": own & s.rlike(P.LATE_ROUND) & s.rlike(P.ROUND_WORDS) & ~s.rlike(S.NOT_OWN_MONEY), "late_money": S.late_stage_label(s).isNotNull(),
+        "own_metric": metric & own, "metric": metric, "late_round": own & s.rlike(P.LATE_ROUND) & s.rlike(P.ROUND_WORDS) & ~s.rlike(S.NOT_OWN_MONEY), "late_money": S.late_stage_label(s, F.col("company")).isNotNull(),
         "ticker": s.rlike(P.TICKER), "yc": s.rlike(P.YC_STRONG), "yc_named": s.rlike(P.YC_NAMED),
     }
     return as_facts(rows.groupBy("domain").agg(*[F.max(c).alias(n) for n, c in flags.items()]), SENTENCE_FACTS)

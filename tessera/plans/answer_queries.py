@@ -14,7 +14,7 @@ from tessera.operators import answers as A
 from tessera.plans import leads as L
 from tessera.plans.decision_queries import HEAD, decide_sql, facts_of, verdicts
 from tessera.plans.registry import query
-from tessera.plans.site_queries import _chosen, _has, _in, chosen
+from tessera.plans.site_queries import _chosen, _has, _in, chosen, late_money_sql
 
 AS_OF = "2026-11-28"
 SIDS = ("M1", "E1", "F2", "B1", "B2", "B6", "B7", "B12", "B13", "F9", "E4", "W4", "M3", "F12")
@@ -22,9 +22,11 @@ GIVEN = ("yes", "no", "unknown", "yes", "", "no", "yes")
 CONFIDENCE = ("high", "medium", "low", "high", "medium")
 ENTITY = ("domain", "name_and_location", "name_only")
 QUOTES = (
-    "closed a $45M Series B on 4/17/2026", "", "Acme raised a seed round on June 3, 2026", "founded 12 Nov. 2026 in Ohio", "launched new pricing in Oct 2026", "joined the batch of 2025-12-30", "Jane joins as board member, Sept 2026",
-    "trusted by 40,000 companies such as Ramp", "a Series D round, then an IPO", "a tender offer for staff", "converted to a corporation on 2025-02-30", "raised $150 million in May 2019", "we pay with Brex",
+    "Zed closed its $38M seed extension on 6/9/2026", "", "Acme raised a seed round on June 3, 2026", "founded 12 Nov. 2026 in Ohio", "launched new pricing in Oct 2026", "joined the batch of 2025-12-30", "Jane joins as board member, Sept 2026",
+    "trusted by 40,000 companies such as Ramp", "a Series D round, then an IPO", "a tender offer for staff", "converted to a corporation on 2025-02-30", "raised $150 million in May 2019", "we pay with Brex", "We raised $150M in one go on 2026-10-01", "a $150 million market awaits", "Orbit reaches a valuation of $3 billion", "Orbit customers raised $400 million",
 )
+DATES = ("", "", "2026-09-30", "", "May 2019")
+COMPANIES = ("Zed Tools", "", "Orbit")
 REASONS = ("the page says so", "it does not mention the topic", "there is no sign of it", "", "reported 2026-10-02")
 
 
@@ -34,13 +36,13 @@ def given(spark, sf_dir) -> DataFrame:
     roles = spark.createDataFrame([(s, g) for p, s, g, _, _ in config.roles() if p == "services"], "sid string, grp string")
     rows = rows.select(
         "event_id", F.concat(F.lit("c"), (n % 97).cast("string")).alias("domain"), chosen(SIDS, n).alias("sid"), chosen(("unknown", "check", "unknown", "yes"), n * 3 + F.floor(n / 7)).alias("value"), (n % 2 + 1).cast("int").alias("step"), chosen(GIVEN, n + F.floor(n / 14)).alias("answer"),
-        chosen(CONFIDENCE, n * 3 + F.floor(n / 5)).alias("confidence"), chosen(ENTITY, n + F.floor(n / 3)).alias("entity_match"), chosen(QUOTES, n * 5 + F.floor(n / 13)).alias("quote"), F.lit("").alias("announced"), chosen(REASONS, n * 2 + F.floor(n / 11)).alias("reason"),
+        chosen(CONFIDENCE, n * 3 + F.floor(n / 5)).alias("confidence"), chosen(ENTITY, n + F.floor(n / 3)).alias("entity_match"), chosen(QUOTES, n * 5 + F.floor(n / 13)).alias("quote"), F.lit("").alias("announced"), chosen(DATES, n + F.floor(n / 19)).alias("date"), chosen(COMPANIES, n * 3 + F.floor(n / 17)).alias("company"), chosen(REASONS, n * 2 + F.floor(n / 11)).alias("reason"),
     )
     return rows.join(F.broadcast(roles), "sid")  # 69 roles
 
 
 GIVEN_SQL = f"""{L.ROLES_SQL}, given AS (SELECT e.*, r.grp FROM (SELECT event_id, 'c' || (event_id % 97) AS domain, {_chosen(SIDS, "event_id")} AS sid, {_chosen(("unknown", "check", "unknown", "yes"), "event_id * 3 + event_id // 7")} AS value, CAST(event_id % 2 + 1 AS INT) AS step,
-  {_chosen(GIVEN, "event_id + event_id // 14")} AS answer, {_chosen(CONFIDENCE, "event_id * 3 + event_id // 5")} AS confidence, {_chosen(ENTITY, "event_id + event_id // 3")} AS entity_match, {_chosen(QUOTES, "event_id * 5 + event_id // 13")} AS quote, '' AS announced,
+  {_chosen(GIVEN, "event_id + event_id // 14")} AS answer, {_chosen(CONFIDENCE, "event_id * 3 + event_id // 5")} AS confidence, {_chosen(ENTITY, "event_id + event_id // 3")} AS entity_match, {_chosen(QUOTES, "event_id * 5 + event_id // 13")} AS quote, '' AS announced, {_chosen(DATES, "event_id + event_id // 19")} AS date, {_chosen(COMPANIES, "event_id * 3 + event_id // 17")} AS company,
   {_chosen(REASONS, "event_id * 2 + event_id // 11")} AS reason FROM events) e JOIN roles r ON r.sid = e.sid AND r.pipeline = 'services')"""
 
 
@@ -62,10 +64,8 @@ def dates_in_quotes(spark, sf_dir):
 
 _DAYS = "CASE sid " + " ".join(f"WHEN '{s}' THEN {n}" for s, (n, _) in A.RECENT.items()) + " END"
 _EVENT = " OR ".join(f"(sid = '{s}' AND {_has('quote', w)})" for s, (_, w) in A.RECENT.items())
-_MONEY = r"regexp_extract(quote, '\$([0-9][0-9,]*(\.[0-9]+)?) ?(million|billion|m|b|k)\b', {0})"
-_AMOUNT = f"coalesce(TRY_CAST(replace({_MONEY.format(1)}, ',', '') AS DOUBLE) * CASE WHEN {_MONEY.format(3)} IN ('million', 'm') THEN 1e6 WHEN {_MONEY.format(3)} IN ('billion', 'b') THEN 1e9 ELSE 1e3 END, 0)"
-APPLIED_SQL = f"""flagged AS (SELECT *, {_in("sid", A.RECENT)} AS is_recent, len(list_filter({_dates_sql("concat_ws(' ', quote, announced, reason)")}, lambda d: date_diff('day', d, DATE '{AS_OF}') BETWEEN 0 AND {_DAYS})) > 0 AS inside, {_EVENT} AS event,
-  {_has("reason", A.NOT_MENTIONED)} AS not_mentioned, trim(quote) <> '' AS has_quote, CASE WHEN {_has("quote", A.SECONDARY)} AND NOT {_has("quote", A.LATE_PROOF)} THEN FALSE ELSE {_has("quote", A.LATE_PROOF)} OR {_AMOUNT} >= 1e8 END AS late_proof,
+APPLIED_SQL = f"""flagged AS (SELECT *, {_in("sid", A.RECENT)} AS is_recent, len(list_filter({_dates_sql("concat_ws(' ', quote, announced, date, reason)")}, lambda d: date_diff('day', d, DATE '{AS_OF}') BETWEEN 0 AND {_DAYS})) > 0 AS inside, {_EVENT} AS event,
+  {_has("reason", A.NOT_MENTIONED)} AS not_mentioned, trim(quote) <> '' AS has_quote, CASE WHEN {_has("quote", A.SECONDARY)} AND NOT {_has("quote", A.LATE_PROOF)} THEN FALSE ELSE {_has("quote", A.LATE_PROOF)} OR {late_money_sql("quote", "company")} END AS late_proof,
   {_in("sid", A.TOOL_FACTS)} AS is_tool, {_has("quote", A.CUSTOMERS)} AS customers, CASE WHEN step = 2 THEN entity_match ELSE 'domain' END AS entity FROM given),
 dated AS (SELECT *, {A.DATED} AS dated FROM flagged), counted AS (SELECT *, {A.COUNTED} AS after FROM dated), outcomes AS (SELECT *, {A.OUTCOME} AS outcome FROM counted)"""
 

@@ -90,11 +90,6 @@ def signal_summary(spark, sf_dir):
     return signals_long(spark, sf_dir).groupBy("sid").agg(*map(n, ("yes", "check", "no", "unknown")))
 
 
-@query("fact_reference", f"{HEAD} SELECT r.pipeline, r.sid, r.name, r.grp, w.segment, w.points FROM roles r LEFT JOIN weights w ON r.pipeline = w.pipeline AND r.sid = w.sid")
-def fact_reference(spark, sf_dir):
-    return L.roles(spark).drop("place").join(L.weights(spark).drop("place"), ["pipeline", "sid"], "left").select("pipeline", "sid", "name", "grp", "segment", "points")
-
-
 SEGMENT_SQL = """segments AS (
   SELECT domain, CASE WHEN n BETWEEN 1 AND 5 THEN 'SMB' WHEN n BETWEEN 6 AND 25 THEN 'MM' WHEN n >= 26 THEN 'ENT' ELSE 'SMB' END AS segment
   FROM (SELECT domain, TRY_CAST(replace(regexp_extract(employees, '[0-9][0-9,]*'), ',', '') AS BIGINT) AS n FROM leads))"""
@@ -105,6 +100,18 @@ def segment_banding(spark, sf_dir):
     return L.leads(spark, sf_dir).select("domain", scoring.segment(F.col("employees")).alias("segment"))
 
 
+@query(
+    "fact_reference",
+    f"""{HEAD}, {SEGMENT_SQL}, yes_of AS (SELECT segment, sid, count(*) AS n_yes FROM signals JOIN segments USING (domain) WHERE value = 'yes' GROUP BY ALL)
+    SELECT r.pipeline, r.sid, r.name, r.grp, w.segment, w.points, coalesce(y.n_yes, 0) AS n_yes FROM roles r LEFT JOIN weights w ON r.pipeline = w.pipeline AND r.sid = w.sid LEFT JOIN yes_of y ON y.sid = w.sid AND y.segment = w.segment""",
+)
+def fact_reference(spark, sf_dir):
+    """Every fact with its group and points by segment, and how many leads of the segment have it."""
+    found = signals_long(spark, sf_dir).where("value = 'yes'").join(segment_banding(spark, sf_dir), "domain").groupBy("segment", "sid").agg(F.count(F.lit(1)).alias("n_yes"))
+    facts = L.roles(spark).drop("place").join(L.weights(spark).drop("place"), ["pipeline", "sid"], "left")
+    return facts.join(found, ["sid", "segment"], "left").select("pipeline", "sid", "name", "grp", "segment", "points", F.coalesce("n_yes", F.lit(0)).alias("n_yes"))
+
+
 def score_sql(pipeline: str) -> str:
     skips = "".join(
         f" AND NOT (s.sid IN ({', '.join(map(repr, skipped))}) AND s.domain IN (SELECT domain FROM signals WHERE sid = '{sid}' AND value = 'yes'))"

@@ -421,24 +421,17 @@ def settings_validation(spark, sf_dir):
 
 
 @query(
-    "concurrency_gate_fold",
-    """WITH RECURSIVE e AS (SELECT user_id, event_type = 'error' AS slow, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-    f AS (SELECT user_id, 0::BIGINT AS n, 8 AS gate, 0 AS good FROM (SELECT DISTINCT user_id FROM e)
-      UNION ALL SELECT f.user_id, e.n, CASE WHEN e.slow THEN greatest(2, f.gate // 2) WHEN f.good + 1 >= 20 THEN f.gate + 1 ELSE f.gate END, CASE WHEN e.slow OR f.good + 1 >= 20 THEN 0 ELSE f.good + 1 END
-      FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
-    SELECT user_id, max_by(gate, n) AS gate FROM f GROUP BY user_id""",
+    "error_rates_by_day",
+    """SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, max(ts) FILTER (event_type = 'error') AS last_error,
+      max(ts) FILTER (event_type <> 'error') > max(ts) FILTER (event_type = 'error') AS recovered FROM events GROUP BY ALL""",
 )
-def concurrency_gate_fold(spark, sf_dir):
-    """An adaptive gate as a fold over each user's ordered events: halved on an error, one wider after twenty good ones."""
-    ordered = events(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", (F.col("event_type") == "error").alias("slow")))).alias("e"))
-    start = F.struct(F.lit(8).alias("gate"), F.lit(0).alias("good"))
-
-    def step(acc, e):
-        full = acc["good"] + 1 >= 20
-        gate = F.when(e["slow"], F.greatest(F.lit(2), F.floor(acc["gate"] / 2).cast("int"))).when(full, acc["gate"] + 1).otherwise(acc["gate"])
-        return F.struct(gate.alias("gate"), F.when(e["slow"] | full, 0).otherwise(acc["good"] + 1).alias("good"))
-
-    return ordered.select("user_id", F.aggregate("e", start, step)["gate"].alias("gate"))
+def error_rates_by_day(spark, sf_dir):
+    """Errors of each user and day, and whether anything went well after the last one; folded inside map tasks."""
+    bad = F.col("event_type") == "error"
+    last = F.max(F.when(bad, F.col("ts")))
+    return events(spark, sf_dir).groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("errors"), last.alias("last_error"), (F.max(F.when(~bad, F.col("ts"))) > last).alias("recovered")
+    )
 
 
 @query(

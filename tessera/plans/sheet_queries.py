@@ -110,14 +110,14 @@ def partners_named(spark, sf_dir):
 @query(
     "run_disagreements",
     """WITH r AS (SELECT user_id, event_type, max(value) FILTER (event_id % 2 = 0) AS a, max(value) FILTER (event_id % 2 = 1) AS b FROM events GROUP BY ALL), d AS (SELECT *, abs(a - b) AS gap FROM r WHERE a IS NOT NULL AND b IS NOT NULL)
-    SELECT user_id, event_type, round(gap, 6) AS gap FROM d ORDER BY gap DESC, user_id, event_type LIMIT 25""",
+    SELECT user_id, event_type, round(gap, 6) AS gap FROM d""",
 )
 def run_disagreements(spark, sf_dir):
-    """The twenty-five widest disagreements of two runs."""
+    """All disagreements of two runs, the widest first."""
     even = F.col("event_id") % 2 == 0
     runs = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max(F.when(even, F.col("value"))).alias("a"), F.max(F.when(~even, F.col("value"))).alias("b"))
     gap = runs.where("a is not null and b is not null").withColumn("gap", F.abs(F.col("a") - F.col("b")))
-    return gap.orderBy(F.col("gap").desc(), "user_id", "event_type").limit(25).select("user_id", "event_type", F.round("gap", 6).alias("gap"))
+    return gap.orderBy(F.col("gap").desc(), "user_id", "event_type").select("user_id", "event_type", F.round("gap", 6).alias("gap"))
 
 
 @query(

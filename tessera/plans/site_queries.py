@@ -17,8 +17,9 @@ from tessera.plans.registry import query
 from tessera.sources import files
 
 YEAR = 2026
+COMPANIES = ("Acme", "Beta Labs", "")
 KINDS = ("home", "about", "pricing", "terms")
-ENDS = ("com", "de", "io", "com", "uk", "com", "org")
+ENDS = ("com", "de", "io", "com", "ng", "com", "org")
 PHRASES = (
     "Plans start at $49 per month for a team of 120 people.", "We use Gusto for payroll.", "Our app connects to QuickBooks and Xero.", "Acme is a Delaware corporation.",
     "These terms are governed by the laws of the State of California.", "We are located at 12 Main Street, Austin, TX 78701.", "Payments are processed by Stripe.",
@@ -27,7 +28,8 @@ PHRASES = (
     "Instant download after checkout, add to cart.", "Acme Holdings, Inc is a family of brands.", "We do our own books.", "Become a member now, billed annually.", "An accounting firm for doctors.",
     "Areas we serve: all of it. Monday - Friday 9 am.", "The bank account is held at Mercury, supported by partners.", "Acme operates as a sole proprietorship.", "Donations through Stripe help us.",
     "Acme is an Ohio limited liability company.", "Our payroll runs on Rippling or Deel.", "Cap table kept in Carta; we like Ramp.", "Offices in London and Berlin.", "A registered charity, gifts are tax-deductible.", "Nothing to see here.",
-    "We passed $5 million in ARR this year.", "The market grew 20% and 4,000 companies joined.", "Acme is a YC W21 company.", "Friends at Y Combinator like it.", "Listed as NASDAQ: ACME since May.", "We closed our Series D round.", "We raised $300 million from funds.",
+    "We passed $5 million in ARR this year.", "The market grew 20% and 4,000 companies joined.", "Acme is a YC W21 company.", "Friends at Y Combinator like it.", "Listed as NASDAQ: ACME since May.", "We closed our Series D round.", "We raised $300 million from funds.", "Acme raises $250M for its robots.", "Beta is valued at $2 billion now.", "Acme grew 40% this year.",
+    "Find us: we are the Acme marketplace on the AWS Marketplace.", "Acme trades since 2001 in Lagos.", "This agreement is governed by the laws of Nigeria.",
     "The dashboard works with Rho checking accounts.", "We're 75 employees of the month.",
 )
 CODES = (
@@ -35,7 +37,7 @@ CODES = (
     "<a href=https://boards.greenhouse.io/acme>Jobs</a>", "<a href=https://jobs.lever.co/jobs>x</a><a href=https://jobs.lever.co/Acme.io>y</a>", "<a href=https://acme.wd5.myworkdayjobs.com/en-US/Site>Jobs</a>", "<p>USD / EUR</p>",
     "<a href=https://apps.apple.com/us/app/x>App</a>", "<a href=https://whop.com/acme>Whop</a>", "<a href=https://www.producthunt.com/posts/acme>PH</a>", "<script src=https://js.chargebee.com/v2></script>", "<iframe src=https://acme.servicetitan.com></iframe>",
     "<a href=https://connect.stripe.com/oauth>Pay out</a>", "<p>Made with Printful</p><div class=woocommerce>", "<p>This domain is for sale</p>", "<p>plain</p>", "<a href=https://acme.recruitee.com>Jobs</a><a href=https://jobs.smartrecruiters.com/Acme1>Jobs</a>",
-    "<script>braintree.dropin.create ({})</script>",
+    "<script>braintree.dropin.create ({})</script>", "<script>stripeKey='pk_live_0123456789ab'</script>", "<script>var stripe={key:'pk_test_0123456789ab'}; clerk.load()</script>",
 )
 TITLES = ("Staff Accountant", "Controller", "Software Engineer", "Operations Manager", "HR Partner", "Warehouse Lead", "Bookkeeper", "Chief of Staff", "Sales Lead", "Support Agent", "FP&A Analyst")
 DESCRIPTIONS = (
@@ -114,8 +116,15 @@ PAGES_SQL = f"""pages_of AS (SELECT {_domain("(doc_id // 4)")} AS domain, doc_id
   '<body>' || {_chosen(CODES, "doc_id * 5 + doc_id // 4")} || '</body>' AS html FROM documents)"""
 JOBS_SQL = f"""jobs_of AS (SELECT {_domain("(p_partkey * 13 % 211)")} AS domain, p_partkey AS job_no, {_chosen(TITLES, "p_partkey * 3")} AS title,
   {_chosen(DESCRIPTIONS, "p_partkey * 5")} || ' ' || {_chosen(DESCRIPTIONS, "p_partkey * 7 + 3")} AS description, p_partkey % 3 <> 0 AS remote FROM part)"""
+_KEY = next(p for _, how, p in P.GATEWAYS if how == P.KEY_METHOD)
+
+
+def _key_elsewhere(html: str) -> str:
+    return _has(_near(html, "(?i)" + _KEY, 60), P.NOT_STRIPE_KEY)
+
+
 GATEWAYS_SQL = f"""{sql_values([(k, g, how, "(?i)" + p) for k, (g, how, p) in enumerate(P.GATEWAYS)], "gateway_rules", "k, gateway, how, pattern")},
-gateway_hits AS (SELECT domain, page_no, gateway, k, how FROM pages_of JOIN gateway_rules ON regexp_matches(html, pattern)),
+gateway_hits AS (SELECT domain, page_no, gateway, k, how FROM pages_of JOIN gateway_rules ON regexp_matches(html, pattern) WHERE how <> '{P.KEY_METHOD}' OR NOT {_key_elsewhere("html")}),
 gateways AS (SELECT domain, gateway, (SELECT string_agg(how, '; ' ORDER BY k) FROM (SELECT DISTINCT k, how FROM gateway_hits i WHERE i.domain = o.domain AND i.gateway = o.gateway)) AS methods, page_no
   FROM (SELECT domain, gateway, min(page_no) AS page_no FROM gateway_hits GROUP BY domain, gateway) o)"""
 
@@ -125,9 +134,9 @@ def payment_gateways(spark, sf_dir):
     return O.gateways(pages(spark, sf_dir))
 
 
-_CODE = {name: "|".join(p for g, _, p in P.GATEWAYS if g == name) for name, _, _ in P.TOOLS}
+_CODE = {name: "|".join(p for g, how, p in P.GATEWAYS if g == name and how != P.KEY_METHOD) for name, _, _ in P.TOOLS}
 TOOLS_SQL = f"""{sql_values([(k, name, "(?i)" + _CODE[name] if _CODE[name] else None, raw, text, _near("", text).split("'", 1)[1].rsplit("', 0)", 1)[0].replace("''", "'")) for k, (name, raw, text) in enumerate(P.TOOLS)], "tool_rules", "k, tool, code, raw, pattern, wide")},
-page_tools AS (SELECT domain, page_no, kind, tool, coalesce(regexp_matches(html, code), FALSE) OR coalesce(regexp_matches(html, raw), FALSE) AS code, regexp_matches(text, pattern) AS named, CASE WHEN regexp_matches(text, pattern) THEN regexp_extract(text, wide) END AS near FROM pages_of, tool_rules),
+page_tools AS (SELECT domain, page_no, kind, tool, coalesce(regexp_matches(html, code), FALSE) OR coalesce(regexp_matches(html, raw), FALSE) OR (tool = 'Stripe' AND {_has("html", "(?i)" + _KEY)} AND NOT {_key_elsewhere("html")}) AS code, regexp_matches(text, pattern) AS named, CASE WHEN regexp_matches(text, pattern) THEN regexp_extract(text, wide) END AS near FROM pages_of, tool_rules),
 used AS (SELECT domain, tool, CASE WHEN {_has("near", P.INTEGRATION)} OR {_has("near", P.DONATION)} THEN 'check' ELSE 'yes' END AS used FROM page_tools
   WHERE named AND {_in("kind", P.USAGE_KINDS)} QUALIFY row_number() OVER (PARTITION BY domain, tool ORDER BY page_no) = 1),
 job_tools AS (SELECT domain, tool, job_no, title, CASE WHEN regexp_matches(description, pattern) THEN regexp_extract(description, wide) ELSE regexp_extract(title, wide) END AS near
@@ -192,8 +201,9 @@ def facts_by_jobs(spark, sf_dir):
     return O.job_facts(posts, sites, O.tools(sites, posts))
 
 
-def _flag(kinds, column: str, pattern: str) -> str:
-    return f"bool_or({_in('kind', kinds) + ' AND ' if kinds else ''}{_has(column, pattern)})"
+def _flag(kinds, column: str, pattern: str, unless: str | None = None) -> str:
+    others = f" AND NOT {_has(_near(column, pattern, 80), unless)}" if unless else ""
+    return f"bool_or({_in('kind', kinds) + ' AND ' if kinds else ''}{_has(column, pattern)}{others})"
 
 
 @query(
@@ -255,21 +265,35 @@ def job_boards_linked(spark, sf_dir):
 
 _MONEY = r"(?i)(.{0,20})\$\s?(\d+(?:\.\d+)?)\s?(million|billion|[MB])\b(.{0,15})"
 _USD = "TRY_CAST(x[2] AS DOUBLE) * CASE WHEN lower(x[3]) IN ('billion', 'b') THEN 1e9 ELSE 1e6 END"
+
+
+
+def names_word_sql(sentence: str, name: str) -> str:
+    spaced = lambda c: f"(' ' || regexp_replace(lower({c}), '[^a-z0-9_]+', ' ', 'g') || ' ')"
+    first = spaced(f"split_part(trim(coalesce({name}, '')), ' ', 1)")
+    return f"(trim({first}) <> '' AND contains({spaced(sentence)}, {first}))"
+
+
+def late_money_sql(s: str, company: str) -> str:
+    zipped = f"list_zip({', '.join(f"regexp_extract_all({s}, '{_MONEY}', {k})" for k in (1, 2, 3, 4))})"
+    own = f"(regexp_matches({s}, '(?i)\\b(?:we|we''ve|we have|our)\\b') OR {names_word_sql(s, company)})"
+    amount = f"len(list_filter({zipped}, lambda x: ({_VALUED} AND {_USD} >= 1e9) OR (NOT {_VALUED} AND {_USD} >= 1e8 AND {_has(s, S.BIG_RAISE)}))) > 0"
+    return f"({own} AND NOT {_has(s, S.NOT_OWN_MONEY)} AND ({_has(s, S.BIG_RAISE)} OR {_has(s, S.VALUATION)}) AND {amount})"
+
+
 _VALUED = "(contains(lower(x[4]), 'valuation') OR contains(lower(x[1]), 'valued at') OR contains(lower(x[1]), 'valuation of'))"
 
 
 @query(
     "facts_by_sentences",
-    rf"""WITH {PAGES_SQL}, rows AS (SELECT domain, unnest(string_split(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM pages_of WHERE {_in("kind", O.SENTENCE_KINDS)}),
-    m AS (SELECT domain, s, {_has("s", P.FIRST_PERSON)} AS own, {_has("s", P.METRIC)} AND NOT {_has("s", P.NOT_OWN_METRIC)} AS metric, list_zip({", ".join(f"regexp_extract_all(s, '{_MONEY}', {k})" for k in (1, 2, 3, 4))}) AS z FROM rows WHERE length(s) <= 400),
-    known AS (SELECT domain, bool_or(metric AND own) AS own_metric, bool_or(metric) AS metric, bool_or(own AND {_has("s", P.LATE_ROUND)} AND {_has("s", P.ROUND_WORDS)} AND NOT {_has("s", S.NOT_OWN_MONEY)}) AS late_round,
-      bool_or(regexp_matches(s, '(?i)\b(?:we|we''ve|we have|our)\b') AND NOT {_has("s", S.NOT_OWN_MONEY)} AND ({_has("s", S.BIG_RAISE)} OR {_has("s", S.VALUATION)})
-        AND len(list_filter(z, lambda x: ({_VALUED} AND {_USD} >= 1e9) OR (NOT {_VALUED} AND {_USD} >= 1e8 AND {_has("s", S.BIG_RAISE)}))) > 0) AS late_money,
+    rf"""WITH {PAGES_SQL}, rows AS (SELECT domain, {_chosen(COMPANIES, "page_no // 4")} AS company, unnest(string_split(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM pages_of WHERE {_in("kind", O.SENTENCE_KINDS)}),
+    m AS (SELECT domain, s, {_has("s", P.FIRST_PERSON)} OR {names_word_sql("s", "company")} AS own, {_has("s", P.METRIC)} AND NOT {_has("s", P.NOT_OWN_METRIC)} AS metric, {late_money_sql("s", "company")} AS late_money FROM rows WHERE length(s) <= 400),
+    known AS (SELECT domain, bool_or(metric AND own) AS own_metric, bool_or(metric) AS metric, bool_or(own AND {_has("s", P.LATE_ROUND)} AND {_has("s", P.ROUND_WORDS)} AND NOT {_has("s", S.NOT_OWN_MONEY)}) AS late_round, bool_or(late_money) AS late_money,
       bool_or({_has("s", P.TICKER)}) AS ticker, bool_or({_has("s", P.YC_STRONG)}) AS yc, bool_or({_has("s", P.YC_NAMED)}) AS yc_named FROM m GROUP BY domain)
     {_facts(O.SENTENCE_FACTS, "known")}""",
 )
 def facts_by_sentences(spark, sf_dir):
-    return O.sentence_facts(pages(spark, sf_dir))
+    return O.sentence_facts(pages(spark, sf_dir).withColumn("company", chosen(COMPANIES, F.floor(F.col("page_no") / 4))))
 
 
 _AT = "s_suppkey * 3 + k * 4 + s_suppkey // 7"

@@ -212,11 +212,11 @@ def last_runs_start(spark, sf_dir):
     return last.agg(F.min(F.unix_timestamp("ts") - F.floor("value")).alias("earliest"))
 
 
-@query("costs_by_company", "SELECT user_id, round(sum(value), 4) AS cost, count(*) AS runs FROM events GROUP BY user_id ORDER BY sum(value) DESC, user_id LIMIT 20")
+@query("costs_by_company", "SELECT user_id, round(sum(value), 4) AS cost, count(*) AS runs FROM events GROUP BY user_id")
 def costs_by_company(spark, sf_dir):
-    """The twenty dearest companies."""
+    """All companies, the dearest first."""
     sums = read(spark, sf_dir, "events").groupBy("user_id").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("runs"))
-    return sums.orderBy(F.col("s").desc(), "user_id").limit(20).select("user_id", F.round("s", 4).alias("cost"), "runs")
+    return sums.orderBy(F.col("s").desc(), "user_id").select("user_id", F.round("s", 4).alias("cost"), "runs")
 
 
 @query(
