@@ -38,11 +38,11 @@ from tessera.llm.bpe import byte_letters, tokenizer_path
 from tessera.llm.common import saved
 
 #: Bytes of text of a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 #: An A id and a B id in one number.
 B_BITS = 32
 #: Pieces that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Linked pairs that are written out at a time.
 PAIRS = 1 << 22
 #: Word pieces of a byte-level text, a fixed value of these files.
