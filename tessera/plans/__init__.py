@@ -8,3 +8,4 @@ from tessera.plans import site_queries  # noqa: F401
 from tessera.plans import answer_queries  # noqa: F401
 from tessera.plans import work_queries  # noqa: F401
 from tessera.plans import sheet_queries  # noqa: F401
+from tessera.plans import fingerprint_queries  # noqa: F401
