@@ -185,8 +185,8 @@ def page_facts(pages: DataFrame) -> DataFrame:
 
 #: Portable rules over clues of place and legal form.
 PLACE_FACTS = {
-    "M1": "CASE WHEN us THEN 'yes' WHEN n_foreign >= 2 AND foreign_law THEN 'no' WHEN n_foreign > 0 THEN 'check' END",
-    "E4": "CASE WHEN us AND n_foreign >= 2 THEN 'check' WHEN us THEN 'no' WHEN n_foreign >= 2 AND foreign_law THEN 'yes' WHEN n_foreign > 0 THEN 'check' END",
+    "M1": "CASE WHEN us THEN 'yes' WHEN n_foreign >= 2 AND strong_foreign THEN 'no' WHEN n_foreign > 0 THEN 'check' END",
+    "E4": "CASE WHEN us AND n_foreign >= 2 THEN 'check' WHEN us THEN 'no' WHEN n_foreign >= 2 AND strong_foreign THEN 'yes' WHEN n_foreign > 0 THEN 'check' END",
     "F3": "CASE WHEN form IS NULL THEN NULL WHEN form = 'delaware corporation' THEN 'yes' ELSE 'no' END",
     "S1": "CASE WHEN sole_self THEN 'yes' WHEN form IS NOT NULL THEN 'no' END",
     "S12": "CASE WHEN years BETWEEN 10 AND 150 THEN 'yes' END",
@@ -194,8 +194,9 @@ PLACE_FACTS = {
 ADDRESS_KINDS, LAW_KINDS = ("terms", "privacy", "legal", "contact", "about", "security"), ("terms", "legal", "privacy")
 
 
-def place_facts(pages: DataFrame, year: int) -> DataFrame:
-    """(domain, sid, value) by addresses, governing law, legal form and stated age; year: the current one."""
+def place_facts(pages: DataFrame, year: int, countries: DataFrame | None = None) -> DataFrame:
+    """(domain, sid, value) by addresses, governing law, legal form and stated age; year: the current one; countries (domain,
+    us_country, foreign_country): what structured data says."""
     law, text = F.col("kind").isin(*LAW_KINDS), F.col("text")
     state, kind = F.lower(F.regexp_extract(text, P.STATE_ENTITY, 1)), F.lower(F.regexp_extract(text, P.STATE_ENTITY, 2))
     form = F.when(law & text.rlike(P.STATE_ENTITY), F.when((state == "delaware") & ~kind.contains("benefit") & ~kind.contains("limited"), "delaware corporation").otherwise(kind))
@@ -212,8 +213,12 @@ def place_facts(pages: DataFrame, year: int) -> DataFrame:
         F.max(F.col("kind").isin(*P.PAGE_FLAGS["sole_self"][0]) & text.rlike(sole)).alias("sole_self"),
         F.max(age).alias("years"),
     )
-    clues = F.col("foreign_law").cast("int") + F.col("foreign_place").cast("int") + F.col("country_domain").cast("int")
-    return as_facts(known.withColumn("n_foreign", clues), PLACE_FACTS)
+    if countries is None:
+        known = known.withColumns({"us_country": F.lit(False), "foreign_country": F.lit(False)})
+    else:
+        known = known.join(countries.select("domain", "us_country", "foreign_country"), "domain", "left").fillna(False, ["us_country", "foreign_country"])
+    clues = sum(F.col(c).cast("int") for c in ("foreign_law", "foreign_place", "country_domain", "foreign_country"))
+    return as_facts(known.withColumns({"us": F.col("us") | F.col("us_country"), "n_foreign": clues, "strong_foreign": F.col("foreign_law") | F.col("foreign_country")}), PLACE_FACTS)
 
 
 def headcount_facts(leads: DataFrame, pages: DataFrame) -> DataFrame:

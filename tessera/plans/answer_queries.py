@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera import config
 from tessera.config import sql_values
 from tessera.operators import answers as A
+from tessera.operators import structured as J
 from tessera.plans import leads as L
 from tessera.plans.decision_queries import HEAD, decide_sql, facts_of, verdicts
 from tessera.plans.registry import query
@@ -151,3 +152,29 @@ _METHOD, _NOTE = "CASE event_id % 6 WHEN 0 THEN 'code' WHEN 1 THEN 'directory' W
 def decided_by_layer(spark, sf_dir):
     rows = A.applied(given(spark, sf_dir), AS_OF).select(F.col("after").alias("value"), F.expr(_METHOD).alias("method"), F.expr(_NOTE).alias("note"))
     return rows.select(F.coalesce(F.expr(A.DECIDED_BY), F.lit("open")).alias("layer"), "value").groupBy("layer", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Ways in which a model writes its answer; @ is the quote as a JSON text.
+SHAPES = (
+    '```json\n{"answer": "yes", "confidence": 0.9, "quote": @, "parts": [{"n": 1}]}\n```', 'Sure: {"answer": "no", "confidence": 1, "quote": @, "parts": []} Anything else?', '{"answer": "maybe", "confidence": 1, "quote": @, "parts": []}',
+    '{"answer": "yes", "quote": @}', '{"answer": "yes", "confidence": "high", "quote": @, "parts": []}', '{"answer": "yes", "confidence": 1, "quote": @, "parts": []} or {"answer": "no"}', 'I found @', '{"answer": "no", "confidence": 0.5, "quote": @, "parts": [], "more": 1}',
+    '{"answer": "no", "confidence": 0.5, "quote": @, "parts": [{"n": "x"}]}',
+)
+SCHEMA = {"properties": {"answer": {"enum": ["yes", "no", "unknown"]}, "confidence": {"type": "number"}, "quote": {"type": "string"}, "parts": {"type": "array", "items": {"properties": {"n": {"type": "integer"}}}}}}
+_SAID = "conv_id * 5 + turn"
+
+
+@query(
+    "answers_read",
+    f"""WITH said AS (SELECT conv_id, turn, replace({_chosen(SHAPES, _SAID)}, '@', CAST(to_json(text) AS VARCHAR)) AS t FROM conversations WHERE role = 'assistant'),
+    bare AS (SELECT conv_id, turn, regexp_replace(regexp_replace(trim(t), '^```(?:json)?\\s*', ''), '\\s*```$', '') AS b FROM said),
+    cut AS (SELECT conv_id, turn, CASE WHEN regexp_matches(b, '(?s)\\{{.*\\}}') THEN regexp_extract(b, '(?s)\\{{.*\\}}') ELSE b END AS c FROM bare), v AS (SELECT conv_id, turn, TRY_CAST(c AS JSON) AS j FROM cut WHERE json_valid(c))
+    SELECT conv_id, turn, j->>'$.answer' AS answer, length(j->>'$.quote') AS quote_chars, coalesce(list_sort(json_keys(j)) = ['answer', 'confidence', 'parts', 'quote'] AND (j->>'$.answer') IN ('yes', 'no', 'unknown') AND json_type(j, '$.confidence') IN ('UBIGINT', 'DOUBLE')
+      AND len(list_filter(json_extract(j, '$.parts[*]'), lambda x: json_type(x, '$.n') <> 'UBIGINT')) = 0, FALSE) AS is_strict FROM v""",
+)
+def answers_read(spark, sf_dir):
+    """Answers written into conversations, read out of fences and prose, and whether each is as its schema says."""
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'assistant'")
+    quote = F.expr("substring(to_json(named_struct('t', text)), 6, char_length(to_json(named_struct('t', text))) - 6)")
+    read = said.select("conv_id", "turn", J.fenced_json(F.replace(chosen(SHAPES, F.expr(_SAID)), F.lit("@"), quote)).alias("v")).where("v is not null")
+    return read.select("conv_id", "turn", F.expr("try_variant_get(v, '$.answer', 'string')").alias("answer"), F.char_length(F.expr("try_variant_get(v, '$.quote', 'string')")).cast("long").alias("quote_chars"), J.conforms("v", SCHEMA).alias("is_strict"))

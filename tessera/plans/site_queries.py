@@ -13,6 +13,7 @@ from tessera.config import sql_values
 from tessera.functions import page_rules as P
 from tessera.functions import scalars as S
 from tessera.operators import page_facts as O
+from tessera.operators import structured as J
 from tessera.plans.registry import query
 from tessera.sources import files
 
@@ -38,6 +39,10 @@ CODES = (
     "<a href=https://apps.apple.com/us/app/x>App</a>", "<a href=https://whop.com/acme>Whop</a>", "<a href=https://www.producthunt.com/posts/acme>PH</a>", "<script src=https://js.chargebee.com/v2></script>", "<iframe src=https://acme.servicetitan.com></iframe>",
     "<a href=https://connect.stripe.com/oauth>Pay out</a>", "<p>Made with Printful</p><div class=woocommerce>", "<p>This domain is for sale</p>", "<p>plain</p>", "<a href=https://acme.recruitee.com>Jobs</a><a href=https://jobs.smartrecruiters.com/Acme1>Jobs</a>",
     "<script>braintree.dropin.create ({})</script>", "<script>stripeKey='pk_live_0123456789ab'</script>", "<script>var stripe={key:'pk_test_0123456789ab'}; clerk.load()</script>",
+    '<script type="application/ld+json">{"@graph":[{"@type":["Organization","Store",7],"address":{"addressCountry":{"name":"United States"}}}]}</script>',
+    '<script type="application/ld+json">[[{"@type":"NGO","department":{"address":{"addressCountry":" DE "}}}],[]]</script>',
+    '<script data-x=1 type="application/ld+json">{"@type":"LocalBusiness","openingHours":"Mo-Fr"}</script><script type="application/ld+json">{bad</script>',
+    '<script type="application/ld+json">{"a":{"b":{"c":[{"d":{"@type":"AccountingService","address":"x","n":null}}]}}}</script>',
 )
 TITLES = ("Staff Accountant", "Controller", "Software Engineer", "Operations Manager", "HR Partner", "Warehouse Lead", "Bookkeeper", "Chief of Staff", "Sales Lead", "Support Agent", "FP&A Analyst")
 DESCRIPTIONS = (
@@ -222,6 +227,18 @@ _STATE, _FORM = f"lower({_part('text', P.STATE_ENTITY, 1)})", f"lower({_part('te
 _LAW = _in("kind", O.LAW_KINDS)
 
 
+def _any_type(names) -> str:
+    return f"list_has_any(types, {_list(names)})"
+
+
+OBJECTS_SQL = f"""objects AS (SELECT domain, page_no, value AS v, CASE json_type(value, '$."@type"') WHEN 'VARCHAR' THEN [value->>'$."@type"'] WHEN 'ARRAY' THEN list_transform(list_filter(json_extract(value, '$."@type"[*]'), lambda x: json_type(x) = 'VARCHAR'), lambda x: x->>'$') ELSE [] END AS types,
+    trim(coalesce(CASE WHEN json_type(value, '$.address.addressCountry') = 'OBJECT' THEN value->>'$.address.addressCountry.name' ELSE value->>'$.address.addressCountry' END, '')) AS country
+  FROM (SELECT domain, page_no, unnest(regexp_extract_all(html, '{J.BLOCK}', 1)) AS block FROM pages_of), json_tree(CASE WHEN json_valid(block) THEN block ELSE 'null' END) WHERE type = 'OBJECT'),
+object_flags AS (SELECT domain, bool_or({_any_type(J.NONPROFIT)} OR json_exists(v, '$.nonprofitStatus')) AS nonprofit, bool_or(list_contains(types, 'AccountingService')) AS accounting, bool_or({_any_type(J.PHYSICAL)}) AS physical,
+  bool_or(json_exists(v, '$.openingHours') OR json_exists(v, '$.openingHoursSpecification')) AS hours, bool_or({_any_type(J.LOCAL_SERVICE)}) AS local_service,
+  bool_or({_in("upper(country)", J.US_NAMES)}) AS us_country, bool_or(country <> '' AND NOT {_in("upper(country)", J.US_NAMES)}) AS foreign_country FROM objects GROUP BY domain)"""
+
+
 @query(
     "facts_by_place",
     f"""WITH {PAGES_SQL}, forms AS (SELECT domain, CASE WHEN {_STATE} = 'delaware' AND NOT contains({_FORM}, 'benefit') AND NOT contains({_FORM}, 'limited') THEN 'delaware corporation' ELSE {_FORM} END AS form
@@ -230,11 +247,25 @@ _LAW = _in("kind", O.LAW_KINDS)
       bool_or({_LAW} AND {_has("text", P.FOREIGN_LAW)}) AS foreign_law, bool_or({_in("kind", ("contact", "legal"))} AND {_has("text", P.FOREIGN_PLACE)}) AS foreign_place,
       bool_or({_in("lower(split_part(domain, '.', 2))", P.COUNTRY_DOMAINS)}) AS country_domain, bool_or({_in("kind", P.PAGE_FLAGS["sole_self"][0])} AND {_has("text", P.PAGE_FLAGS["sole_self"][2])}) AS sole_self,
       max(CASE WHEN {_in("kind", ("home", "about", "contact"))} THEN coalesce({YEAR} - TRY_CAST({_part("text", P.SINCE_YEAR, 1)} AS INT), TRY_CAST({_part("text", P.YEARS_IN_BUSINESS, 1)} AS INT)) END) AS years FROM pages_of GROUP BY domain),
-    known AS (SELECT c.*, form, CAST(foreign_law AS INT) + CAST(foreign_place AS INT) + CAST(country_domain AS INT) AS n_foreign FROM clues c LEFT JOIN forms USING (domain))
+    {OBJECTS_SQL}, known AS (SELECT c.* REPLACE (us OR coalesce(us_country, FALSE) AS us), form, CAST(foreign_law AS INT) + CAST(foreign_place AS INT) + CAST(country_domain AS INT) + CAST(coalesce(foreign_country, FALSE) AS INT) AS n_foreign,
+      foreign_law OR coalesce(foreign_country, FALSE) AS strong_foreign FROM clues c LEFT JOIN forms USING (domain) LEFT JOIN object_flags USING (domain))
     {_facts(O.PLACE_FACTS, "known")}""",
 )
 def facts_by_place(spark, sf_dir):
-    return O.place_facts(pages(spark, sf_dir), YEAR)
+    found = pages(spark, sf_dir)
+    return O.place_facts(found, YEAR, J.domain_flags(J.page_objects(found)))
+
+
+@query("facts_by_structured", f"WITH {PAGES_SQL}, {OBJECTS_SQL} {_facts(J.STRUCTURED_FACTS, 'object_flags')}")
+def facts_by_structured(spark, sf_dir):
+    return J.structured_facts(J.page_objects(pages(spark, sf_dir)))
+
+
+@query("structured_objects", f"WITH {PAGES_SQL}, {OBJECTS_SQL} SELECT domain, page_no, types, country, count(*) AS n FROM (SELECT domain, page_no, array_to_string(types, '; ') AS types, country FROM objects) GROUP BY ALL")
+def structured_objects(spark, sf_dir):
+    """Every object of the pages' structured data, at any depth, by its types and country."""
+    found = J.page_objects(pages(spark, sf_dir)).select("domain", "page_no", F.array_join(J.types_of(), "; ").alias("types"), J.country_of().alias("country"))
+    return found.groupBy("domain", "page_no", "types", "country").agg(F.count(F.lit(1)).alias("n"))
 
 
 _TOLD = f"coalesce(TRY_CAST({_part('text', P.OWN_HEADCOUNT, 1)} AS BIGINT), TRY_CAST({_part('text', P.OWN_HEADCOUNT, 2)} AS BIGINT))"
