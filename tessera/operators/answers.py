@@ -1,11 +1,13 @@
 """Which questions a company still gets, when they may be asked, and what an answer counts for.
 
-Rules are portable CASE expressions over one row for each domain and fact, so nothing is shuffled for them; only waiting for
-parents joins the small table of conditions.
+Rules are portable CASE expressions. All questions of a lead stand in its row, as an array or a map of its facts, so neither
+planning nor waiting for parents shuffles anything.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,12 +63,40 @@ NEXT = """CASE WHEN NOT asked THEN NULL
     WHEN NOT step2 AND value IN ('unknown', 'check') AND web_after AND web_run <> 'off' THEN 'web' END"""
 
 
-def planned(facts: DataFrame) -> DataFrame:
-    """facts (domain, sid, value, status, must_or_stop, has_page, step1, step2, answer, confidence) with asked, web_after and next."""
-    table = facts.sparkSession.createDataFrame(settings(), "sid string, pages_run string, needs_page string, web_run string")
-    # As many rows as there are facts.
-    rows = facts.join(F.broadcast(table), "sid")
-    return rows.withColumn("asked", F.expr(ASKED)).withColumn("web_after", F.expr(WEB_AFTER)).withColumn("next", F.expr(NEXT))
+def of_element(rule: str, element: str, fields: tuple[str, ...]) -> str:
+    """A portable rule whose names are an array element's fields."""
+    return re.sub(rf"(?<![\w'.])({'|'.join(fields)})(?![\w'(])", rf"{element}.\1", rule)
+
+
+def planned(wide: DataFrame, pipeline: str, known: dict[str, str]) -> DataFrame:
+    """wide (domain, status, v_<fact>) with plan: an array of every fact of the pipeline in its place, with value, asked,
+    web_after and next. Nothing is shuffled: a lead's questions are worked out in its row.
+
+    known: SQL for must_or_stop, has_page, step1, step2, answer and confidence over wide's columns and x.sid, x.place, x.value, x.grp.
+    """
+    how = {sid: rest for sid, *rest in settings()}
+    text = lambda v: "CAST(NULL AS STRING)" if v is None else f"'{v}'"
+    facts = [
+        f"named_struct('sid', '{sid}', 'place', {place}, 'grp', '{grp}', 'value', v_{sid}, 'pages_run', {text(how[sid][0])}, 'needs_page', {text(how[sid][1])}, 'web_run', {text(how[sid][2])})"
+        for p, sid, grp, place, _ in config.roles() if p == pipeline
+    ]
+    base = ("sid", "place", "grp", "value", "pages_run", "needs_page", "web_run")
+
+    def more(array: str, has: tuple[str, ...], made: dict[str, str]) -> str:
+        kept = ", ".join(f"'{n}', x.{n}" for n in has)
+        return f"transform({array}, x -> named_struct({kept}, {', '.join(f"'{n}', {rule}" for n, rule in made.items())}))"
+
+    first = more("plan", base, known)
+    told = (*base, *known)
+    asked = more(first, told, {"asked": of_element(ASKED, "x", told), "web_after": of_element(WEB_AFTER, "x", told)})
+    every = (*told, "asked", "web_after")
+    return wide.withColumn("plan", F.expr(f"array({', '.join(facts)})")).withColumn("plan", F.expr(more(asked, every, {"next": of_element(NEXT, "x", every)})))
+
+
+def questions(plans: DataFrame) -> DataFrame:
+    """One row a lead and fact, with the lead's status."""
+    # A plan is never empty; the outer form spares Spark a test of that, which would work out the plan once more.
+    return plans.select("domain", "status", F.explode_outer("plan").alias("x")).select("domain", "status", "x.*")
 
 
 def conditions(pipeline: str) -> list[tuple[str, int, str, str, bool]]:
@@ -85,14 +115,69 @@ CONDITION = """CASE WHEN is_opposite THEN CASE WHEN waiting AND value IN ('unkno
     ELSE 'skip' END"""
 
 
-def gate_states(facts: DataFrame, pipeline: str) -> DataFrame:
-    """(domain, sid, gate): run, wait or skip for each fact of facts (domain, sid, value, waiting), by its first condition
-    that doesn't let it run."""
-    table = facts.sparkSession.createDataFrame(conditions(pipeline), "child string, place int, parent string, allowed string, is_opposite boolean")
-    parents = facts.select("domain", F.col("sid").alias("parent"), "value", "waiting").join(F.broadcast(table), "parent")
-    held = parents.withColumn("state", F.expr(CONDITION)).where("state <> 'run'")
-    first = held.groupBy("domain", F.col("child").alias("sid")).agg(F.min_by("state", "place").alias("state"))
-    return facts.select("domain", "sid").join(first, ["domain", "sid"], "left").select("domain", "sid", F.coalesce("state", F.lit("run")).alias("gate"))
+STATE = ("value", "waiting", "allowed", "is_opposite")
+
+
+def _conditions_sql(pipeline: str) -> str:
+    """Each fact's conditions in order, as a map."""
+    by: dict[str, list[str]] = {}
+    for child, _, parent, allowed, is_opposite in sorted(conditions(pipeline)):
+        by.setdefault(child, []).append(f"named_struct('parent', '{parent}', 'allowed', '{allowed}', 'is_opposite', {str(is_opposite).lower()})")
+    return "map(" + ", ".join(f"'{child}', array({', '.join(cs)})" for child, cs in by.items()) + ")"
+
+
+def _state_of(pipeline: str, state: str, sid: str) -> str:
+    """SQL of a fact's gate by a map of all facts' states: its first condition that doesn't let it run."""
+    of_parent = of_element(CONDITION, "c", ("allowed", "is_opposite"))
+    of_parent = of_element(of_parent, f"{state}[c.parent]", ("value", "waiting"))
+    # A parent that the pipeline doesn't have holds nobody back.
+    states = f"transform(filter(coalesce({_conditions_sql(pipeline)}[{sid}], array()), c -> {state}[c.parent] IS NOT NULL), c -> {of_parent})"
+    return f"coalesce(get(filter({states}, s -> s <> 'run'), 0), 'run')"
+
+
+def state_of(reply: str = "CAST(NULL AS STRING)") -> str:
+    """SQL of a plan's state: a map of every fact's value, next step, whether a question waits for it, the reply that it would
+    get (SQL over x.sid, x.place and so on) and the wave in which it was asked."""
+    return f"map_from_entries(transform(plan, x -> struct(x.sid, named_struct('value', x.value, 'next', x.next, 'waiting', x.next IS NOT NULL, 'reply', {reply}, 'wave', 0))))"
+
+
+def gate_states(plans: DataFrame, pipeline: str) -> DataFrame:
+    """(domain, sid, next, gate): run, wait or skip for each fact of a plan."""
+    # The state is named by a lambda, so that it is worked out once.
+    gates = f"get(transform(array({state_of()}), st -> transform(map_entries(st), e -> named_struct('sid', e.key, 'next', e.value.next, 'gate', {_state_of(pipeline, 'st', 'e.key')}))), 0)"
+    return plans.select("domain", F.explode_outer(F.expr(gates)).alias("g")).select("domain", "g.*")
+
+
+def waves(plans: DataFrame, pipeline: str, reply: str) -> DataFrame:
+    """(domain, sid, wave, value): in which wave each open question is asked, 0 for never, and the fact's value in the end.
+
+    Each wave asks all questions whose conditions let them run now; their replies are the values that the next wave looks at.
+    Waves go on until nothing more may be asked: recursive SQL over one row a lead, without a shuffle.
+    """
+    spark = plans.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    runs = f"{_state_of(pipeline, 'w.state', 'k')} = 'run'"
+    walked = spark.sql(
+        f"""WITH RECURSIVE w(domain, n, state) AS (
+          SELECT domain, 0, state FROM {{start}}
+          UNION ALL SELECT w.domain, w.n + 1, transform_values(w.state, (k, f) -> CASE WHEN f.waiting AND {runs} THEN named_struct('value', f.reply, 'next', f.next, 'waiting', false, 'reply', f.reply, 'wave', w.n + 1) ELSE f END)
+          FROM w WHERE exists(map_keys(w.state), k -> w.state[k].waiting AND {runs}))
+        SELECT domain, max_by(state, n) AS state FROM w GROUP BY domain""",
+        start=plans.select("domain", F.expr(state_of(reply)).alias("state")),
+    )
+    return walked.select("domain", F.explode_outer("state").alias("sid", "f")).select("domain", "sid", "f.wave", "f.value")
+
+
+def pages_of_waves(asked: DataFrame) -> DataFrame:
+    """(domain, wave, n_questions, pages): the pages that each wave's questions read, in the order in which they first occur
+    over questions by place."""
+    place = {sid: k for k, sid, _ in config.facts()}
+    reads = F.create_map(*[F.lit(x) if isinstance(x, str) else x for sid, pages in config.PAGES_READ.items() for x in (sid, F.array(*[F.lit(p) for p in pages]))])
+    at = F.create_map(*[F.lit(x) for sid, k in place.items() for x in (sid, k)])
+    rows = asked.where("wave > 0").select("domain", "wave", F.struct(F.element_at(at, F.col("sid")).alias("place"), F.coalesce(F.element_at(reads, F.col("sid")), F.array().cast("array<string>")).alias("pages")).alias("q"))
+    # A lead has at most as many questions as there are facts.
+    lists = F.transform(F.array_sort(F.collect_list("q")), lambda q: q.pages)
+    return rows.groupBy("domain", "wave").agg(F.count(F.lit(1)).alias("n_questions"), F.array_join(F.array_distinct(F.flatten(lists)), ", ").alias("pages"))
 
 
 def dates_in(text: Column) -> Column:

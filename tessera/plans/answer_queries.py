@@ -82,50 +82,77 @@ def answer_outcomes(spark, sf_dir):
     return found.groupBy("sid", "outcome").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("domain").alias("companies"))
 
 
-# Questions over the leads' facts: which have been asked already is taken from numbers.
+# Questions over the leads' facts: which have been asked already, and what is replied, is taken from numbers.
 _STEP1, _STEP2 = "(row_no + place) % 3 = 0", "(row_no + place) % 7 = 0"
-_FACTS = f"""CASE WHEN {_STEP1} THEN CASE row_no % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'yes' WHEN 2 THEN 'no' ELSE '' END END"""
+_ANSWER = f"""CASE WHEN {_STEP1} THEN CASE row_no % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'yes' WHEN 2 THEN 'no' ELSE '' END END"""
+_KNOWN = {"must_or_stop": "grp IN ('must', 'exclusion')", "has_page": "row_no % 2 = 0", "step1": _STEP1, "step2": _STEP2, "answer": _ANSWER, "confidence": "CASE WHEN row_no % 5 = 0 THEN 'low' ELSE 'high' END"}
+_REPLY = "CASE (row_no * 5 + place * 3) % 7 WHEN 0 THEN 'unknown' WHEN 1 THEN 'no' WHEN 4 THEN 'no' ELSE 'yes' END"
 PLAN_SQL = f"""{sql_values(A.settings(), "settings", "sid, pages_run, needs_page, web_run")},
-rows AS (SELECT s.domain, s.sid, s.value, l.status, r.grp IN ('must', 'exclusion') AS must_or_stop, row_no % 2 = 0 AS has_page, {_STEP1} AS step1, {_STEP2} AS step2, {_FACTS} AS answer, CASE WHEN row_no % 5 = 0 THEN 'low' ELSE 'high' END AS confidence, pages_run, needs_page, web_run
+rows AS MATERIALIZED (SELECT s.domain, s.sid, s.value, l.status, row_no, place, {", ".join(f"{rule} AS {name}" for name, rule in _KNOWN.items())}, pages_run, needs_page, web_run
   FROM signals s JOIN leads l USING (domain) JOIN roles r ON r.sid = s.sid AND r.pipeline = 'services' JOIN settings t ON t.sid = s.sid),
-asked AS (SELECT *, {A.ASKED} AS asked, {A.WEB_AFTER} AS web_after FROM rows), planned AS (SELECT *, {A.NEXT} AS next FROM asked)"""
+asked AS (SELECT *, {A.ASKED} AS asked, {A.WEB_AFTER} AS web_after FROM rows), planned AS MATERIALIZED (SELECT *, {A.NEXT} AS next FROM asked)"""
 
 
 def planned(spark, sf_dir) -> DataFrame:
-    found, signals = facts_of(spark, sf_dir, "services")
-    rows = signals.select("domain", "sid", "value", "grp", "place").join(found.select("domain", "row_no", "status"), "domain")
-    facts = rows.select(
-        "domain", "sid", "value", "status", F.col("grp").isin("must", "exclusion").alias("must_or_stop"), F.expr("row_no % 2 = 0").alias("has_page"), F.expr(_STEP1).alias("step1"), F.expr(_STEP2).alias("step2"), F.expr(_FACTS).alias("answer"), F.expr("CASE WHEN row_no % 5 = 0 THEN 'low' ELSE 'high' END").alias("confidence")
-    )
-    return A.planned(facts)
+    """A row a lead, with the plan of its questions."""
+    own = lambda rule: A.of_element(rule, "x", ("place", "grp"))
+    return A.planned(L.wide(L.leads(spark, sf_dir)), "services", {name: own(rule) for name, rule in _KNOWN.items()})
 
 
 @query("question_plan", f"{HEAD}, {PLAN_SQL} SELECT domain, sid, asked, web_after, next FROM planned")
 def question_plan(spark, sf_dir):
-    return planned(spark, sf_dir).select("domain", "sid", "asked", "web_after", "next")
+    return A.questions(planned(spark, sf_dir)).select("domain", "sid", "asked", "web_after", "next")
 
 
 @query("questions_open", f"{HEAD}, {PLAN_SQL} SELECT next, sid, count(*) AS companies FROM planned WHERE next IS NOT NULL GROUP BY next, sid")
 def questions_open(spark, sf_dir):
-    return planned(spark, sf_dir).where("next IS NOT NULL").groupBy("next", "sid").agg(F.count(F.lit(1)).alias("companies"))
+    return A.questions(planned(spark, sf_dir)).where("next IS NOT NULL").groupBy("next", "sid").agg(F.count(F.lit(1)).alias("companies"))
 
 
 GATE_STATES_SQL = f"""{sql_values(A.conditions("services"), "conditions", "child, place, parent, allowed, is_opposite")},
-states AS (SELECT domain, child, place, {A.CONDITION} AS state FROM (SELECT domain, sid, value, next IS NOT NULL AS waiting FROM planned) p JOIN conditions c ON c.parent = p.sid),
-firsts AS (SELECT domain, child AS sid, state FROM states WHERE state <> 'run' QUALIFY row_number() OVER (PARTITION BY domain, child ORDER BY place) = 1),
+states AS MATERIALIZED (SELECT domain, child, c.place, {A.CONDITION} AS state FROM (SELECT domain, sid, value, next IS NOT NULL AS waiting FROM planned) p JOIN conditions c ON c.parent = p.sid),
+firsts AS MATERIALIZED (SELECT domain, child AS sid, min_by(state, place) AS state FROM states WHERE state <> 'run' GROUP BY domain, child),
 gate_of AS (SELECT p.domain, p.sid, p.next, coalesce(f.state, 'run') AS gate FROM planned p LEFT JOIN firsts f ON f.domain = p.domain AND f.sid = p.sid)"""
 
 
 @query("gate_states", f"{HEAD}, {PLAN_SQL}, {GATE_STATES_SQL} SELECT domain, sid, gate FROM gate_of")
 def gate_states(spark, sf_dir):
-    return A.gate_states(planned(spark, sf_dir).withColumn("waiting", F.col("next").isNotNull()), "services")
+    return A.gate_states(planned(spark, sf_dir), "services").select("domain", "sid", "gate")
 
 
 @query("questions_runnable", f"{HEAD}, {PLAN_SQL}, {GATE_STATES_SQL} SELECT domain, sid, next FROM gate_of WHERE next IS NOT NULL AND gate = 'run'")
 def questions_runnable(spark, sf_dir):
-    plan = planned(spark, sf_dir)
-    gates = A.gate_states(plan.withColumn("waiting", F.col("next").isNotNull()), "services")
-    return plan.where("next IS NOT NULL").select("domain", "sid", "next").join(gates.where("gate = 'run'").select("domain", "sid"), ["domain", "sid"])
+    return A.gate_states(planned(spark, sf_dir), "services").where("next IS NOT NULL AND gate = 'run'").select("domain", "sid", "next")
+
+
+WAVES_SQL = f"""{sql_values(A.conditions("services"), "conditions", "child, place, parent, allowed, is_opposite")},
+st AS (SELECT domain, sid, value, next IS NOT NULL AS waiting, {_REPLY} AS reply, 0 AS wave, 0 AS n, FALSE AS last FROM planned
+  UNION ALL (WITH held AS (SELECT DISTINCT domain, child FROM (SELECT domain, child, {A.CONDITION} AS state FROM st JOIN conditions ON parent = sid) WHERE state <> 'run'),
+    r AS (SELECT s.*, s.waiting AND h.child IS NULL AS ready FROM st s LEFT JOIN held h ON h.domain = s.domain AND h.child = s.sid WHERE NOT s.last),
+    e AS (SELECT *, bool_or(ready) OVER (PARTITION BY domain) AS any_left FROM r)
+    SELECT domain, sid, CASE WHEN ready THEN reply ELSE value END, waiting AND NOT ready, reply, CASE WHEN ready THEN n + 1 ELSE wave END, n + 1, NOT any_left FROM e)),
+wave_of AS MATERIALIZED (SELECT domain, sid, wave, value FROM st WHERE last)"""
+
+
+def asked_in_waves(spark, sf_dir) -> DataFrame:
+    return A.waves(planned(spark, sf_dir), "services", A.of_element(_REPLY, "x", ("place",)))
+
+
+@query("question_waves", f"{HEAD.replace('WITH', 'WITH RECURSIVE', 1)}, {PLAN_SQL}, {WAVES_SQL} SELECT domain, sid, wave, value FROM wave_of")
+def question_waves(spark, sf_dir):
+    """The wave in which each lead's questions are asked, parents first, and what each fact ends on."""
+    return asked_in_waves(spark, sf_dir)
+
+
+@query(
+    "wave_pages",
+    f"""{HEAD.replace("WITH", "WITH RECURSIVE", 1)}, {PLAN_SQL}, {WAVES_SQL}, {sql_values([(sid, k, page) for sid, pages in config.PAGES_READ.items() for k, page in enumerate(pages)], "reads", "sid, k, page")},
+    places AS (SELECT sid, min(place) AS place FROM roles WHERE pipeline = 'services' GROUP BY sid), firsts AS (SELECT domain, wave, page, min((place, k)) AS seen_at FROM wave_of JOIN reads USING (sid) JOIN places USING (sid) WHERE wave > 0 GROUP BY ALL)
+    SELECT domain, wave, n_questions, coalesce(pages, '') AS pages FROM (SELECT domain, wave, count(*) AS n_questions FROM wave_of WHERE wave > 0 GROUP BY ALL) LEFT JOIN (SELECT domain, wave, string_agg(page, ', ' ORDER BY seen_at) AS pages FROM firsts GROUP BY ALL) USING (domain, wave)""",
+)
+def wave_pages(spark, sf_dir):
+    """The pages that each wave of a lead's questions reads."""
+    return A.pages_of_waves(asked_in_waves(spark, sf_dir))
 
 
 _YES = ", ".join(f"bool_or(sid = '{s}' AND value = 'yes') AS y_{s.lower()}" for s in A.ROUTE_FACTS)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import page_rules as P
+from tessera.operators import answers as A
 from tessera.operators import page_facts as O
 from tessera.plans.answer_queries import PLAN_SQL, planned
 from tessera.plans.decision_queries import HEAD, SEGMENT_SQL, SETTLED_SQL, core, decide_sql, facts_of, score_sql, settled
@@ -38,7 +39,7 @@ def list_overview(spark, sf_dir):
 )
 def question_cost_summary(spark, sf_dir):
     """What the open questions of all companies come to: pages are asked eight in a call."""
-    each = planned(spark, sf_dir).where("next is not null").groupBy("domain").agg(F.count_if(F.col("next") == "pages").alias("pages"), F.count_if(F.col("next") == "web").alias("web"))
+    each = A.questions(planned(spark, sf_dir)).where("next is not null").groupBy("domain").agg(F.count_if(F.col("next") == "pages").alias("pages"), F.count_if(F.col("next") == "web").alias("web"))
     return each.agg(F.count(F.lit(1)).alias("companies"), F.sum("pages").alias("page_questions"), F.sum("web").alias("web_questions"), F.sum(F.ceil(F.col("pages") / 8)).alias("calls"), F.sum(F.col("pages") * 900 + F.col("web") * 400).alias("tokens"))
 
 
@@ -49,7 +50,7 @@ def question_cost_summary(spark, sf_dir):
 )
 def question_cost_by_mode(spark, sf_dir):
     """The estimate in both ways of asking: a call for each question, or for eight."""
-    each = planned(spark, sf_dir).where("next is not null").groupBy("domain").agg(F.count_if(F.col("next") == "pages").alias("pages"), F.count_if(F.col("next") == "web").alias("web"))
+    each = A.questions(planned(spark, sf_dir)).where("next is not null").groupBy("domain").agg(F.count_if(F.col("next") == "pages").alias("pages"), F.count_if(F.col("next") == "web").alias("web"))
     modes = F.explode(F.array(F.struct(F.lit("accurate").alias("mode"), F.lit(1).alias("size")), F.struct(F.lit("cheap").alias("mode"), F.lit(8).alias("size"))))
     rows = each.select("pages", "web", modes.alias("m"))
     calls = F.sum(F.ceil(F.col("pages") / F.col("m.size")))
@@ -62,13 +63,13 @@ _WHY = """CASE WHEN web_run = 'first' THEN 'only a web search can answer it' WHE
 
 @query("why_asked", f"{HEAD}, {PLAN_SQL} SELECT sid, {_WHY} AS why, count(*) AS companies FROM planned WHERE next IS NOT NULL GROUP BY ALL")
 def why_asked(spark, sf_dir):
-    return planned(spark, sf_dir).where("next is not null").select("sid", F.expr(_WHY).alias("why")).groupBy("sid", "why").agg(F.count(F.lit(1)).alias("companies"))
+    return A.questions(planned(spark, sf_dir)).where("next is not null").select("sid", F.expr(_WHY).alias("why")).groupBy("sid", "why").agg(F.count(F.lit(1)).alias("companies"))
 
 
 @query("unreached_questions", f"{HEAD}, {PLAN_SQL} SELECT domain, sid FROM planned WHERE status = 'blocked' AND must_or_stop AND web_run <> 'off' AND value = 'unknown'")
 def unreached_questions(spark, sf_dir):
     """What the web is asked for sites that could not be read: open must-haves and stops."""
-    return planned(spark, sf_dir).where("status = 'blocked' and must_or_stop and web_run <> 'off' and value = 'unknown'").select("domain", "sid")
+    return A.questions(planned(spark, sf_dir)).where("status = 'blocked' and must_or_stop and web_run <> 'off' and value = 'unknown'").select("domain", "sid")
 
 
 @query("sheet_by_group", f"{HEAD} SELECT grp, sid, value, count(*) AS companies FROM signals JOIN roles USING (sid) WHERE pipeline = 'services' AND value <> 'unknown' GROUP BY ALL")
