@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import os
 import random
+import re
 from zlib import crc32
 
 import duckdb
@@ -134,63 +135,71 @@ def test_fixed_rules(spark):
 
 def test_mined_rules_equal_brute_force(spark):
     rng = random.Random(5)
-    rows = [(k, f"https://{rng.choice(['spam', 'good'])}-{rng.choice('ab')}.x.org/{rng.choice(['de', 'it'])}/{k}{rng.choice(['', '?utm=1'])}") for k in range(400)]
+    rows = [(k, f"https://{rng.choice(['spam', 'good'])}-{rng.choice('ab')}.{rng.choice('xyz')}.org/{rng.choice(['de', 'it'])}/{k}{rng.choice(['', '?utm=1'])}") for k in range(400)]
     bad = lambda u: "spam-" in u and "/de/" in u
     pages = spark.createDataFrame(rows, "page_id long, url string")
     labelled = spark.createDataFrame([(u, bad(u)) for _, u in rows], "url string, bad boolean")
     got = {r.page_id: r.verdict for r in url_rules.judge(pages.unionByName(pages), labelled, support=0.05, confidence=0.9).collect()}
     assert got == {k: "block" if bad(u) else "allow" for k, u in rows}
+    # The same labels from one source, or of one registered domain, carry over to nothing.
+    one = url_rules.judge(pages, labelled.withColumn("source", F.lit("s")), support=0.05)
+    assert one.where("mined is not null").count() == 0
+    same = spark.createDataFrame([(k, re.sub(r"\.[xyz]\.", ".x.", u)) for k, u in rows], "page_id long, url string")
+    assert url_rules.judge(same, same.select("url", F.lit(True).alias("bad")), support=0.05, lift=0.0).where("mined is not null").count() == 0
 
 
 def test_long_urls_are_mined_in_time(spark):
-    """Tokens that always come together are one item, and nested ones are bounded."""
+    """Tokens that always come together are one item; labelled URLs of many nested tokens aren't learned from."""
     words = "/".join(f"word{k}" for k in range(40))
-    rows = [(k, f"https://a.x.org/{words}/{k}") for k in range(40)] + [(100 + k, f"https://b.x.org/{'/'.join(f'n{j}' for j in range(k))}/p") for k in range(120)]
+    rows = [(k, f"https://a.x{k % 3}.org/{words}/{k}") for k in range(40)] + [(100 + k, f"https://b.y{k % 2}.org/{'/'.join(f'n{j}' for j in range(k))}/p") for k in range(120)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
     labelled = pages.select("url", (F.col("page_id") < 100).alias("bad"))
     got = {r.page_id: r.verdict for r in url_rules.judge(pages, labelled).collect()}
     assert got == {k: "block" if k < 100 else "allow" for k, _ in rows}
 
 
-def plain_mined(labelled, least, confidence, lift, tokens_of):
-    """{frozenset of tokens: (verdict, confidence, support)} of all token sets of up to three tokens."""
+def plain_mined(labelled, least, confidence, lift, tokens_of, left_out):
+    """{frozenset of tokens: (verdict, confidence, support)} of all token sets of up to three tokens that carry over."""
     found, n = {}, len(labelled)
-    base = {v: sum((bad == (v == "block")) for bad in labelled.values()) / n for v in ("block", "allow")}
+    base = {v: sum((bad == (v == "block")) for bad, _ in labelled.values()) / n for v in ("block", "allow")}
     sets = {}
     for url in labelled:
         for size in (1, 2, 3):
-            for s in itertools.combinations(sorted(tokens_of[url]), size):
+            for s in itertools.combinations(sorted(set(tokens_of[url]) - left_out), size):
                 sets.setdefault(s, []).append(url)
     for s, urls in sets.items():
+        if len({".".join(u.split("://")[1].split("/")[0].lower().split(".")[-2:]) for u in urls}) < 2 or len({labelled[u][1] for u in urls}) < 2:
+            continue
         for v in ("block", "allow"):
-            hits = sum(labelled[u] == (v == "block") for u in urls)
+            hits = sum(labelled[u][0] == (v == "block") for u in urls)
             if hits >= least and hits / len(urls) >= confidence and hits / len(urls) / base[v] >= lift:
                 found.setdefault(frozenset(s), []).append((v, hits / len(urls), hits / n))
     return found
 
 
-def test_mined_verdicts_at_a_larger_size(spark):
-    """Verdicts of pages that no fixed rule decides, against all token sets of up to three tokens, and on URLs held out."""
-    folder = "/root/testdata/sf0.1"
-    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url")
-    labelled = {r.url: r.bad for r in url_rules.decided(pages).collect()}
+@pytest.mark.parametrize("folder,support", [("sf0.01", 0.02), ("sf0.1", 0.004)])
+def test_mined_verdicts_equal_all_token_sets(spark, folder, support):
+    """Verdicts of pages that no fixed rule decides, with spam words planted in hosts of every domain, against all token sets
+    of up to three tokens; no rule names what a fixed rule names."""
+    planted = F.when(F.xxhash64("url") % 9 == 0, F.regexp_replace("url", "://", "://zzwin-zzbets.")).otherwise(F.col("url"))
+    pages = spark.read.parquet(f"/root/testdata/{folder}/pages.parquet").select("page_id", planted.alias("url"))
+    by = url_rules.decided(pages).withColumn("bad", F.col("bad") | F.col("url").contains("zzwin-zzbets"))
+    labelled = {r.url: (r.bad, r.source) for r in by.collect()}
     rows = pages.withColumn("t", url_rules.tokens(F.col("url"), url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url")))).collect()
-    rules = plain_mined(labelled, max(30, -(-0.002 * len(labelled) // 1)), url_rules.MIN_CONFIDENCE, url_rules.MIN_LIFT, {r.url: r.t for r in rows})
-    got = {r.page_id: r for r in url_rules.judge(pages, url_rules.decided(pages)).collect()}
-    mined = {"block": 0, "allow": 0}
+    left_out = set(url_rules.tokens_named(spark, url_rules.RULES))
+    assert {"path=en", "path=es", "path=fr", "host0=com", "host0=net", "host1=example", "host2=www"} == left_out
+    rules = plain_mined(labelled, max(2, -(-support * len(labelled) // 1)), url_rules.MIN_CONFIDENCE, url_rules.MIN_LIFT, {r.url: r.t for r in rows}, left_out)
+    got = {r.page_id: r for r in url_rules.judge(pages, by, support=support).collect()}
+    n_mined = 0
     for r in rows:
         if got[r.page_id].rule is None:
             fits = [x for s, found in rules.items() if s <= set(r.t) for x in found]
             surest = max((c for _, c, _ in fits), default=None)
             assert got[r.page_id].verdict in ({v for v, c, _ in fits if c == surest} or {"allow"})
             assert (got[r.page_id].mined is None) == (not fits)
-            mined[got[r.page_id].verdict] += bool(fits)
-    assert min(mined.values()) > 50
-    third = lambda u: crc32(u.encode()) % 3 == 0
-    learned = spark.createDataFrame([(u, b) for u, b in labelled.items() if not third(u)], "url string, bad boolean")
-    judged = url_rules.judge(spark.createDataFrame([(k, u) for k, u in enumerate(labelled) if third(u)], "page_id long, url string"), learned, rules=(("allow", "none.invalid", "/"),))
-    pairs = [(r.verdict == "block", labelled[r.url]) for r in judged.collect() if r.mined]
-    assert len(pairs) > 200 and sum(a == b for a, b in pairs) / len(pairs) > 0.97
+            n_mined += bool(fits)
+            assert got[r.page_id].verdict == "block" or "zzwin-zzbets" not in r.url
+    assert n_mined > 0
 
 
 def test_url_query_rows(spark):
