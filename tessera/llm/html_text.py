@@ -1,7 +1,7 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page is cut into its leaf blocks: runs of text between block-level tags. Each block is a vector of its hashed tag path
-(tags, class and id words of the NEAREST innermost elements around it), its hashed words and a few measures. A
+(tags, class and id words of all elements around it, the inner ones counting more), its hashed words and a few measures. A
 bidirectional LSTM in numpy reads the blocks of the page in order, so each block is judged in the light of the whole page,
 and labels it as main text or not. The main blocks are joined by an empty line. Pages are parsed in one pass; long ones
 are read STEPS blocks at a time in either direction, with the state carried on, so nothing grows but the blocks themselves.
@@ -244,7 +244,8 @@ def blocks(page: str | None) -> list[Block]:
             stack.end(tag)
             continue
         if tag in RAW:
-            if not attrs.endswith("/"):
+            # A slash closes nothing here, but inside drawings and formulas.
+            if not (attrs.endswith("/") and stack.foreign):
                 end = _RAW_END[tag].search(page, scan)
                 stop = page.find(">", end.end()) if end else -1
                 at = scan = stop + 1 if stop >= 0 else len(page)
@@ -270,8 +271,8 @@ PATH_DIM, WORD_DIM = 96, 48
 MEASURES = 9
 INPUT = PATH_DIM + WORD_DIM + MEASURES
 HIDDEN_DIM = 20
-#: Elements of a path that its vector reads; blocks of a page read at a time.
-NEAREST, STEPS = 32, 2048
+#: Blocks of a page read at a time; elements whose sums are held at a time; bound of a path's sums.
+STEPS, HELD, CLIP = 2048, 20_000, 4.5
 
 
 class _Hashed(dict):
@@ -292,21 +293,40 @@ class Vectors:
     """Turns the blocks of a page into rows of numbers."""
 
     def __init__(self):
-        self.path, self.word, self.paths = _Hashed(PATH_DIM), _Hashed(WORD_DIM), {}
+        self.path, self.word = _Hashed(PATH_DIM), _Hashed(WORD_DIM)
+        self.own: dict[tuple[str, ...], np.ndarray] = {}
+        self.sums: dict[Element, tuple[np.ndarray, np.ndarray]] = {}
 
-    def of_path(self, path: tuple[str, ...]) -> np.ndarray:
-        """Vector of the tokens of a path, the innermost first."""
-        found = self.paths.get(path)
+    def of_names(self, names: tuple[str, ...]) -> np.ndarray:
+        found = self.own.get(names)
         if found is None:
-            if len(self.paths) > 20_000:
-                self.paths.clear()
+            if len(self.own) > HELD:
+                self.own.clear()
             found = np.zeros(PATH_DIM, np.float32)
-            for k, token in enumerate(path):
+            for token in names:
                 place, sign = self.path[token]
-                found[place] += sign * (0.6 + 0.4 / (1 + k))
-            self.paths[path] = found
+                found[place] += sign
+            self.own[names] = found
         return found
 
+    def of_path(self, element: Element) -> np.ndarray:
+        """Vector of an element and all around it: the sum of their tokens, and a sum that halves at each step outwards. Each
+        element adds its own to its parent's sums."""
+        chain, at = [], element
+        while at is not None and at not in self.sums:
+            chain.append(at)
+            at = at.parent
+        zero = np.zeros(PATH_DIM, np.float32)
+        every, near = self.sums[at] if at is not None else (zero, zero)
+        for at in reversed(chain):
+            own = self.of_names(at.names)
+            every, near = every + own, near / 2 + own
+            if len(self.sums) > HELD:
+                self.sums.clear()
+            self.sums[at] = (every, near)
+        # Many equal elements around a block must not drown the others in its gates.
+        return np.clip(0.6 * every + 0.4 * near, -CLIP, CLIP)
+
     def of(self, page: list[Block], first: int = 0, end: int | None = None) -> np.ndarray:
         """A row for each block of a page, or for those from first to end."""
         end = len(page) if end is None else end
@@ -315,7 +335,7 @@ class Vectors:
             b = page[i]
             words = b.text.lower().split(" ")
             if b.path:
-                out[r, :PATH_DIM] = self.of_path(b.path.nearest(NEAREST))
+                out[r, :PATH_DIM] = self.of_path(b.path)
             pairs = np.array([self.word[w] for w in words])
             out[r, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(pairs[:, 0].astype(np.int64), pairs[:, 1], WORD_DIM) / np.sqrt(len(words))
             n = len(b.text)
@@ -584,12 +604,12 @@ def main_texts(pages: list[str | None], model: Labeller, vectors: Vectors) -> li
 
 
 def sampled(pages: DataFrame) -> list[str]:
-    """Html of the sample: its page_ids first, then their pages, so no task sends pages that aren't in it."""
-    able = pages.where(F.char_length("html") <= SAMPLE_CHARS)
-    by_hash = F.xxhash64(F.lit("sample"), "page_id")
-    ids = [r.page_id for r in able.where(F.col("page_id").isNotNull()).select("page_id").orderBy(by_hash, "page_id").limit(SAMPLE).collect()]
-    found = able.where(F.col("page_id").isin(ids)).groupBy("page_id").agg(F.min("html").alias("html")) if ids else able.limit(0)
-    return [r.html for r in found.orderBy("page_id").collect()]
+    """Html of the sample: hashes of page_id and html first, then their pages, so no task sends pages that aren't in it. Pages
+    without page_id are told apart by their html."""
+    keyed = pages.where(F.char_length("html") <= SAMPLE_CHARS).withColumn("key", F.xxhash64(F.lit("sample"), F.coalesce(F.col("page_id").cast("string"), F.sha2(F.encode("html", "UTF-8"), 256))))
+    keys = [r.key for r in keyed.select("key").orderBy("key").limit(SAMPLE).collect()]
+    found = keyed.where(F.col("key").isin(keys)).groupBy("key").agg(F.min("html").alias("html")) if keys else keyed.limit(0)
+    return [r.html for r in found.orderBy("key").collect()]
 
 
 def extracted(pages: DataFrame) -> DataFrame:
