@@ -1,10 +1,10 @@
 """Toxicity scores from subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams, borders included, hashed to BUCKETS rows of an embedding table; so a
-misspelling that no training text holds still shares most of its vectors with the word it comes from. A run of more than
-LONG characters without ASCII white space (joined by no-break spaces, underscores or slashes, or of a script without
-spaces) is cut into pieces of PIECE characters that overlap by OVERLAP, so that each of its n-grams stands whole in one;
-pieces count as words, and are about as long as words, so that a chunk holds about as much text. A document is read in chunks of CHUNK words. A chunk is the mean of its words' vectors, put through a softmax over (clean, toxic); the
+misspelling that no training text holds still shares most of its vectors with the word it comes from. Every word is cut into
+pieces of PIECE characters that overlap by OVERLAP, so that each of its n-grams stands whole in one (a run without ASCII
+white space, joined by no-break spaces or slashes, or of a script without spaces, gives many); pieces count as words, so
+that a chunk holds about as much text. A document is read in chunks of CHUNK words. A chunk is the mean of its words' vectors, put through a softmax over (clean, toxic); the
 document is as toxic as its worst chunk, so a few words in a long text count as they do in a short one. In training the
 worst chunk of each document carries the gradient into both the softmax and the embeddings.
 
@@ -33,7 +33,8 @@ GRAMS = (3, 4, 5, 6)
 CHUNK = 24
 #: Bounds of what is learned from: rows of either label, and characters of a row's text.
 MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 2500, 5000, 30_000
-LONG, PIECE, OVERLAP = 64, 16, GRAMS[-1] - 1
+#: Letters of a word, borders included, that are read as one; longer words are cut to such pieces, which overlap.
+PIECE, OVERLAP = 16, GRAMS[-1] - 1
 #: Words whose n-grams are held at a time.
 BLOCK = 50_000
 EPOCHS, BATCH, RATE = 6, 32, 0.5
@@ -91,18 +92,19 @@ class WordScores(dict):
 
 
 def pieces(word: bytes) -> list[bytes | str]:
-    """The word itself, or the pieces of a long one, borders included."""
+    """A word's overlapping pieces, borders included; a word of one piece is left as it is."""
     edged = edged_word(word)
-    if len(edged) <= LONG + 2:
+    if len(edged) <= PIECE:
         return [word]
     return [edged[k : k + PIECE] for k in range(0, len(edged) - OVERLAP, PIECE - OVERLAP)]
 
 
 def words_of(text: str | None) -> list[bytes | str]:
     words = (text or "").encode("utf-8", "surrogatepass").split()
-    if max(map(len, words), default=0) <= LONG:
+    most = PIECE - 2  # borders are two letters
+    if max(map(len, words), default=0) <= most:
         return words
-    return [p for w in words for p in (pieces(w) if len(w) > LONG else (w,))]
+    return [p for w in words for p in (pieces(w) if len(w) > most else (w,))]
 
 
 def chunk_starts(n: int) -> np.ndarray:

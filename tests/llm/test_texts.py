@@ -193,8 +193,8 @@ def test_misspellings_share_grams():
 
 def test_long_words_are_read_whole():
     long = "".join(chr(0x4E00 + k * 7 % 5000) for k in range(500))
-    split = toxicity.words_of(f"a {long}, {'b' * 64}")
-    assert split[0] == b"a" and split[-1] == b"b" * 64 and max(map(len, split[1:-1])) == toxicity.PIECE
+    split = toxicity.words_of(f"a {long}, {'b' * (toxicity.PIECE - 2)}")
+    assert split[0] == b"a" and split[-1] == b"b" * (toxicity.PIECE - 2) and max(map(len, split[1:-1])) == toxicity.PIECE
     assert {*toxicity.grams(split[1:-1])[1]} == {*toxicity.grams([long.encode()])[1]}
     assert len({*toxicity.grams([long.encode()])[1]}) > 1900  # 500 n-grams of each of four sizes
 
@@ -231,7 +231,9 @@ def test_blocks_of_formulas_media_and_custom_elements():
         got = html_text.blocks(f"<article><{tag} class='x'/><p>After.</p></article>")
         assert [(b.text, b.path.nearest(9)) for b in got] == [("After.", ("p", "article"))]
     assert texts("<article><title-bar>One.</title-bar><video-player>Two.</video-player><style-x>Three.</style-x><p>Four.") == ["One.", "Two.", "Three.", "Four."]
-    assert texts("<title>a</title-b>c</title><script>x</scripts>y</script ><textarea>z</textarea><style/><p>One.<script>no") == ["One."]
+    assert texts("<title>a</title-b>c</title><script>x</scripts>y</script ><textarea>z</textarea><svg><style/></svg><p>One.<script>no") == ["One."]
+    assert texts('<p>One.</p><script src="a.js"/>var x=1;</script><title/>t</title><p>Two.<style/>p{}') == ["One.", "Two."]
+    assert texts("<p>One.</p><script src=/a/>var x=1;</script>") == ["One."]
     assert texts("<svg><path d='M0'/><text>Label</text></svg><p>One.") == ["Label", "One."]
 
 
@@ -292,6 +294,24 @@ def test_pages_by_hand():
     assert n > 30 and right >= 0.9 * n
 
 
+def test_what_deep_elements_are_inside_counts():
+    model, vectors = html_text.train(html_text.labelled_pages([])), html_text.Vectors()
+    for k in (10, 45, 300):
+        deep = lambda x: "<div>" * k + x + "</div>" * k
+        page = (
+            "<nav><ul><li><a href=x>Home</a></li></ul></nav>" + deep("<article><h1>A title here</h1><p>The first long sentence of the article stands here, and it goes on.</p><p>And a second one, as long as the first.</p></article>")
+            + deep('<aside class="comments"><p>I do not agree with this text at all, said a reader.</p></aside>') + f'<aside class="comments">{deep("<p>A hidden reader says that this is wrong, so wrong.</p>")}</aside><footer>Copyright 2020</footer>'
+        )
+        assert html_text.main_texts([page], model, vectors)[0].split("\n\n")[1:] == ["The first long sentence of the article stands here, and it goes on.", "And a second one, as long as the first."], k
+
+
+def test_path_vectors_need_no_cache(monkeypatch):
+    page = html_text.blocks("<div class=a>" * 50 + "<p>x</p>" * 30 + "<i>y</i>")
+    whole = html_text.Vectors().of(page)
+    monkeypatch.setattr(html_text, "HELD", 3)
+    assert np.array_equal(whole, html_text.Vectors().of(page))
+
+
 def test_gradients_are_right():
     rng = np.random.default_rng(1)
     model = html_text.Labeller(rng)
