@@ -10,3 +10,4 @@ from tessera.plans import work_queries  # noqa: F401
 from tessera.plans import sheet_queries  # noqa: F401
 from tessera.plans import fingerprint_queries  # noqa: F401
 from tessera.plans import career_queries  # noqa: F401
+from tessera.plans import register_queries  # noqa: F401
