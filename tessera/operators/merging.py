@@ -124,3 +124,64 @@ def pivoted(signals: DataFrame) -> DataFrame:
 def close_gates(signals: DataFrame, pipeline: str) -> DataFrame:
     """Facts (domain, sid, value) that don't apply any more become na."""
     return unpivoted(close_wide(pivoted(signals), pipeline))
+
+
+#: What a settled fact carries beside its value.
+CARRIED = ("value", "evidence", "url", "note", "method")
+#: A fact's answer by a guess of the rules that the register overrules.
+GUESSED = "for-profit legal entity"
+
+
+def settle_with(cur: Column, offer: Column, sid: Column, grp: Column) -> Column:
+    """A fact's state (CARRIED) after an offer (value, match, evidence, url, note, method), by the rules of settle.
+
+    A contradiction keeps both sides' evidence; an exclusion that only weakly matches is left to be confirmed; E5 = no by a
+    guess from the legal form gives way to a yes.
+    """
+    overrule = (sid == "E5") & (offer["value"] == "yes") & (cur["value"] == "no") & cur["evidence"].startswith(GUESSED)
+    after = settle(cur["value"], offer["value"], offer["match"], grp, overrule)
+    strict = ((grp == "exclusion") & (offer["value"] == "yes")) | ((grp == "must") & (offer["value"] == "no"))
+    good = (offer["match"] == "strong") | ((offer["match"] == "medium") & ~strict)
+    possible = offer["value"].isin("yes", "no") & ~good
+    note = F.when(possible, F.concat(F.lit("possible match only, to confirm: "), offer["note"])).otherwise(offer["note"])
+    said = F.when(possible, "check").otherwise(offer["value"])
+    against = cur["value"].isin("yes", "no") & said.isin("yes", "no") & (said != cur["value"]) & (offer["match"] == "strong") & ~overrule
+    written = F.when(possible & ~((grp == "exclusion") & (offer["value"] == "yes")), False).when(against, True).when(~cur["value"].isin("check", "unknown") & ~overrule, False).otherwise(~((cur["value"] == "check") & (said == "check")))
+    both = F.struct(
+        after.alias("value"), F.concat(F.lit("website: "), cur["evidence"], F.lit(" | "), offer["method"], F.lit(": "), offer["evidence"]).alias("evidence"), offer["url"].alias("url"),
+        F.concat(F.lit("website said "), cur["value"], F.lit(", "), offer["method"], F.lit(" said "), offer["value"], F.lit(" ("), note, F.lit(")")).alias("note"), offer["method"].alias("method"),
+    )
+    new = F.struct(after.alias("value"), offer["evidence"].alias("evidence"), offer["url"].alias("url"), F.concat(offer["method"], F.lit(", "), offer["match"], F.lit(" match: "), note).alias("note"), offer["method"].alias("method"))
+    return F.when(~written, F.struct(*[cur[c].alias(c) for c in CARRIED])).when(against, both).otherwise(new)
+
+
+def settle_evidence(signals: DataFrame, candidates: DataFrame) -> DataFrame:
+    """signals (domain, sid, grp and CARRIED) after all candidates (domain, sid, layer, value, match, evidence, url, note,
+    method), lowest layer first; one fold inside each fact's row.
+
+    Where a layer contradicts M1, it opens E4 = yes before its own answer to E4, with the layer's evidence as the note.
+    """
+    offer = F.struct("layer", F.lit(1).alias("rank"), "value", "match", "evidence", "url", "note", "method")
+    kind = "array<struct<layer:int,rank:int,value:string,match:string,evidence:string,url:string,note:string,method:string>>"
+    offers = candidates.groupBy("domain", "sid").agg(F.array_sort(F.collect_list(offer)).cast(kind).alias("offers"))
+    joined = signals.join(offers, ["domain", "sid"], "left")
+    none = F.array().cast(kind)
+
+    def folded(rows: DataFrame) -> DataFrame:
+        start = F.struct(F.struct(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in CARRIED]).alias("s"), none.alias("marks"))
+
+        def step(acc: Column, o: Column) -> Column:
+            s = acc["s"]
+            mark = (o["rank"] == 0) & (s["value"] == "yes")
+            opened = F.struct(F.lit("check").alias("value"), s["evidence"].alias("evidence"), s["url"].alias("url"), F.concat(F.lit("directory shows a US location: "), o["evidence"]).alias("note"), F.lit("directory").alias("method"))
+            kept = F.struct(*[s[c].alias(c) for c in CARRIED])
+            after = F.when(o["rank"] == 0, F.when(mark, opened).otherwise(kept)).otherwise(settle_with(s, o, F.col("sid"), F.col("grp")))
+            against = (o["rank"] == 1) & s["value"].isin("yes", "no") & (settle(s["value"], o["value"], o["match"], F.col("grp")) == "check")
+            sent = F.struct(o["layer"].alias("layer"), F.lit(0).alias("rank"), o["value"].alias("value"), o["match"].alias("match"), o["evidence"].alias("evidence"), o["url"].alias("url"), o["note"].alias("note"), o["method"].alias("method"))
+            return F.struct(after.alias("s"), F.when(against, F.concat(acc["marks"], F.array(sent))).otherwise(acc["marks"]).alias("marks"))
+
+        return rows.withColumn("end", F.aggregate(F.coalesce("offers", none), start, step))
+
+    marks = folded(joined.where("sid = 'M1'")).select("domain", F.lit("E4").alias("sid"), F.col("end.marks").alias("marks")).where(F.size("marks") > 0)
+    every = joined.join(marks, ["domain", "sid"], "left").withColumn("offers", F.array_sort(F.concat(F.coalesce("offers", none), F.coalesce("marks", none)))).drop("marks")
+    return folded(every).select("domain", "sid", "grp", *[F.col(f"end.s.{c}").alias(c) for c in CARRIED])

@@ -235,6 +235,55 @@ def settled(spark, sf_dir) -> DataFrame:
 query("merge_settle", f"{HEAD}, {SETTLED_SQL} SELECT domain, sid, value FROM settled")(settled)
 
 
+# The same with what each answer rests on: the rules' guess at E5 by legal form, and a register that answers it.
+_FIRST = {"value": "CASE WHEN sid = 'E5' AND row_no % 2 = 0 THEN 'no' ELSE value END", "evidence": "CASE WHEN sid = 'E5' AND row_no % 4 = 0 THEN 'for-profit legal entity: Inc' WHEN value = 'unknown' THEN '' ELSE 'page on ' || sid END"}
+_E5 = "CASE WHEN row_no % 3 = 0 THEN 'yes' WHEN row_no % 3 = 1 THEN 'no' END"
+_ALL = [*_OFFERED, ("E5", 1, _E5, MATCH[1])]
+_METHOD = {1: "directory", 2: "provider"}
+_LAYER = ("new", "how", "ev", "u", "nt", "m")
+
+
+def _step_sql(k: int) -> str:
+    """Columns of a fact after layer k, from those before it and the layer's offer."""
+    new, how, ev, u, nt, m = (f"{c}{k}" for c in _LAYER)
+    over = f"coalesce(sid = 'E5' AND {new} = 'yes' AND value = 'no' AND starts_with(evidence, '{merging.GUESSED}'), FALSE)"
+    strict = f"((grp = 'exclusion' AND {new} = 'yes') OR (grp = 'must' AND {new} = 'no'))"
+    possible = f"({new} IN ('yes', 'no') AND NOT ({how} = 'strong' OR ({how} = 'medium' AND NOT {strict})))"
+    said, note = f"(CASE WHEN {possible} THEN 'check' ELSE {new} END)", f"(CASE WHEN {possible} THEN 'possible match only, to confirm: ' ELSE '' END || {nt})"
+    against = f"(value IN ('yes', 'no') AND {said} IN ('yes', 'no') AND {said} <> value AND {how} = 'strong' AND NOT {over})"
+    what = f"""CASE WHEN {new} IS NULL OR ({possible} AND NOT (grp = 'exclusion' AND {new} = 'yes')) THEN 'kept' WHEN {against} THEN 'both' WHEN value NOT IN ('check', 'unknown') AND NOT {over} THEN 'kept' WHEN value = 'check' AND {said} = 'check' THEN 'kept' ELSE 'new' END"""
+    pick = lambda kept, both, fresh: f"CASE {what} WHEN 'kept' THEN {kept} WHEN 'both' THEN {both} ELSE {fresh} END"
+    return f"""{pick("value", "'check'", said)} AS value, {pick("evidence", f"'website: ' || evidence || ' | ' || {m} || ': ' || {ev}", ev)} AS evidence, {pick("url", u, u)} AS url,
+      {pick("note", f"'website said ' || value || ', ' || {m} || ' said ' || {new} || ' (' || {note} || ')'", f"{m} || ', ' || {how} || ' match: ' || {note}")} AS note, {pick("method", m, m)} AS method, {what} = 'both' AS opened"""
+
+
+_OFFER_LIST = ", ".join(f"{{'sid': '{s}', 'layer': {layer}, 'new': {e}, 'how': {how}, 'ev': '{_METHOD[layer]} on {s}', 'u': 'https://{_METHOD[layer]}/' || row_no, 'nt': 'n' || (row_no % 3), 'm': '{_METHOD[layer]}'}}" for s, layer, e, how in _ALL)
+_WIDE = ", ".join(f"max({c}) FILTER (layer = {k} AND new IS NOT NULL) AS {c}{k}" for k in (1, 2) for c in _LAYER)
+_OPEN = lambda before, k, at: f"""SELECT b.* EXCLUDE (value, note, method), CASE WHEN b.sid = 'E4' AND b.value = 'yes' AND m.opened THEN 'check' ELSE b.value END AS value, CASE WHEN b.sid = 'E4' AND b.value = 'yes' AND m.opened THEN 'directory shows a US location: ' || m.ev{k} ELSE b.note END AS note,
+  CASE WHEN b.sid = 'E4' AND b.value = 'yes' AND m.opened THEN 'directory' ELSE b.method END AS method FROM {before} b LEFT JOIN {at} m ON m.domain = b.domain AND m.sid = 'M1'"""
+EVIDENCE_SQL = f"""offers AS MATERIALIZED (SELECT domain, unnest([{_OFFER_LIST}], recursive := true) FROM leads), wide_offers AS MATERIALIZED (SELECT domain, sid, {_WIDE} FROM offers GROUP BY domain, sid),
+base AS MATERIALIZED (SELECT s.domain, s.sid, grp, {_FIRST["value"].replace("value", "s.value").replace("sid =", "s.sid =")} AS value, {_FIRST["evidence"].replace("value", "s.value").replace("sid", "s.sid")} AS evidence, '' AS url, '' AS note, 'code' AS method, o.* EXCLUDE (domain, sid)
+  FROM signals s JOIN leads l USING (domain) JOIN roles r ON r.sid = s.sid AND r.pipeline = 'services' LEFT JOIN wide_offers o ON o.domain = s.domain AND o.sid = s.sid),
+layer1 AS MATERIALIZED (SELECT * EXCLUDE (value, evidence, url, note, method), {_step_sql(1)} FROM base), begun AS MATERIALIZED ({_OPEN("base", 1, "layer1")}),
+first AS MATERIALIZED (SELECT * EXCLUDE (value, evidence, url, note, method), {_step_sql(1)} FROM begun),
+layer2 AS MATERIALIZED (SELECT * EXCLUDE (value, evidence, url, note, method, opened), {_step_sql(2)} FROM first), again AS MATERIALIZED ({_OPEN("first", 2, "layer2")}),
+second AS (SELECT * EXCLUDE (value, evidence, url, note, method, opened), {_step_sql(2)} FROM again)"""
+
+
+@query("merge_evidence", f"{HEAD}, {EVIDENCE_SQL} SELECT domain, sid, value, evidence, url, note, method FROM second")
+def merge_evidence(spark, sf_dir):
+    """Facts after a directory's and a provider's answers, with what each rests on."""
+    found, signals = facts_of(spark, sf_dir, "services")
+    rows = signals.select("domain", "sid", "value", "grp").join(found.select("domain", "row_no"), "domain")
+    first = rows.select("domain", "sid", "grp", *[F.expr(e).alias(c) for c, e in _FIRST.items()], F.lit("").alias("url"), F.lit("").alias("note"), F.lit("code").alias("method"))
+    cells = [
+        F.struct(F.lit(s).alias("sid"), F.lit(layer).alias("layer"), F.expr(e).alias("value"), F.expr(how).alias("match"), F.lit(f"{_METHOD[layer]} on {s}").alias("evidence"), F.concat(F.lit(f"https://{_METHOD[layer]}/"), F.col("row_no").cast("string")).alias("url"), F.concat(F.lit("n"), (F.col("row_no") % 3).cast("string")).alias("note"), F.lit(_METHOD[layer]).alias("method"))
+        for s, layer, e, how in _ALL
+    ]
+    offers = found.select("domain", F.explode(F.array(*cells)).alias("c")).select("domain", "c.*").where(F.col("value").isNotNull())
+    return merging.settle_evidence(first, offers).drop("grp")
+
+
 @query(
     "opposites",
     f"""{HEAD}, {config.sql_values(list(config.OPPOSITES.items()), "pairs", "sid, other")}
