@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import math
 import os
 import random
 import re
@@ -172,7 +173,9 @@ def plain_mined(labelled, least, confidence, lift, tokens_of, left_out):
             continue
         for v in ("block", "allow"):
             hits = sum(labelled[u][0] == (v == "block") for u in urls)
-            if hits >= least and hits / len(urls) >= confidence and hits / len(urls) / base[v] >= lift:
+            c, m, z = hits / len(urls), len(urls), url_rules.DOUBT
+            lower = (c + z * z / (2 * m) - z * math.sqrt(c * (1 - c) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+            if hits >= least and c >= confidence and c / base[v] >= lift and lower > base[v]:
                 found.setdefault(frozenset(s), []).append((v, hits / len(urls), hits / n))
     return found
 
@@ -181,7 +184,7 @@ def plain_mined(labelled, least, confidence, lift, tokens_of, left_out):
 def test_mined_verdicts_equal_all_token_sets(spark, folder, support):
     """Verdicts of pages that no fixed rule decides, with spam words planted in hosts of every domain, against all token sets
     of up to three tokens; no rule names what a fixed rule names."""
-    planted = F.when(F.xxhash64("url") % 9 == 0, F.regexp_replace("url", "://", "://zzwin-zzbets.")).otherwise(F.col("url"))
+    planted = F.when(F.xxhash64("url") % 4 == 0, F.regexp_replace("url", "://", "://zzwin-zzbets.")).otherwise(F.col("url"))
     pages = spark.read.parquet(f"/root/testdata/{folder}/pages.parquet").select("page_id", planted.alias("url"))
     by = url_rules.decided(pages).withColumn("bad", F.col("bad") | F.col("url").contains("zzwin-zzbets"))
     labelled = {r.url: (r.bad, r.source) for r in by.collect()}
@@ -191,6 +194,9 @@ def test_mined_verdicts_equal_all_token_sets(spark, folder, support):
     rules = plain_mined(labelled, max(2, -(-support * len(labelled) // 1)), url_rules.MIN_CONFIDENCE, url_rules.MIN_LIFT, {r.url: r.t for r in rows}, left_out)
     got = {r.page_id: r for r in url_rules.judge(pages, by, support=support).collect()}
     n_mined = 0
+    # Without planted words nothing carries over, at any size.
+    plain = spark.read.parquet(f"/root/testdata/{folder}/pages.parquet").select("page_id", "url")
+    assert url_rules.judge(plain, url_rules.decided(plain)).where("mined is not null").count() == 0
     for r in rows:
         if got[r.page_id].rule is None:
             fits = [x for s, found in rules.items() if s <= set(r.t) for x in found]
