@@ -54,6 +54,51 @@ def required_literal(pattern: str) -> str:
     return max(runs, key=len)
 
 
+def any_literals(pattern: str, least: int = 3) -> list[str]:
+    """Lower-case literals of which every match of a pattern holds one or more; empty where none are sure. Of all such sets the
+    one whose shortest literal is longest."""
+    from re import _parser
+
+    def better(a: list[str], b: list[str]) -> list[str]:
+        return max(a, b, key=lambda found: min(map(len, found), default=0))
+
+    def walk(items) -> list[str]:
+        best: list[str] = []
+        run = ""
+        for op, arg in [*items, (None, None)]:
+            name = str(op)
+            if name == "LITERAL" and chr(arg).isascii():
+                run += chr(arg).lower()
+                continue
+            best, run = better(best, [run] if run else []), ""
+            if name == "SUBPATTERN":
+                best = better(best, walk(arg[-1]))
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] > 0:
+                best = better(best, walk(arg[2]))
+            elif name == "BRANCH":
+                each = [walk(branch) for branch in arg[1]]
+                best = better(best, sorted({x for found in each for x in found}) if all(each) else [])
+        return best
+
+    try:
+        found = walk(_parser.parse(pattern))
+    except re.error:
+        return []
+    return found if min(map(len, found), default=0) >= least else []
+
+
+def guarded(text: Column, pattern: str) -> Column:
+    """text.rlike(pattern), tried only where the text holds a literal that a match needs."""
+    literals = any_literals(pattern)
+    if not literals:
+        return text.rlike(pattern)
+    low = F.lower(text)
+    held = low.contains(literals[0])
+    for x in literals[1:]:
+        held = held | low.contains(x)
+    return F.when(held, text.rlike(pattern)).otherwise(F.when(text.isNotNull(), False))
+
+
 def selector_pattern(selector: str, attribute: str | None = None) -> tuple[str, str, str] | None:
     """(pattern of the tag, its test, the test's value) of a selector's first part; None if it is of another form. With an
     attribute the pattern's group is that attribute's value."""

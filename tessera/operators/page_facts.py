@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import page_rules as P
 from tessera.functions import scalars as S
+from tessera.operators.fingerprints import guarded
 
 
 def around(text: Column, pattern: str, width: int = 90) -> Column:
@@ -27,7 +28,7 @@ def hits(cells: list[Column], *keep: str) -> Column:
 
 def shown(how: str, pattern: str) -> Column:
     """Whether page code shows a gateway's method. A key of Stripe's shape counts where nothing near it names another owner."""
-    found = F.col("html").rlike("(?i)" + pattern)
+    found = guarded(F.col("html"), "(?i)" + pattern)
     return found & ~around(F.col("html"), "(?i)" + pattern, 60).rlike(P.NOT_STRIPE_KEY) if how == P.KEY_METHOD else found
 
 
@@ -45,11 +46,11 @@ def tools(pages: DataFrame, jobs: DataFrame) -> DataFrame:
     in_page = []
     for name, raw, text in P.TOOLS:
         code = [p for g, how, p in P.GATEWAYS if g == name and how != P.KEY_METHOD]
-        code = F.col("html").rlike("(?i)" + "|".join(code)) if code else F.lit(False)
+        code = guarded(F.col("html"), "(?i)" + "|".join(code)) if code else F.lit(False)
         for how, p in [(how, p) for g, how, p in P.GATEWAYS if g == name and how == P.KEY_METHOD]:
             code = code | shown(how, p)
-        code = (code | F.col("html").rlike(raw)) if raw else code
-        named = F.col("text").rlike(text)
+        code = (code | guarded(F.col("html"), raw)) if raw else code
+        named = guarded(F.col("text"), text)
         near = around(F.col("text"), text)
         used = F.when(F.col("kind").isin(*P.USAGE_KINDS) & named, F.when(near.rlike(P.INTEGRATION) | near.rlike(P.DONATION), "check").otherwise("yes"))
         other = F.col("kind").isin(*P.MENTION_KINDS) & named
@@ -167,7 +168,7 @@ PAGE_FACTS = {
 def page_facts(pages: DataFrame) -> DataFrame:
     """(domain, sid, value) of facts by what pages say and load. Texts stay where they are: flags are folded by domain."""
     def flag(kinds, column, pattern, unless=None):
-        found = F.col(column).rlike(pattern)
+        found = guarded(F.col(column), pattern)
         if unless:
             found = found & ~around(F.col(column), pattern, 80).rlike(unless)
         return F.max(F.col("kind").isin(*kinds) & found if kinds else found)

@@ -5,6 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from tessera.functions import page_rules
 from tessera.operators import fingerprints as P
 
 TEXTS = "source string, key string, text string, at struct<x0: long, x1: long>, label string, domain string"
@@ -20,6 +21,21 @@ def test_required_literal(pattern, literal):
     assert P.required_literal(pattern) == literal
 
 
+def test_literals_that_matches_need():
+    cases = {r"\bStripe\b": ["stripe"], r"(?i)abc\.com|x(?:yzw|vuts)": ["abc.com", "vuts", "yzw"], r"a|bcd": [], r"(?:foo)?barez+": ["bare"], r"\d+%": [], r"Offer\s+(?:one|two)!": ["offer"], r"(": [], r"(?:ab|cd)x": []}
+    assert {p: P.any_literals(p) for p in cases} == cases
+
+
+def test_guarded_equals_plain_search(spark):
+    rng = random.Random(8)
+    patterns = [p for rules in (page_rules.PAGE_FLAGS.values(),) for _, column, p, *_ in rules if column != "kind"] + [p for *_, p in page_rules.GATEWAYS] + [t for *_, t in page_rules.TOOLS]
+    parts = [x for p in patterns for x in P.any_literals(p)] + ["$5", "/mo", " ", "a", "Add to Cart", "€ 7", "12 left", "Stripe", "Brex", "js.stripe.com/v3", None]
+    texts = [None, "", *("".join(rng.choice(["", " ", "\n"]) + rng.choice([str.upper, str.title, str])(rng.choice(parts) or "-") for _ in range(rng.randint(1, 12))) for _ in range(300))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    differ = [F.count_if(~P.guarded(F.col("t"), p).eqNullSafe(F.col("t").rlike(p))).alias(f"p{k}") for k, p in enumerate(patterns)]
+    assert set(df.agg(*differ).first()) == {0}
+
+
 def test_selectors():
     tag, test, value = P.selector_pattern("link[href*='x.css'], b")
     assert re.search(tag, "<link rel=1 href='/a/x.css?1'>", re.I) and not re.search(tag, "<link href='/y.css'>", re.I) and (test, value) == ("", "")
