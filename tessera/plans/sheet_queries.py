@@ -11,7 +11,7 @@ from tessera.operators import page_facts as O
 from tessera.plans.answer_queries import PLAN_SQL, planned
 from tessera.plans.decision_queries import HEAD, SEGMENT_SQL, SETTLED_SQL, core, decide_sql, facts_of, score_sql, settled
 from tessera.plans.registry import query
-from tessera.plans.site_queries import JOBS_SQL, PAGES_SQL, TOOLS_SQL, _chosen, _has, chosen, tools
+from tessera.plans.site_queries import _CODE, _KEY, JOBS_SQL, PAGES_SQL, TOOLS_SQL, _chosen, _has, _key_elsewhere, chosen, tools
 from tessera.plans.site_queries import pages as site_pages
 
 
@@ -178,7 +178,7 @@ def pages_needing_browser(spark, sf_dir):
 @query(
     "gateways_merged",
     f"""WITH {PAGES_SQL}, saved AS (SELECT DISTINCT domain, CASE WHEN page_no % 3 = 0 THEN 'Stripe' ELSE 'Adyen' END AS gateway FROM pages_of WHERE page_no % 5 < 2),
-    found AS (SELECT domain, bool_or({_has("html", "(?i)" + "|".join(p for g, _, p in P.GATEWAYS if g == "Stripe"))}) AS stripe FROM pages_of GROUP BY domain), s AS (SELECT domain, 'Stripe' AS gateway FROM found WHERE stripe)
+    found AS (SELECT domain, bool_or({_has("html", "(?i)" + _CODE["Stripe"])} OR ({_has("html", "(?i)" + _KEY)} AND NOT {_key_elsewhere("html")})) AS stripe FROM pages_of GROUP BY domain), s AS (SELECT domain, 'Stripe' AS gateway FROM found WHERE stripe)
     SELECT coalesce(s.domain, v.domain) AS domain, coalesce(s.gateway, v.gateway) AS gateway, CASE WHEN s.domain IS NOT NULL THEN 'page' ELSE 'saved' END AS source FROM s FULL JOIN saved v ON v.domain = s.domain AND v.gateway = s.gateway""",
 )
 def gateways_merged(spark, sf_dir):
