@@ -134,14 +134,13 @@ st AS (SELECT domain, sid, value, next IS NOT NULL AS waiting, {_REPLY} AS reply
 wave_of AS MATERIALIZED (SELECT domain, sid, wave, value FROM st WHERE last)"""
 
 
-def asked_in_waves(spark, sf_dir) -> DataFrame:
-    return A.waves(planned(spark, sf_dir), "services", A.of_element(_REPLY, "x", ("place",)))
+_REPLY_OF = A.of_element(_REPLY, "x", ("place",))
 
 
 @query("question_waves", f"{HEAD.replace('WITH', 'WITH RECURSIVE', 1)}, {PLAN_SQL}, {WAVES_SQL} SELECT domain, sid, wave, value FROM wave_of")
 def question_waves(spark, sf_dir):
     """The wave in which each lead's questions are asked, parents first, and what each fact ends on."""
-    return asked_in_waves(spark, sf_dir)
+    return A.waves(planned(spark, sf_dir), "services", _REPLY_OF)
 
 
 @query(
@@ -152,7 +151,7 @@ def question_waves(spark, sf_dir):
 )
 def wave_pages(spark, sf_dir):
     """The pages that each wave of a lead's questions reads."""
-    return A.pages_of_waves(asked_in_waves(spark, sf_dir))
+    return A.pages_of_waves(planned(spark, sf_dir), "services", _REPLY_OF)
 
 
 _YES = ", ".join(f"bool_or(sid = '{s}' AND value = 'yes') AS y_{s.lower()}" for s in A.ROUTE_FACTS)
