@@ -106,6 +106,25 @@ def score_wide(wide: DataFrame, pipeline: str) -> DataFrame:
     return out.withColumn("locked", (F.col("low") >= config.STRONG_AT) == (F.col("high") >= config.STRONG_AT))
 
 
+def worth_wide(wide: DataFrame, pipeline: str, most: int) -> DataFrame:
+    """(domain, sid, worth, n): the open facts of each row of wide (segment and v_<fact> for each fact) that an answer is worth
+    most for, then by place, at most so many. Nothing is shuffled."""
+    fixed = {"must": 4, "exclusion": 4, "weak": 2}
+    levels: dict[str, dict[str, int]] = {}
+    for p, sid, segment, points, _ in config.weights():
+        if p == pipeline and points > 0:
+            levels.setdefault(sid, {})[segment] = points
+    cells = []
+    for p, sid, group, place, _ in config.roles():
+        if p == pipeline and group != "info" and (group in fixed or sid in levels):
+            by = levels.get(sid, {})
+            worth = F.lit(fixed[group]) if group in fixed else F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in by.items() for x in pair]), F.col("segment")), F.lit(0))
+            cells.append(F.when(F.col(f"v_{sid}").isin("unknown", "check") & (worth > 0), F.struct((-worth).alias("down"), F.lit(place).alias("place"), F.lit(sid).alias("sid"))))
+    # The outer form spares Spark a test for empty arrays, which would work them out once more.
+    rows = wide.select("domain", F.posexplode_outer(F.slice(F.array_sort(F.array_compact(F.array(*cells))), 1, most)).alias("k", "x")).where("x IS NOT NULL")
+    return rows.select("domain", "x.sid", (-F.col("x.down")).alias("worth"), (F.col("k") + 1).alias("n"))
+
+
 def icp(verdict: str) -> Column:
     v = F.col(verdict)
     return F.when(v.startswith("Yes"), "YES").when(v == "No", "NO").otherwise("PENDING")

@@ -356,14 +356,9 @@ def top_positive_parts(spark, sf_dir):
     SELECT domain, sid, worth, n FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY worth DESC, place) AS n FROM worth WHERE worth > 0) WHERE n <= 3""",
 )
 def open_questions_by_worth(spark, sf_dir):
-    """The three open facts of each lead that an answer is worth most for."""
-    found, signals = facts_of(spark, sf_dir, "services")
-    segments = found.select("domain", scoring.segment(F.col("employees")).alias("segment"))
-    own = F.broadcast(L.weights(spark).where("pipeline = 'services' AND points > 0").select("sid", "segment", "points"))
-    still = signals.where(F.col("value").isin("unknown", "check") & (F.col("grp") != "info")).join(segments, "domain").join(own, ["sid", "segment"], "left")
-    worth = F.when(F.col("grp").isin("must", "exclusion"), 4).when(F.col("grp") == "weak", 2).otherwise(F.coalesce("points", F.lit(0)))
-    ranked = still.withColumn("worth", worth).where("worth > 0").withColumn("n", F.row_number().over(Window.partitionBy("domain").orderBy(F.col("worth").desc(), "place")))
-    return ranked.where("n <= 3").select("domain", "sid", "worth", "n")
+    """The three open facts of each lead that an answer is worth most for, found in its row."""
+    wide = L.wide(L.leads(spark, sf_dir)).withColumn("segment", scoring.segment(F.col("employees")))
+    return scoring.worth_wide(wide, "services", 3)
 
 
 @query(

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import scalars as S
 from tessera.operators import answers, merging, page_facts, relational, scoring
 from tessera import config
-from tessera.plans import answer_queries
+from tessera.plans import answer_queries, decision_queries
+from tessera.plans import leads as L
 
 DATA = "/root/testdata/sf0.001"
 
@@ -147,3 +148,9 @@ def test_waves_end_by_themselves(spark, monkeypatch):
         assert rows() == mine
     monkeypatch.setattr(answers, "conditions", lambda pipeline: [("M1", 1, "M2", "yes", False), ("M2", 1, "M1", "yes", False)])
     assert answers.most_waves("services") == len(config.facts())
+
+
+def test_worth_of_open_questions_is_found_in_the_row(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    mine, base = plan(decision_queries.open_questions_by_worth(spark, DATA)), plan(L.leads(spark, DATA))
+    assert "Window" not in mine and mine.count("Exchange hashpartitioning") == base.count("Exchange hashpartitioning")
