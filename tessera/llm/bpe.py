@@ -36,8 +36,8 @@ from tessera.llm.common import rowed
 WORD_END = "</w>"
 #: The file's own pre-tokenizer pattern, a fixed value.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Words whose encodings a worker remembers.
-REMEMBERED = 400_000
+#: Words whose encodings a worker remembers, and as many of those met before them.
+REMEMBERED = 300_000
 
 
 def byte_letters() -> list[str]:
@@ -71,6 +71,11 @@ class SuffixAutomaton:
         for s in sorted(range(len(self.length)), key=self.length.__getitem__):
             up = self.link[s]
             self.above[s] = -1 if up < 0 else up if up in self.marks else self.above[up]
+        #: All entries that may end in a state, its own and those above it, longest first.
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(self.length)
+        for s in sorted(range(len(self.length)), key=self.length.__getitem__):
+            own, up = tuple(self.marks.get(s, ())), self.above[s]
+            self.ends[s] = own + self.ends[up] if up >= 0 else own
 
     def _new(self, length: int) -> int:
         self.next.append({})
@@ -105,22 +110,6 @@ class SuffixAutomaton:
             p = self.link[p]
         return copy
 
-    def walk(self, symbols: list[int]) -> Iterator[list[tuple[int, int]]]:
-        """For each place the (length, token) of the entries that end there."""
-        state, held = 0, 0
-        for c in symbols:
-            while c not in self.next[state] and state:
-                state = self.link[state]
-                held = self.length[state]
-            if c in self.next[state]:
-                state, held = self.next[state][c], held + 1
-            found = []
-            s = state if state in self.marks else self.above[state]
-            while s >= 0:
-                found += [m for m in self.marks[s] if m[0] <= held]
-                s = self.above[s]
-            yield found
-
 
 class Encoder:
     def __init__(self, path: str):
@@ -145,11 +134,14 @@ class Encoder:
         named = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         #: What decode gives for an id: tokens as they are written, joined by a space.
         self.written = [named.get(i, "").encode() for i in range(max(named) + 1)]
+        #: Each id as four bytes.
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.written))]
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces = regex.compile(PIECES)
-        self.blank = regex.compile(r"\s+")
-        self.fits_known: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.fits_known: dict[int, bool] = {}
+        #: Encodings of words met lately, and those remembered before them.
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the symbols of left and right, merged greedily, end as these two tokens.
@@ -158,11 +150,11 @@ class Encoder:
         are undone from the latest merge to the earliest; a pair across it merges if it ranks before what was undone on
         either side, with the left one first among equals.
         """
-        found = self.fits_known.get((left, right))
+        found = self.fits_known.get(left << 32 | right)
         if found is None:
             if len(self.fits_known) > 2_000_000:
                 self.fits_known.clear()
-            found = self.fits_known[left, right] = self._fits(left, right)
+            found = self.fits_known[left << 32 | right] = self._fits(left, right)
         return found
 
     def _rank(self, token: int) -> int:
@@ -189,44 +181,79 @@ class Encoder:
             else:
                 b_until, b = rb, self.parts[b][0]
 
-    def encode_word(self, word: str) -> bytes:
-        """Ids of one word as little-endian unsigned 32-bit integers."""
+    def encode_word(self, word: str) -> list[int]:
+        """Ids of one word. The automaton is walked symbol by symbol, and only as many entries are tried at a place as it
+        takes to find the one that fits."""
         raw = word.encode("utf-8", "surrogatepass")
-        symbols = [self.inner[b] for b in raw[:-1]] + [self.final[raw[-1]]]
-        last: list[tuple[int, int]] = [(-1, 0)]  # of each prefix: last token and its length
-        for end, found in enumerate(self.automaton.walk(symbols), 1):
-            for length, token in found:
-                before = last[end - length][0]
-                if end == length or before >= 0 and self.fits(before, token):
-                    last.append((token, length))
+        symbols = [self.inner[b] for b in raw]
+        symbols[-1] = self.final[raw[-1]]
+        steps, link, length, ends = self.automaton.next, self.automaton.link, self.automaton.length, self.automaton.ends
+        fits, fits_known = self.fits, self.fits_known
+        tokens, sizes = [-1], [0]  # of each prefix: last token and its length
+        state = held = end = 0
+        for c in symbols:
+            end += 1
+            after = steps[state].get(c)
+            while after is None and state:
+                state = link[state]
+                held = length[state]
+                after = steps[state].get(c)
+            if after is not None:
+                state, held = after, held + 1
+            for size, token in ends[state]:
+                if size > held:
+                    continue
+                if size == end:
                     break
+                before = tokens[end - size]
+                if before >= 0:
+                    fit = fits_known.get(before << 32 | token)
+                    if fit or fit is None and fits(before, token):
+                        break
             else:
-                last.append((-1, 0))
-        ids, at = [], len(symbols)
+                size, token = 0, -1
+            tokens.append(token)
+            sizes.append(size)
+        ids, at = [], end
         while at:
-            token, length = last[at]
-            ids.append(token)
-            at -= length
-        return np.array(ids[::-1], "<u4").tobytes()
+            ids.append(tokens[at])
+            at -= sizes[at]
+        return ids[::-1]
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
-        out, known = [], self.known
+    def known_word(self, word: str) -> tuple[bytes, bytes]:
+        """What encoded gives for one word; words that aren't long are remembered."""
+        found = self.known.get(word)
+        if found is None:
+            found = self.older.get(word)
+            if found is None:
+                ids = self.encode_word(word)
+                found = b"".join([self.packed[i] for i in ids]), b" ".join([self.written[i] for i in ids])
+            if len(word) <= 64:
+                if len(self.known) >= REMEMBERED:
+                    self.known, self.older = {}, self.known
+                self.known[word] = found
+        return found
+
+    def encoded(self, text: str) -> tuple[bytes, bytes]:
+        """Ids of a text as little-endian unsigned 32-bit integers, and what decode gives for them.
+
+        White space needs no change before: the pieces hold none of it, and any of it parts them.
+        """
+        out: list[tuple[bytes, bytes]] = []
         for k, part in enumerate(self.splitter.split(text) if self.splitter and "<|" in text else [text]):
             if k % 2:
-                out.append(np.array([self.special[part]], "<u4").tobytes())
+                out.append((self.packed[self.special[part]], self.written[self.special[part]]))
                 continue
-            plain = self.lowered(self.blank.sub(" ", unicodedata.normalize("NFC", part)))
-            for word in self.pieces.findall(plain):
-                ids = known.get(word)
-                if ids is None:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    ids = self.encode_word(word)
-                    if len(word) <= 64:
-                        known[word] = ids
-                out.append(ids)
-        return b"".join(out)
+            words = self.pieces.findall(self.lowered(unicodedata.normalize("NFC", part)))
+            found = list(map(self.known.get, words))
+            if None in found:
+                found = [self.known_word(w) if f is None else f for w, f in zip(words, found, strict=True)]
+            out += found
+        return b"".join([ids for ids, _ in out]), b" ".join([written for _, written in out])
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        return self.encoded(text)[0]
 
     @staticmethod
     def lowered(text: str) -> str:
@@ -262,8 +289,8 @@ def tokenized(docs: DataFrame, path: str | None = None, with_ids: bool = False)
     names = [*ADDED, *["ids"] * with_ids]
 
     def row(e: Encoder, text: str | None) -> tuple:
-        ids = e.encode(text or "")
-        out = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(e.decode(ids)).hexdigest())
+        ids, written = e.encoded(text or "")
+        out = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(written).hexdigest())
         return (*out, np.frombuffer(ids, "<i4")) if with_ids else out
 
     @F.pandas_udf(kind)

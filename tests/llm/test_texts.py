@@ -46,6 +46,19 @@ def test_bpe_query(spark, library):
         assert r.ids_sha256 == hashlib.sha256(np.array(library.encode(texts[r.doc_id], add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()
 
 
+def test_bpe_words_met_often_stay_known(monkeypatch, library):
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    e, rng = bpe.Encoder(bpe.tokenizer_path()), random.Random(5)
+    met, encode_word = [], e.encode_word
+    monkeypatch.setattr(e, "encode_word", lambda w: met.append(w) or encode_word(w))
+    for k in range(60):
+        text = " ".join(["often", *("".join(rng.choice("abcdeé") for _ in range(6)) + f"x{'q' * k}" for _ in range(10)), "often"])
+        want = library.encode(text, add_special_tokens=False).ids
+        ids, written = e.encoded(text)
+        assert ids == np.array(want, "<u4").tobytes() and written == e.decode(ids) == library.decode(want, skip_special_tokens=False).encode()
+    assert len(e.known) + len(e.older) <= 100 and met.count("often") == 1
+
+
 def plain_quality(text):
     text = text or ""
     ws = [c for c in "".join(x if x not in " \t\n\x0b\x0c\r" else " " for x in text).split(" ") if c]
