@@ -54,6 +54,8 @@ PIECE, CHUNK = 512, 50_000
 ROWS_AT_A_TIME = 512
 #: Sets that are held against one copy of a leader's set.
 PART = 2048
+#: Bits of a bitmap for each row that is looked for.
+BITS = 16
 LAST = 2**63 - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -141,6 +143,20 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return keyed(docs).mapInPandas(sketched, "doc_key long, text_key long, node long, n_shingles long, bands array<long>")
 
 
+def likely(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of docs whose keys may be among those asked for: all that are, and of the others about one in BITS. The rest needn't
+    send their texts to a join.
+
+    The hashes asked for are marked in a bitmap of BITS bits a row asked for, which is small enough to be broadcast.
+    """
+    place = F.pmod(F.xxhash64("doc_key", "text_key"), F.lit(max(1 << 15, BITS * asked.count()))) + 1
+    asked = asked.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+    marks = asked.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("marks"))
+    rows = docs.withColumns({"bucket": F.bitmap_bucket_number(place), "bit": F.bitmap_bit_position(place)}).join(F.broadcast(marks), "bucket")
+    marked = F.expr("getbit(cast(conv(hex(substring(marks, cast(bit div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) = 1")
+    return rows.where(marked).select(*docs.columns)
+
+
 def set_pieces(needed: DataFrame, docs: DataFrame, nodes: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(node, piece, members) of the nodes in needed: their texts are turned into sets again, so sets are never kept for
     all documents. Pieces are numbered in the order of their members; repeated rows give repeated pieces."""
@@ -158,8 +174,8 @@ def set_pieces(needed: DataFrame, docs: DataFrame, nodes: DataFrame, size: int =
                     out, held = [], 0
             yield pd.DataFrame(out, columns=["node", "piece", "members"])
 
-    asked = needed.join(nodes.select("node", "rep"), "node").select("node", F.col("rep.doc_key").alias("doc_key"), F.col("rep.text_key").alias("text_key"))
-    return keyed(docs).join(asked, ["doc_key", "text_key"]).select("node", "text").mapInPandas(as_pieces, "node long, piece int, members binary")
+    asked = saved(needed.join(nodes.select("node", "rep"), "node").select("node", F.col("rep.doc_key").alias("doc_key"), F.col("rep.text_key").alias("text_key")), "asked")
+    return likely(keyed(docs), asked).join(asked, ["doc_key", "text_key"]).select("node", "text").mapInPandas(as_pieces, "node long, piece int, members binary")
 
 
 def dealt(pairs: DataFrame) -> DataFrame:
@@ -288,10 +304,14 @@ def centred(placed: DataFrame, added: DataFrame) -> tuple[DataFrame, DataFrame]:
     return moved.drop("gain", "more", "m"), added.join(common, ["leader", "member"], "left_anti")
 
 
-def pairs_by_added(placed: DataFrame, added: DataFrame) -> DataFrame:
-    """Pairs of nodes in different components that share a shingle which their leader lacks."""
-    own = placed.drop("bucket", "least_n").distinct()
-    rows = added.join(own, ["node", "leader"])
+def placed_members(placed: DataFrame, added: DataFrame) -> DataFrame:
+    """added (node, leader, member) with what placed says of the node: as many rows."""
+    return added.join(placed.drop("bucket", "least_n").distinct(), ["node", "leader"])
+
+
+def pairs_by_added(rows: DataFrame) -> DataFrame:
+    """Pairs of nodes in different components that share a shingle which their leader lacks, from the rows of placed_members.
+    These are read several times, so they should be saved."""
     several = rows.groupBy("leader", "member").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     rows = rows.join(several.select("leader", "member"), ["leader", "member"])
     bound = F.expr(f"least(x.both, y.both) + least(x.c - x.both, y.c - y.both) >= {NEED}")
@@ -372,8 +392,9 @@ def node_components(docs: DataFrame, sketch: DataFrame, size: int = SHINGLE) ->
     placed = able.join(n_added, ["node", "leader"], "left").withColumn("both", F.col("n") - F.coalesce("n_added", F.lit(0))).drop("n_added")
     placed, own = centred(placed, added)
     placed = saved(placed, "placed")
-    rest = saved(pairs_by_added(placed, own).unionByName(pairs_by_kept(placed, roots)).distinct(), "pairs")
-    discarded(still, able, added, placed)
+    members = saved(placed_members(placed, own), "members")
+    rest = saved(pairs_by_added(members).unionByName(pairs_by_kept(placed, roots)).distinct(), "pairs")
+    discarded(still, able, added, placed, members)
     if rest.isEmpty():
         return nodes, roots
     roots = components(saved(links.unionByName(linked(rest)), "linked"))

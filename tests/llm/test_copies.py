@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -54,6 +55,25 @@ def test_components_equal_brute_force(spark, docs_of, seed):
     assert got == want
 
 
+def test_only_texts_that_may_be_asked_for_are_sent(spark, docs_of):
+    keyed = near_dup.keyed(docs_of([(k, f"text {k % 1500}") for k in range(3000)] + [(None, None), (-5, "")]))
+    asked = keyed.where("doc_key % 50 = 0 or text is null").drop("text")
+    found = near_dup.likely(keyed, asked)
+    assert found.columns == keyed.columns and found.join(asked, ["doc_key", "text_key"]).count() == asked.count() == 61
+    assert found.count() < 61 + 3 * 3000 / near_dup.BITS
+    assert near_dup.likely(keyed, asked.limit(0)).count() == 0
+
+
+def test_members_are_joined_with_their_nodes_once(spark, docs_of, monkeypatch):
+    plans, saved = {}, near_dup.saved
+    monkeypatch.setattr(near_dup, "saved", lambda df, name: plans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString()) or saved(df, name))
+    rows = variants(1, 220)
+    got = {r.doc_key: (r.n_shingles, r.component) for r in near_dup.near_duplicates(docs_of(rows)).collect()}
+    assert got == plain_components(rows)
+    by_node = [len(re.findall(r"Join Inner, \(\(node#\d+L = node#\d+L\) AND \(leader#", p)) for ps in plans.values() for p in ps]
+    assert sum(by_node) == 1
+
+
 def test_a_hot_group_is_linked_whole(spark, docs_of):
     rng = random.Random(7)
     base = [f"w{k}" for k in range(150)]
