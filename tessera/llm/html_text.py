@@ -58,6 +58,7 @@ _EDGE = re.compile(r"[<>]")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
 _PARTS = re.compile(r"[A-Za-z]+")
+_NO_DIGITS = dict.fromkeys(map(ord, "0123456789"))
 
 
 class Element:
@@ -289,13 +290,34 @@ class _Hashed(dict):
         return found
 
 
+class _Places(dict):
+    """Place of a word in a hashed vector, dim further on for words of sign -1, remembered up to a bound."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        h = crc32(word.encode("utf-8", "surrogatepass"))
+        self[word] = found = h % self.dim + (0 if h >> 31 else self.dim)
+        return found
+
+
+def digits(text: str) -> int:
+    """How many signs of a text are digits; of plain texts by removing them."""
+    return len(text) - len(text.translate(_NO_DIGITS)) if text.isascii() else sum(map(str.isdigit, text))
+
+
 class Vectors:
     """Turns the blocks of a page into rows of numbers."""
 
     def __init__(self):
-        self.path, self.word = _Hashed(PATH_DIM), _Hashed(WORD_DIM)
+        self.path, self.place = _Hashed(PATH_DIM), _Places(WORD_DIM)
         self.own: dict[tuple[str, ...], np.ndarray] = {}
         self.sums: dict[Element, tuple[np.ndarray, np.ndarray]] = {}
+        #: Path vectors by parent and tokens: neighbours that are tagged alike share one.
+        self.shared: dict[tuple[Element | None, tuple[str, ...]], np.ndarray] = {}
 
     def of_names(self, names: tuple[str, ...]) -> np.ndarray:
         found = self.own.get(names)
@@ -312,6 +334,10 @@ class Vectors:
     def of_path(self, element: Element) -> np.ndarray:
         """Vector of an element and all around it: the sum of their tokens, and a sum that halves at each step outwards. Each
         element adds its own to its parent's sums."""
+        key = element.parent, element.names
+        found = self.shared.get(key)
+        if found is not None:
+            return found
         chain, at = [], element
         while at is not None and at not in self.sums:
             chain.append(at)
@@ -325,7 +351,10 @@ class Vectors:
                 self.sums.clear()
             self.sums[at] = (every, near)
         # Many equal elements around a block must not drown the others in its gates.
-        return np.clip(0.6 * every + 0.4 * near, -CLIP, CLIP)
+        if len(self.shared) > HELD:
+            self.shared.clear()
+        found = self.shared[key] = np.minimum(np.maximum(0.6 * every + 0.4 * near, -CLIP), CLIP)
+        return found
 
     def of(self, page: list[Block], first: int = 0, end: int | None = None) -> np.ndarray:
         """A row for each block of a page, or for those from first to end."""
@@ -336,13 +365,14 @@ class Vectors:
             words = b.text.lower().split(" ")
             if b.path:
                 out[r, :PATH_DIM] = self.of_path(b.path)
-            pairs = np.array([self.word[w] for w in words])
-            out[r, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(pairs[:, 0].astype(np.int64), pairs[:, 1], WORD_DIM) / np.sqrt(len(words))
+            # Words of sign -1 are counted behind the others and taken off.
+            counts = np.bincount(list(map(self.place.__getitem__, words)), minlength=2 * WORD_DIM)
+            out[r, PATH_DIM : PATH_DIM + WORD_DIM] = (counts[:WORD_DIM] - counts[WORD_DIM:]) / np.sqrt(len(words))
             n = len(b.text)
             stops = sum(map(b.text.count, ".!?;:,"))
             out[r, PATH_DIM + WORD_DIM :] = (
                 np.log1p(len(words)) / 4, b.linked, (i + 1) / len(page), 1 / (i + 1), 1 / (len(page) - i), min(2, 10 * stops / n),
-                b.text[-1] in ".!?", min(60, b.path.length if b.path else 0) / 10, sum(map(str.isdigit, b.text)) / n,
+                b.text[-1] in ".!?", min(60, b.path.length if b.path else 0) / 10, digits(b.text) / n,
             )
         return out
 

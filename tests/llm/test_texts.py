@@ -469,3 +469,13 @@ def test_toxicity_scores_equal_plain_loops():
     texts = [None, "", "one", "Bad, WORDS here!", " ".join(f"w{k}" for k in range(100)), "x" * 64 + "worthless", "ab_" * 60 + " end", " ".join(f"wort{k}é" for k in range(37)), "- . !"]
     got = model.scores_of(texts, toxicity.WordScores(table))
     assert np.allclose(got, [score(t) for t in texts], atol=1e-6)
+
+
+def test_blocks_tagged_alike_in_one_element_share_a_path_vector(monkeypatch):
+    page = html_text.blocks("<article class='x'>" + "<p>One 2 three</p>" * 200 + "<p id='last'>End</p></article>")
+    vectors, asked = html_text.Vectors(), []
+    of_names = vectors.of_names
+    monkeypatch.setattr(vectors, "of_names", lambda names: asked.append(names) or of_names(names))
+    rows = vectors.of(page)
+    assert len(rows) == 201 and len(asked) <= 4
+    assert (rows[:200, : html_text.PATH_DIM] == rows[0, : html_text.PATH_DIM]).all() and (rows[200, : html_text.PATH_DIM] != rows[0, : html_text.PATH_DIM]).any()
