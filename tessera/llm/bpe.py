@@ -10,7 +10,8 @@ The tokenizer file is one of the public ones with word ends (word_bpe_49k.json):
 become one space, letters lower case; words are contractions, letter runs, single digits and runs of other signs; a
 word's bytes are symbols, the last one in its end-of-word form. Strings of special tokens in a text become their ids.
 
-Memory: the automaton is built once in each Python worker; encodings of words are remembered up to a bound.
+Memory: the automaton is built once in each Python worker; encodings of words are remembered up to a bound. Tasks of other
+operators that need a worker's memory drop both.
 
 Defined cases: a null text counts as empty and has no ids; repeated rows are encoded each; texts of any length are
 encoded whole; an empty table gives an empty result; other columns are passed through, those named like the added ones
@@ -23,7 +24,6 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import rowed
+from tessera.llm.common import kept_between_tasks, rowed
 
 WORD_END = "</w>"
 #: The file's own pre-tokenizer pattern, a fixed value.
@@ -265,9 +265,8 @@ class Encoder:
         return b" ".join(map(self.written.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@cache
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return kept_between_tasks(("bpe", path), lambda: Encoder(path))
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

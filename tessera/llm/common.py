@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,5 +77,22 @@ def discarded(*tables: DataFrame) -> None:
             removed_folder(df.sparkSession, folder)
 
 
+#: What this Python process keeps between tasks, of one operator at a time.
+_kept: dict[tuple, object] = {}
+
+
+def kept_between_tasks(key: tuple, make: Callable[[], object]) -> object:
+    """make's result, the same for all tasks of this worker that ask for key, until one asks for another or lets go."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def let_go() -> None:
+    """Drops what an earlier operator's tasks left: Spark uses a worker again, and its tables would count beside this one's."""
+    _kept.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, discarded, rowed, saved
+from tessera.llm.common import WORD, discarded, let_go, rowed, saved
 from tessera.llm.graph import components
 from tessera.llm.substring import WordHashes, mixed, split_words
 
@@ -122,6 +122,7 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_key, text_key, node, n_shingles, bands) of each document; node is 0 and bands empty without words."""
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         known = WordHashes()
         for whole in batches:
             # Some texts at a time: the sets of a whole batch aren't held together.
@@ -162,6 +163,7 @@ def set_pieces(needed: DataFrame, docs: DataFrame, nodes: DataFrame, size: int =
     all documents. Pieces are numbered in the order of their members; repeated rows give repeated pieces."""
 
     def as_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         known = WordHashes()
         for batch in batches:
             out, held = [], 0

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discarded, rowed, saved
+from tessera.llm.common import discarded, let_go, rowed, saved
 
 WINDOW = 50
 MMER = 8
@@ -184,6 +184,7 @@ def census(keyed: DataFrame) -> DataFrame:
     """(minimiser, name, doc_key, text_key, first, n) of every string."""
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         known = WordHashes()
         for batch in batches:
             minimiser, names, firsts, counts, owner = [], [], [], [], []

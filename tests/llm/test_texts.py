@@ -1,10 +1,12 @@
 import hashlib
 import math
+import os
 import random
 import time
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -12,7 +14,7 @@ from tokenizers import Tokenizer
 
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprint, html_text, quality, toxicity
+from tessera.llm import bpe, fingerprint, html_text, near_dup, quality, toxicity
 
 DATA = "/root/testdata/sf0.001"
 
@@ -479,3 +481,23 @@ def test_blocks_tagged_alike_in_one_element_share_a_path_vector(monkeypatch):
     rows = vectors.of(page)
     assert len(rows) == 201 and len(asked) <= 4
     assert (rows[:200, : html_text.PATH_DIM] == rows[0, : html_text.PATH_DIM]).all() and (rows[200, : html_text.PATH_DIM] != rows[0, : html_text.PATH_DIM]).any()
+
+
+def test_a_worker_drops_the_encoder_when_other_operators_use_it(spark, docs_of, monkeypatch):
+    """One task after the other in one Python worker: the encoder stays between its own tasks, others let go of it."""
+    monkeypatch.setitem(spark.sparkContext.environment, "WORKERS_OF", "this test alone")
+    docs = docs_of([(k, f"some words of text {k}") for k in range(20)]).coalesce(1)
+
+    def encoders(batches):
+        import gc
+
+        list(batches)
+        yield pd.DataFrame({"pid": [os.getpid()], "n": [sum(type(x).__name__ == "Encoder" and type(x).__module__ == bpe.__name__ for x in gc.get_objects())]})
+
+    seen = lambda: docs.select("doc_id").mapInPandas(encoders, "pid long, n long").collect()[0]
+    bpe.tokenized(docs).collect()
+    before = seen()
+    quality.judged(docs).collect()
+    near_dup.sketches(docs).collect()
+    after = seen()
+    assert before.pid == after.pid and (before.n, after.n) == (1, 0)
