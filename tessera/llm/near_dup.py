@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, discarded, let_go, rowed, saved
+from tessera.llm.common import WORD, discarded, let_go, rowed, saved, saved_by
 from tessera.llm.graph import components
 from tessera.llm.substring import WordHashes, mixed, split_words
 
@@ -54,8 +54,8 @@ PIECE, CHUNK = 512, 50_000
 ROWS_AT_A_TIME = 512
 #: Sets that are held against one copy of a leader's set.
 PART = 2048
-#: Bits of a bitmap for each row that is looked for.
-BITS = 16
+#: Bits of a bitmap for each row that is looked for, and of a bitmap at most (16 MB): a larger table only has more rows pass.
+BITS, MOST_BITS = 16, 1 << 27
 LAST = 2**63 - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -113,6 +113,12 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def node_of(members: np.ndarray) -> np.int64:
+    """A set's own hash, never 0: of a sum and a xor of its members, which come in no order."""
+    both = np.array([members.sum(), np.bitwise_xor.reduce(members) + np.uint64(len(members))], np.uint64)
+    return mixed(mixed(both[:1]) * _ODD + both[1:]).view(np.int64)[0] or np.int64(1)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_key, text_key and text; the two keys tell rows apart, rows of equal keys are equal in doc_id and text."""
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_key"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_key"), "text")
@@ -135,49 +141,61 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 if full:
                     for k, row in zip(full, band_keys(signatures([sets[k] for k in full])), strict=True):
                         bands[k] = row
-                        # The set's own hash: a sum and a xor of its members, which come in no order.
-                        s = sets[k]
-                        both = np.array([s.sum(), np.bitwise_xor.reduce(s) + np.uint64(len(s))], np.uint64)
-                        nodes[k] = mixed(mixed(both[:1]) * _ODD + both[1:]).view(np.int64)[0] or 1
+                        nodes[k] = node_of(sets[k])
                 yield pd.DataFrame({"doc_key": batch["doc_key"].to_numpy(), "text_key": batch["text_key"].to_numpy(), "node": nodes, "n_shingles": [len(s) for s in sets], "bands": bands})
 
     return keyed(docs).mapInPandas(sketched, "doc_key long, text_key long, node long, n_shingles long, bands array<long>")
 
 
-def likely(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """Rows of docs whose keys may be among those asked for: all that are, and of the others about one in BITS. The rest needn't
-    send their texts to a join.
+def likely(rows: DataFrame, asked: DataFrame, keys: tuple[str, ...] = ("doc_key", "text_key")) -> DataFrame:
+    """Rows whose keys may be among those asked for: all that are, and of the others about one in BITS. The rest needn't be sent
+    to a join.
 
     The hashes asked for are marked in a bitmap of BITS bits a row asked for, which is small enough to be broadcast.
     """
-    place = F.pmod(F.xxhash64("doc_key", "text_key"), F.lit(max(1 << 15, BITS * asked.count()))) + 1
-    asked = asked.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
-    marks = asked.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("marks"))
-    rows = docs.withColumns({"bucket": F.bitmap_bucket_number(place), "bit": F.bitmap_bit_position(place)}).join(F.broadcast(marks), "bucket")
-    marked = F.expr("getbit(cast(conv(hex(substring(marks, cast(bit div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) = 1")
-    return rows.where(marked).select(*docs.columns)
+    place = F.pmod(F.xxhash64(*keys), F.lit(min(MOST_BITS, max(1 << 15, BITS * asked.count())))) + 1
+    asked = asked.select(F.bitmap_bucket_number(place).alias("mark_row"), F.bitmap_bit_position(place).alias("bit"))
+    marks = asked.groupBy("mark_row").agg(F.bitmap_construct_agg("bit").alias("marks"))
+    marked = rows.withColumns({"mark_row": F.bitmap_bucket_number(place), "bit": F.bitmap_bit_position(place)}).join(F.broadcast(marks), "mark_row")
+    held = F.expr("getbit(cast(conv(hex(substring(marks, cast(bit div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) = 1")
+    return marked.where(held).select(*rows.columns)
 
 
 def set_pieces(needed: DataFrame, docs: DataFrame, nodes: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(node, piece, members) of the nodes in needed: their texts are turned into sets again, so sets are never kept for
-    all documents. Pieces are numbered in the order of their members; repeated rows give repeated pieces."""
+    """(node, piece, members) of the nodes in needed, saved by node: their texts are turned into sets again, so sets are never
+    kept for all documents. Pieces are numbered in the order of their members; repeated rows give repeated pieces.
+
+    A text's node follows from its set, so texts are turned into sets where they lie and only sets are shuffled, once: the
+    joins by node that follow find them dealt out. Of rows that pass the bitmap by chance the join with their node lets
+    only the node's own text through.
+    """
 
     def as_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         let_go()
         known = WordHashes()
         for batch in batches:
             out, held = [], 0
-            for node, text in zip(batch["node"], batch["text"], strict=True):
+            for doc_key, text_key, text in zip(batch["doc_key"], batch["text_key"], batch["text"], strict=True):
                 members = shingle_set(text, known, size)
-                out += [(node, k, members[k * PIECE : (k + 1) * PIECE].tobytes()) for k in range(-(-len(members) // PIECE))]
+                if not len(members):
+                    continue
+                node = node_of(members)
+                out += [(node, doc_key, text_key, k, members[k * PIECE : (k + 1) * PIECE].tobytes()) for k in range(-(-len(members) // PIECE))]
                 held += len(members)
                 if held > CHUNK:
-                    yield pd.DataFrame(out, columns=["node", "piece", "members"])
+                    yield pd.DataFrame(out, columns=columns)
                     out, held = [], 0
-            yield pd.DataFrame(out, columns=["node", "piece", "members"])
+            yield pd.DataFrame(out, columns=columns)
 
+    columns = ["node", "doc_key", "text_key", "piece", "members"]
     asked = saved(needed.join(nodes.select("node", "rep"), "node").select("node", F.col("rep.doc_key").alias("doc_key"), F.col("rep.text_key").alias("text_key")), "asked")
-    return likely(keyed(docs), asked).join(asked, ["doc_key", "text_key"]).select("node", "text").mapInPandas(as_pieces, "node long, piece int, members binary")
+    made = likely(keyed(docs), asked).mapInPandas(as_pieces, "node long, doc_key long, text_key long, piece int, members binary")
+    own = asked.select("node", F.col("doc_key").alias("own_doc"), F.col("text_key").alias("own_text"))
+    # Held equal by a xor, so that the join is by node alone and its rows stay dealt out by node.
+    same = F.col("doc_key").bitwiseXOR(F.col("own_doc")).bitwiseOR(F.col("text_key").bitwiseXOR(F.col("own_text"))) == 0
+    out = saved_by(made, "sets", "node", lambda dealt_out: dealt_out.join(own, "node").where(same).select("node", "piece", "members"))
+    discarded(asked)
+    return out
 
 
 def dealt(pairs: DataFrame) -> DataFrame:
@@ -356,15 +374,17 @@ def node_components(docs: DataFrame, sketch: DataFrame, size: int = SHINGLE) ->
     filled = sketch.where("node <> 0")
     nodes = saved(filled.groupBy("node").agg(F.min(F.struct("doc_key", "text_key")).alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands")), "nodes")
     entries = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    first = saved(entries.join(buckets, "bucket"), "buckets")
+    buckets = saved(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "held")
+    # Most nodes are alone in most of their buckets.
+    first = saved(likely(entries, buckets, ("bucket",)).join(buckets, "bucket"), "buckets")
+    discarded(buckets)
     popular = first.groupBy("node").agg(F.sum("held").alias("popular"))
     entries = saved(led_by(first.drop("held").join(popular, "node")), "buckets")
     discarded(first)
     none = nodes.select("node", F.col("node").alias("root")).limit(0)
     if entries.isEmpty():
         return nodes, none
-    sets = saved(set_pieces(entries.select("node").distinct(), docs, nodes, size), "sets")
+    sets = set_pieces(entries.select("node").distinct(), docs, nodes, size)
     as_pairs = lambda led: led.where(F.col("node") != F.col("leader")).where(LIKE).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     linked = lambda pairs: saved(compared(pairs, sets).where(f"100 * both >= {SHARE} * either").select("a", "b"), "linked")
 

@@ -74,6 +74,28 @@ def test_members_are_joined_with_their_nodes_once(spark, docs_of, monkeypatch):
     assert sum(by_node) == 1
 
 
+def test_sets_are_dealt_out_once(spark, docs_of):
+    """Joins of sets by node shuffle the other side alone, also where it is too large to be broadcast; of many copies of a text
+    its node's own row makes the set."""
+    docs = docs_of([*variants(1, 120), *[(k, "one text of many copies " + "a b c " * 5) for k in range(1000, 1400)]])
+    sketch = near_dup.saved(near_dup.sketches(docs), "sketches")
+    nodes, _ = near_dup.node_components(docs, sketch)
+    sets = near_dup.set_pieces(nodes.select("node"), docs, nodes)
+    held = {}
+    for r in sets.collect():
+        held.setdefault(r.node, []).append((r.piece, r.members))
+    assert {n: sum(len(m) // 8 for _, m in x) for n, x in held.items()} == {r.node: r.n for r in nodes.collect()}
+    assert sets.count() == sets.distinct().count()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = sets.join(nodes.select("node", "n"), "node")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 1 and plan.count("Exchange hashpartitioning(node") == 1
+        near_dup.discarded(sets)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_a_hot_group_is_linked_whole(spark, docs_of):
     rng = random.Random(7)
     base = [f"w{k}" for k in range(150)]
